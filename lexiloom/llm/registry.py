@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import exact_dedup, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op3_jump_sharding": sharding.op3_jump_sharding}
+    return {"op3_jump_sharding": sharding.op3_jump_sharding, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_pivotal_mix": mixing.op8_pivotal_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": sharding.OP3_SQL}
+    return {"op3_jump_sharding": sharding.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
