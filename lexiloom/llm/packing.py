@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
-from .tokens import WordTokens
+from .tokens import TextTokens
 
 LENGTH = 2048
 #: The id that ends a document.
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFr
     """doc_id, piece, start, length, ids_crc32: a document's ids and END, cut only where longer than a sequence."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(vocabulary)
+        words = TextTokens(vocabulary)
         for batch in slices(batches, "text"):
             found: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):

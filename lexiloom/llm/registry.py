@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op3_jump_sharding": sharding.op3_jump_sharding, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_pivotal_mix": mixing.op8_pivotal_mix}
+    return {"op2_vector_packing": packing.op2_vector_packing, "op3_jump_sharding": sharding.op3_jump_sharding, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_pivotal_mix": mixing.op8_pivotal_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": sharding.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op2_vector_packing": packing.op2_vector_packing, "op3_jump_sharding": sharding.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
