@@ -1,6 +1,73 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes what the one before it kept, as written to Parquet, and all but the last return the columns of
+documents: the quality classifier drops what it rejects, exact and near duplicates leave one document of each group, the
+mix drops or repeats documents towards the sources' targets, and packing places the rest in sequences.
+
+Defined results: null texts count as empty; a document whose id is null is never dropped by the stages that compare
+documents; rows that share an id are kept or dropped together; an empty table passes through; extra columns pass through
+until packing, which returns its own columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.llm import exact_dedup, mixing, near_dup, packing, quality
+from lexiloom.llm.common import cut, table
+
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped."""
+    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier takes as good; it learns from the labels of rows that are not held out."""
+    weights = quality.quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights, "__score").where(F.col("__score") >= quality.GOOD).drop("__score")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the one with the largest id."""
+    return without(docs, exact_dedup.equal_texts(docs).where("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id."""
+    return without(docs, near_dup.linked(docs, SHINGLE).where("doc_id != component_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    found = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("source mix", mix_sources),
+    ("packing", pack),
+]
+
+#: SQL can express neither the classifier nor MinHash nor the tokenizer; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

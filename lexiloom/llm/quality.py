@@ -101,8 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.
     return sum(np.frombuffer(r["weights"], np.float32) * np.float32(r["rows"] / total) for r in found)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with score: 0 to 1, higher where the label 1 is likelier."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs with a column of scores: 0 to 1, higher where the label 1 is likelier."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +112,10 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 index, values = features(text, hashes)
                 found.append(1 / (1 + np.exp(-np.clip(w[index] @ values + w[-1], -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return docs.drop("score").mapInArrow(run, f"{kept}, score double")
+    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
+    return docs.drop(name).mapInArrow(run, f"{kept}, `{name}` double")
 
 
 def held_out(doc_id: str = "doc_id"):

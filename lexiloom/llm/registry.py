@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, mixing, near_dup, packing, quality, sharding
 
 
 def queries() -> dict:
-    return {"op2_vector_packing": packing.op2_vector_packing, "op3_jump_sharding": sharding.op3_jump_sharding, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_pivotal_mix": mixing.op8_pivotal_mix}
+    return {
+        "op2_vector_packing": packing.op2_vector_packing,
+        "op3_jump_sharding": sharding.op3_jump_sharding,
+        "op5_bbit_minhash": near_dup.op5_bbit_minhash,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_pivotal_mix": mixing.op8_pivotal_mix,
+        "op9_quality": quality.op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
