@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, packing, quality, sharding
+from . import exact_dedup, extraction, media, mixing, near_dup, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op2_vector_packing": packing.op2_vector_packing,
         "op3_jump_sharding": sharding.op3_jump_sharding,
+        "op4_avi_mjpeg": media.op4_avi_mjpeg,
         "op5_bbit_minhash": near_dup.op5_bbit_minhash,
+        "op6_template_extraction": extraction.op6_template_extraction,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_pivotal_mix": mixing.op8_pivotal_mix,
         "op9_quality": quality.op9_quality,
+        "op10_personal_data": pii.op10_personal_data,
     }
 
 
