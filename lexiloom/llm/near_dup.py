@@ -6,11 +6,11 @@ similarity by bit counts, corrected for chance agreement. Documents with equal s
 are confirmed on their full shingle sets.
 
 A pair at the threshold of 0.8 shares none of the 32 bands of 5 with probability 3e-6, and less above. Within a bucket
-not all pairs are listed. First each document meets the least document of the buckets it shares with it most often; then,
-in buckets where more than one class is left, each meets the partner of another class with the best estimate, twice; last,
-in buckets that still hold more than one class, all pairs across classes are estimated in bounded blocks, and those that
-can reach the threshold (five standard errors below it, 1e-6) are confirmed. Pairs within one class need no check, so
-classes come out as if all pairs of all buckets had been confirmed.
+pairs are not listed. First each document meets the least document of the buckets it shares with it most often, and the
+confirmed pairs give classes. In buckets where several classes are left, the members outside the largest are open: blocks
+of them meet blocks of all members, pairs of different classes whose estimate can reach the threshold (five standard
+errors below it) are confirmed on the spot, each pair in the first bucket it shares, and only links between classes leave
+a block. Pairs within one class need no check, so classes come out as if all pairs of all buckets had been confirmed.
 
 Defined results: texts of fewer words than a shingle are one shingle; null texts and texts without words have no shingles
 and link with nothing; rows that share a doc_id are one document, linked; a row whose doc_id is null links with nothing
@@ -39,8 +39,8 @@ MINIMA = BANDS * ROWS
 BITS = 4
 #: How far below the threshold an estimate may lie for a pair to be confirmed: five standard errors.
 SLACK = 5 * (SIMILAR * (1 - SIMILAR) / MINIMA) ** 0.5 / (1 - 2.0**-BITS) + 0.01
-#: Members of a bucket that are compared at once with as many others.
-BLOCK = 256
+#: Open members of a bucket, and members, that meet in one group.
+OPEN_BLOCK, BLOCK = 256, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +144,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(one), len(other)) < SIMILAR * max(len(one), len(other)) or not len(one):
+        return False
+    both = np.concatenate((one, other))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= round(100 * SIMILAR) * (len(both) - shared)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar, with their texts from texts (doc_id, text)."""
 
@@ -155,13 +165,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             b_values, b_starts = shingle_sets(b, words)
             good = np.zeros(len(b), bool)
             for i, k in enumerate(a.indices.to_pylist()):
-                one, other = a_values[a_starts[k] : a_starts[k + 1]], b_values[b_starts[i] : b_starts[i + 1]]
-                if min(len(one), len(other)) < SIMILAR * max(len(one), len(other)) or not len(one):
-                    continue
-                both = np.concatenate((one, other))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * shared >= round(100 * SIMILAR) * (len(both) - shared)
+                good[i] = similar(a_values[a_starts[k] : a_starts[k + 1]], b_values[b_starts[i] : b_starts[i + 1]])
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -169,64 +173,98 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs (a, b) of different classes within a bucket whose estimate can reach the threshold, from members (key, i, j, block, rep, component, n, bits).
-
-    A group (key, i, j) holds two blocks of a bucket, or one if i = j. all_pairs: every such pair, else for each member
-    the one with the best estimate.
-    """
-
-    def pairs_of(group: pa.Table) -> list[np.ndarray]:
-        rep, component, n, block = (group.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        one, other = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        found = []
-        for at in range(0, len(one), BLOCK):
-            x = one[at : at + BLOCK]
-            for to in range(0, len(other), BLOCK):
-                y = other[to : to + BLOCK]
-                guess = estimates(bits[x], bits[y])
-                small, large = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
-                can = (guess >= SIMILAR - SLACK) & (small >= SIMILAR * large) & (component[x][:, None] != component[y][None])
-                if not all_pairs:
-                    guess = np.where(can, guess, -9.0)
-                    best = np.zeros_like(can)
-                    best[np.arange(len(x)), guess.argmax(axis=1)] = True
-                    best[guess.argmax(axis=0), np.arange(len(y))] = True
-                    can &= best
-                p, q = np.nonzero(can)
-                found.append(np.stack((np.minimum(rep[x[p]], rep[y[q]]), np.maximum(rep[x[p]], rep[y[q]]))))
-        return found
+def groups(rows: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(table) for each group (key, ub, xb) of rows, from partitions sorted by group; a group is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None  # the group that may go on in the next batch
         for batch in batches:
             part = pa.Table.from_batches([batch])
             kept = part if kept is None else pa.concat_tables([kept, part])
-            keys = np.stack([kept.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            if len(cuts):
-                yield from emitted(kept, [0, *cuts.tolist()])
-                kept = kept.slice(int(cuts[-1])).combine_chunks()
+            keys = np.stack([kept.column(c).to_numpy() for c in ("key", "ub", "xb")])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for at, to in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield from answer(kept.slice(at, to - at)).to_batches()
+            if cuts:
+                kept = kept.slice(cuts[-1]).combine_chunks()
         if kept is not None and len(kept):
-            yield from emitted(kept, [0, len(kept)])
+            yield from answer(kept).to_batches()
 
-    def emitted(groups: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pairs_of(groups.slice(a, b - a))]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return rows.repartition("key", "ub", "xb").sortWithinPartitions("key", "ub", "xb").mapInArrow(run, schema)
 
-    dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
 
+def open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of open members, rows of members, which of their pairs may be similar, and their estimates.
 
-def blocked(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """members (key, rep, component, m) with signatures, dealt into blocks of a bucket and pairs of such blocks."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = members.join(signed, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    mates = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
-    return own.withColumn("mate", mates).select("key", "mate.i", "mate.j", "block", "rep", "component", "n", "bits")
+    A pair is looked at in the first bucket that it shares, and from its smaller member if both are open.
+    """
+    rep, component, n, side, open_ = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n", "side", "open"))
+    u, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    guess = estimates(bits[u], bits[x])
+    small, large = np.minimum(n[u][:, None], n[x][None]), np.maximum(n[u][:, None], n[x][None])
+    can = (guess >= SIMILAR - SLACK) & (small >= SIMILAR * large) & (component[u][:, None] != component[x][None])
+    can &= ~open_[x][None] | (rep[u][:, None] < rep[x][None])
+    if can.any():
+        this = int(np.argmax(bands[0] == group.column("key")[0].as_py()))
+        for k in range(this):
+            can &= bands[u, k][:, None] != bands[x, k][None]
+    return u, x, can, guess
+
+
+def promising(group: pa.Table) -> pa.Table:
+    """The rows of a group that have a partner."""
+    u, x, can, _ = open_pairs(group)
+    return group.take(pa.array(np.sort(np.concatenate((u[can.any(axis=1)], x[can.any(axis=0)])))))
+
+
+def links_in(words: int):
+    """Confirms pairs within a group on their full shingle sets; pairs that a link found before has joined need no check."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        u, x, can, guess = open_pairs(group)
+        values, starts = shingle_sets(group.column("text").combine_chunks(), words)
+        rep = group.column("rep").to_numpy()
+        names, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        a, b = [], []
+        for i, row in enumerate(u.tolist()):
+            mates = np.flatnonzero(can[i])
+            one = values[starts[row] : starts[row + 1]]
+            for j in mates[np.argsort(-guess[i, mates], kind="stable")].tolist():
+                other = int(x[j])
+                if component[row] != component[other] and similar(one, values[starts[other] : starts[other + 1]]):
+                    component[component == component[other]] = component[row]
+                    a.append(int(rep[row]))
+                    b.append(int(rep[other]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return answer
+
+
+MEMBER = "key long, ub int, xb int, side int, open boolean, rep long, component long, n long, bits binary, bands array<long>"
+
+
+def cross_links(members: DataFrame, component: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between members (key, rep, m) of a bucket that component (node, component) leaves in different classes.
+
+    In each bucket that holds several classes, the members outside its largest class are open. Each block of open
+    members meets each block of members in a group of its own; first by their signatures, then, for rows that may have
+    a partner, by their texts.
+    """
+    now = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("component"))
+    held = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    buckets = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("held").alias("all")).where(F.col("top.held") < F.col("all"))
+    sized = buckets.select("key", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.held")) / OPEN_BLOCK).cast("int").alias("ubs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("xbs"))
+    rows = now.join(sized, "key").join(classes.select("rep", "n", "bits", "bands"), "rep").withColumn("open", F.col("component") != F.col("largest"))
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    as_member = F.transform(every("ubs"), lambda k: F.struct(k.alias("ub"), own("xbs").alias("xb"), F.lit(1).alias("side")))
+    as_open = F.when(F.col("open"), F.transform(every("xbs"), lambda k: F.struct(own("ubs").alias("ub"), k.alias("xb"), F.lit(0).alias("side")))).otherwise(F.expr("cast(array() as array<struct<ub:int,xb:int,side:int>>)"))
+    dealt = rows.withColumn("at", F.explode(F.concat(as_member, as_open))).select("key", "at.ub", "at.xb", "at.side", "open", "rep", "component", "n", "bits", "bands")
+    found = groups(dealt, promising, MEMBER)
+    with_text = found.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return groups(with_text, links_in(words), "a long, b long")
 
 
 def linked(docs: DataFrame, words: int) -> DataFrame:
@@ -248,22 +286,10 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     tried = cut(best.select((-F.col("top.leader")).alias("a"), F.col("rep").alias("b")))
     component = roots(confirmed(tried, texts, words).groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component")))
 
-    signs = classes.select("rep", "n", "bits")
-    for all_pairs in (False, False, True):
-        now = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("component"))
-        open_ = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
-        pairs = cut(across(blocked(now.join(open_, "key"), signs), all_pairs).join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if all_pairs:
-                break
-            continue
-        links = confirmed(pairs, texts, words)
-        tried = tried.unionByName(pairs)
-        of = component.select(F.col("node"), F.col("component"))
-        ends = links.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left")
-        merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
-        moved = component.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
-        component = cut(moved.unionByName(merged.join(moved, "node", "left_anti")))
+    ends = cross_links(members, component, classes, texts, words).join(component.toDF("a", "of_a"), "a", "left").join(component.toDF("b", "of_b"), "b", "left")
+    merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = component.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    component = moved.unionByName(merged.join(moved, "node", "left_anti"))
 
     several = classes.where("copies > 1").select("set_hash", "rep")
     rows = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, extraction, media, mixing, near_dup, packing, pii, quality, sharding
+from . import exact_dedup, extraction, media, mixing, near_dup, packing, pii, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_secret_forest": secrets.op1_secret_forest,
         "op2_vector_packing": packing.op2_vector_packing,
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op4_avi_mjpeg": media.op4_avi_mjpeg,
