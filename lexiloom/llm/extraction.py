@@ -6,7 +6,8 @@ count, so classes come from partial aggregates and no host's pages are gathered.
 tokens and covers half of the host's pages; valid classes of tokens that occur once a page, in the order of their places,
 are the frame of the template, and classes that repeat nest in its slots. The main slot is the frame's element that holds
 the article: one that says so (article, main), or else the deepest that still holds most of the text outside of menus,
-notices and the like. A slot whose text is the same on every page is template too and left out. What remains in the main
+notices and the like. A block of the main slot
+whose text is the same on every page, while the slot's is not, is template too and left out. What remains in the main
 slot is extracted. Hosts of few pages share one template; pages without their host's main element are read by their own
 elements.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
-from .markup import Element, blocks, events
+from .markup import BLOCKS, Element, blocks, events
 
 #: Hosts with fewer pages share a template.
 HOST_PAGES = 4
@@ -107,10 +108,11 @@ def templates(pages: DataFrame) -> DataFrame:
     most = frame.groupBy("host").agg(F.max("chars").alias("most"))
     ranked = frame.join(most, "host").withColumn("holds", (F.col("chars") >= MOST * F.col("most")).cast("int"))
     # the article by its own word, outermost first, or else the deepest element that holds most of the text
-    rank = F.struct((F.col("says") & (F.col("holds") == 1)).cast("int"), "holds", F.when(F.col("says"), -F.col("depth")).otherwise(F.col("depth")).alias("d"), -F.col("place"), F.col("path").alias("path"))
-    same = (F.col("low") == F.col("high")) & (F.col("on") >= SAME_PAGES) & (F.col("chars") > 0) & ~F.col("says")
+    rank = F.struct((F.col("says") & (F.col("holds") == 1)).cast("int"), "holds", F.when(F.col("says"), -F.col("depth")).otherwise(F.col("depth")).alias("d"), -F.col("place"), F.col("path").alias("path"), (F.col("low") != F.col("high")).alias("varies"))
+    whole = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1).isin(*sorted(BLOCKS))
+    same = whole & (F.col("low") == F.col("high")) & (F.col("on") >= SAME_PAGES) & (F.col("chars") > 0) & ~F.col("says")
     main = ranked.groupBy("host").agg(F.max(rank).alias("top"), F.collect_set(F.when(same & (F.col("holds") == 0), F.col("path"))).alias("same"))
-    return groups.join(main, "host").select("own", F.col("top.path").alias("main"), "same")
+    return groups.join(main, "host").select("own", F.col("top.path").alias("main"), F.when(F.col("top.varies"), F.col("same")).alias("same"))
 
 
 def main_text(html: str, main: str | None, same: list[str] | None) -> str:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -91,13 +91,13 @@ def pivot(probabilities: np.ndarray, seed: str) -> np.ndarray:
 def meeting(level: int, last: bool, columns: list[str]) -> Callable:
     """The rounding of one block; on the last level what is left open is drawn."""
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable")
-        seed = f"{SEED}/{level}/{key[0]}/{key[1]}"
-        p = pivot(pdf["p"].to_numpy(), seed)
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "descending"), ("doc_id", "descending")])
+        seed = f"{SEED}/{level}/{key[0].as_py()}/{key[1].as_py()}"
+        p = pivot(group.column("p").to_numpy(), seed)
         if last:
             p = np.where((p > 0) & (p < 1), np.random.default_rng(xxhash.xxh64_intdigest(seed + "/last")).random(len(p)) < p, p)
-        return pdf.assign(p=p)[columns]
+        return pa.table({c: pa.array(p, pa.float64()) if c == "p" else group.column(c) for c in columns})
 
     return meet
 
@@ -111,7 +111,7 @@ def round_copies(rows: DataFrame) -> DataFrame:
 
         own = F.ceil(F.greatest(F.lit(1), F.col("n_sized")) / BLOCK) if level == 0 else F.greatest(F.lit(1), F.ceil(F.col("n_sized") / F.lit(float(BLOCK) ** (level + 1))))
         blocked = undecided.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "size"), own.cast("long")))
-        met = cut(blocked.groupBy("source", "__block").applyInPandas(meeting(level, last, rows.columns), rows.schema))
+        met = cut(blocked.groupBy("source", "__block").applyInArrow(meeting(level, last, rows.columns), rows.schema))
         if last:
             decided.append(met)
             break

@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,15 +83,23 @@ def best_fit(demands: np.ndarray, capacities: np.ndarray, weights: np.ndarray, r
 def packing(level: int, rule: str, capacities: tuple[int, ...], weights: tuple[float, ...]):
     """The packing of one block."""
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = pdf["length"].to_numpy()
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = group.column("length").to_numpy()
         demands = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], axis=1)
         limit = np.array(capacities, float)
         placed, left = best_fit(demands, limit, np.array(weights), rule)
-        pdf = pdf.assign(sequence_id=(key[0] << 24) + (level << 56) + placed, level=level, reopen=(left > limit / 2).all(axis=1)[placed])
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        return pdf[[c.split()[0] for c in PACKED.split(", ")]]
+        by_sequence = np.argsort(placed, kind="stable")
+        before = np.cumsum(lengths[by_sequence]) - lengths[by_sequence]
+        offset = np.empty(len(lengths), np.int64)
+        offset[by_sequence] = before - np.maximum.accumulate(np.where(np.diff(placed[by_sequence], prepend=-1) != 0, before, 0))
+        made = {
+            "sequence_id": pa.array((key[0].as_py() << 24) + (level << 56) + placed, pa.int64()),
+            "offset": pa.array(offset, pa.int64()),
+            "level": pa.array(np.full(len(lengths), level), pa.int32()),
+            "reopen": pa.array((left > limit / 2).all(axis=1)[placed]),
+        }
+        return pa.table({name: made[name] if name in made else group.column(name) for name in (c.split()[0] for c in PACKED.split(", "))})
 
     return pack
 
@@ -108,7 +115,7 @@ def pack_pieces(pieces: DataFrame, rule: str = "norm", capacities: tuple[int, ..
     while True:
         parts = max(1, -(-n // BLOCK))
         blocked = rest.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(parts)))
-        packed = cut(blocked.groupBy("__block").applyInPandas(packing(level, rule, capacities, weights), PACKED))
+        packed = cut(blocked.groupBy("__block").applyInArrow(packing(level, rule, capacities, weights), PACKED))
         if parts == 1:
             out.append(packed.select(*out[0].columns))
             break

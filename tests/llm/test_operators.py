@@ -1,0 +1,395 @@
+"""Each operator on odd rows, on empty tables, and against a brute-force version or an exact round trip."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import avi, boosting, components, exact_dedup, extraction, markup, media, mixing, near_dup, packing, pii, quality, quotient, secrets, sharding
+from lexiloom.llm.common import table
+from lexiloom.llm.tokens import TextTokens
+
+from .conftest import LONG, ROWS
+
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def jump(key, shards):
+    """Jump consistent hashing as published."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding_matches_the_published_loop(spark, edge, empty):
+    ids = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = sharding.shard_rows(ids).collect()
+    for r in rows:
+        key = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:16], 16)
+        assert (r.shard, r.grown_shard) == (jump(key, 40), jump(key, 41))
+        assert r.grown_shard in (r.shard, 40)
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    found = sharding.shard_rows(edge).collect()
+    assert len(found) == len(ROWS)
+    null_text = next(r for r in found if r.doc_id == 3)
+    assert (null_text["size"], null_text.text_crc32) == (16, 0)
+    assert sharding.shard_rows(empty).count() == 0
+
+
+def test_slots_do_not_depend_on_blocks(spark, monkeypatch):
+    ids = spark.range(0, 2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    one = {(r.doc_id, r.slot) for r in sharding.shard_rows(ids).collect()}
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 4)
+    assert one == {(r.doc_id, r.slot) for r in sharding.shard_rows(ids).collect()}
+
+
+@pytest.mark.parametrize("lead", [0, 4, 20])
+def test_quotient_filter_round_trip(lead):
+    draw = np.random.default_rng(1)
+    prefix = 5 if lead else 0
+    low = np.unique(np.concatenate((draw.integers(0, 1 << (63 - lead), 3000, dtype=np.uint64), np.arange(40, dtype=np.uint64))))
+    found = np.unique(low | (np.uint64(prefix << (64 - lead)) if lead else np.uint64(0)))
+    counts = np.where(draw.random(len(found)) < 0.5, 1, draw.integers(1, 10_000, len(found)))
+    back = quotient.decode(quotient.encode(found, counts, lead), prefix, lead)
+    assert (back[0] == found).all() and (back[1] == counts).all()
+    wide = 64 - lead - quotient.QUOTIENT_BITS + 1
+    for x in (1, 2, 5):
+        for c in (3, 4, 5, 1 << 20):
+            assert quotient._counter(x, c, wide)[1] < x
+
+
+def test_exact_dedup(spark, edge, empty, data):
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.equal_texts(edge).collect()}
+    assert {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (8, 8, 2, True), (6, 6, 1, True), (None, None, 1, True)} <= found
+    assert exact_dedup.equal_texts(empty).count() == 0
+    docs = table(spark, data, "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    most = {}
+    for i, t in texts.items():
+        most[t] = max(most.get(t, -1), i)
+    size = Counter(texts.values())
+    for r in exact_dedup.equal_texts(docs).collect():
+        t = texts[r.doc_id]
+        assert (r.keep_id, r.group_size, r.text_sha256) == (most[t], size[t], hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_mix(spark, edge, empty, data):
+    rows = mixing.mix(table(spark, data, "documents")).collect()
+    total = sum(r.size for r in rows)
+    sources = sorted({r.source for r in rows})
+    own = {s: sum(r.size for r in rows if r.source == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    capped: set = set()
+    while True:
+        left = total - sum(3 * own[s] for s in capped)
+        level = left / sum(weight[s] for s in sources if s not in capped)
+        more = {s for s in sources if s not in capped and weight[s] * level > 3 * own[s]}
+        if not more:
+            break
+        capped |= more
+    for r in rows:
+        target = 3 * own[r.source] if r.source in capped else weight[r.source] * level
+        assert r.target == pytest.approx(target) and r.copies <= 3
+    for s in sources:
+        taken, target = sum(r.size * r.copies for r in rows if r.source == s), next(r.target for r in rows if r.source == s)
+        assert abs(taken - target) <= 2 * max(r.size for r in rows if r.source == s)
+    found = mixing.mix(edge).collect()
+    assert len(found) == len(ROWS) and all(r.copies == 0 for r in found if not r.size)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mix_in_many_blocks(spark, monkeypatch):
+    docs = spark.range(0, 900).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 17 as int))").alias("text"), F.when(F.col("id") < 600, "a").otherwise("b").alias("source"))
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 900
+    for s in "ab":
+        taken, target = sum(r.size * r.copies for r in rows if r.source == s), next(r.target for r in rows if r.source == s)
+        assert abs(taken - target) < 0.1 * target
+
+
+def test_pivot_keeps_sums_and_chances():
+    p = np.full(50, 0.3)
+    sums = [mixing.pivot(p, str(i)) for i in range(300)]
+    for s in sums:
+        assert s.sum() == pytest.approx(15) and (((s > 0) & (s < 1)).sum() <= 1)
+    assert np.mean([s[7] for s in sums]) == pytest.approx(0.3, abs=0.09)
+
+
+def brute_classes(texts, words):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = [i for i in sets if sets[i]]
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_match_all_pairs(spark, data, words):
+    docs = table(spark, data, "documents")
+    want = brute_classes({r.doc_id: r.text for r in docs.collect()}, words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.linked(docs, words).collect()}
+    assert got == want
+
+
+def test_near_duplicates_in_one_hot_bucket(spark, monkeypatch):
+    """A family whose members are often just below the threshold to each other, met in small blocks."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(draw.choice([1, 3, 5, 8])):
+            own[draw.randrange(60)] = f"z{draw.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "OPEN_BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.linked(docs, 2).collect()}
+    assert got == brute_classes(dict(rows), 2)
+
+
+def test_near_duplicates_of_odd_rows(edge, empty):
+    found = {(r.doc_id, r.component_id) for r in near_dup.linked(edge, 2).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 4), (10, 10), (8, 8), (None, None)} <= found
+    assert near_dup.linked(empty, 2).count() == 0
+
+
+def test_estimates_are_close():
+    draw = np.random.default_rng(5)
+    shared, own = draw.integers(0, 1 << 63, 900, dtype=np.uint64), draw.integers(0, 1 << 63, 200, dtype=np.uint64)
+    a, b = np.sort(np.concatenate((shared, own[:100]))), np.sort(np.concatenate((shared, own[100:])))
+    bits = near_dup.packed_bits(near_dup.minima(np.concatenate((a, b)), np.array([0, len(a)])))
+    assert near_dup.estimates(bits[:1], bits[1:])[0, 0] == pytest.approx(900 / 1100, abs=0.12)
+    assert near_dup.estimates(bits[:1], bits[:1])[0, 0] == 1
+
+
+def test_components_match_union_find(spark):
+    draw = random.Random(2)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: root(i) for i in list(up) if root(i) != i}
+
+
+def test_packing(spark, edge, empty, data):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(VOCABULARY)
+    docs = table(spark, data, "documents").unionByName(edge.select("doc_id", "text", "source", "lang", F.lit(0).cast("long").alias("n_chars")).where("doc_id = 7 or doc_id is null or text is null"))
+    texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+    pieces = packing.pack_documents(docs, VOCABULARY).collect()
+    want = Counter()
+    for (i, t), n in texts.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.update({(i, k, at, min(2048, len(ids) - at), zlib.crc32(ids[at : at + 2048].tobytes())): n for k, at in enumerate(range(0, len(ids), 2048))})
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    full = {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == full.get(r.sequence_id, 0)
+        full[r.sequence_id] = r.offset + r.length
+    assert max(full.values()) <= 2048 and len(full) <= 1.02 * sum(full.values()) / 2048 + 1
+    assert packing.pack_documents(empty, VOCABULARY).count() == 0
+    assert packing.pack_documents(edge, VOCABULARY).where("doc_id = 6").agg(F.sum("length")).first()[0] > 30_000
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_every_capacity_holds(spark, monkeypatch, rule):
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    rows = [(i, 0, 0, 1 + (i * 37) % 300, i) for i in range(700)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    packed = packing.pack_pieces(pieces, rule, (512, 5, 90_000), (1.0, 1.0, 1.0)).collect()
+    assert len(packed) == 700
+    held = {}
+    for r in packed:
+        held.setdefault(r.sequence_id, []).append(r.length)
+    for own in held.values():
+        assert sum(own) <= 512 and len(own) <= 5 and sum(n * n for n in own) <= 90_000
+
+
+def test_tokens_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(VOCABULARY)
+    texts = ["", None, " ", "it's Ünïcode’s 3.14 é", "a b c\tD\r\nE", "x" * 5000, "Σίσυφος ἀÀ", "1a2b!?", "don't--stop 'sudden", "İx é É"]
+    for ids, t in zip(TextTokens(VOCABULARY).encode(pa.array(texts)), texts, strict=True):
+        assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_media_round_trip(edge, empty):
+    rows = {r.doc_id: r for r in media.digests(edge).collect()}
+    for i, t, _ in ROWS:
+        b = (t or "").encode()
+        p = b.ljust(max(1, -(-len(b) // 576)) * 576, b"\xff")
+        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256) == (len(b), len(p), hashlib.sha256(p).hexdigest())
+    assert media.digests(empty).count() == 0 and media.clips(media.stored(empty)).count() == 0
+    clips = media.clips(media.stored(edge)).where("doc_id = 6").orderBy("clip").collect()
+    assert clips[0].start_s == 0 and all(a.end_s == b.start_s for a, b in zip(clips[:-1], clips[1:], strict=True))
+    assert round(clips[-1].end_s * avi.RATE) == -(-len(LONG) // 576)
+
+
+def test_avi_parts():
+    draw = np.random.default_rng(4)
+    samples = draw.integers(0, 256, (7, 24, 24), dtype=np.uint8)
+    samples[3:] = draw.integers(200, 256, (4, 24, 24), dtype=np.uint8)
+    frames = avi.encode_frames(samples)
+    file = avi.write_avi(frames)
+    back, rate = avi.read_avi(file)
+    assert back == frames and rate == 25 and (avi.decode_frames(back) == samples).all()
+    without = bytearray(file[: file.rindex(b"idx1")])
+    assert avi.read_avi(bytes(without))[0] == frames  # by the movie's chunks
+    assert [s[:2] for s in avi.shots(samples)] == [(0, 3), (3, 7)]
+    with pytest.raises(ValueError):
+        avi.read_avi(b"RIFFxxxxWAVE")
+
+
+PAGE = '<html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="home ad-free"><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use</div><div class=main-column><h1>Title %d &amp; more</h1><p>Text   of\n page %d <b>bold</b><p>next<br>line &eacute; %s<ul><li>one %d<li>two</ul><div class=tail>Thanks for reading</div></div><aside>side</aside><form><p>mail</p></form><div id="comments"><p>first!</p></div><footer>&copy;</footer></body></html>'
+
+
+def test_extraction(spark, data):
+    rows = [(i, f"https://h.example/{i}", PAGE % (i, i, "word " * (20 + i), i)) for i in range(12)]
+    rows += [(100, None, None), (101, "x", ""), (102, "https://one.example", "<article><p>a<p>b</article>"), (None, "https://two.example", "plain &lt; text")]
+    rows.append(rows[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    found = [(r.page_id, r.text) for r in extraction.extracted(pages).collect()]
+    assert len(found) == len(rows)
+    text = dict(found)
+    for i in range(12):
+        assert text[i] == f"Title {i} & more\nText of page {i} bold\nnext line é " + " ".join(["word"] * (20 + i)) + f"\none {i}\ntwo"
+    assert (text[100], text[101], text[102], text[None]) == ("", "", "a\nb", "plain < text")
+    assert extraction.extracted(pages.where("false")).count() == 0
+    real = table(spark, data, "pages")
+    html = {r.page_id: r.html for r in real.collect()}
+    for r in extraction.extracted(real).collect():
+        from html import unescape
+
+        inner = re.search("<article>(.*?)</article>", html[r.page_id], re.S)[1]
+        parts = [" ".join(unescape(re.sub("<[^>]+>", "", p)).split()) for p in re.split("</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(p for p in parts if p)
+
+
+def test_markup_survives_bad_input():
+    for html in ("<", "<p", "</", "<p <b>x", '<a href="x', "<!--", "<script>", "<p>" * 500, "<div class='ad'>x</div>" * 50, "a" * 100_000 + "<" * 2000):
+        markup.blocks(html, None)
+        extraction.path_tokens(html)
+
+
+def test_personal_data(spark, edge, empty):
+    rows = {r.doc_id: r for r in pii.personal_data(edge).collect()}
+    r = rows[7]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert "[email]" in r.redacted and "jo.doe" not in r.redacted
+    assert rows[3].spans == "" and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_base_spans_match_the_patterns():
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def plain(text):
+        found = []
+        for kind, p in patterns.items():
+            for m in re.finditer(p, text):
+                d = re.sub("[^0-9]", "", m[0])
+                if {"email": True, "ip": kind == "ip" and all(int(x) < 256 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                    found.append((m.start(), m.end(), kind))
+        return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+    draw = random.Random(6)
+    parts = ["a", "@", ".", "1", "23", "+", "-", " ", "(", ")", "255", "b.c", "x@y.z", "4111111111111111", "300", "1.2.3.4", "é"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 20)))
+        assert pii.base_spans(text) == plain(text)
+
+
+def test_added_spans_pass_the_calibrated_threshold():
+    model = pii.trained()
+    draw = random.Random(99)
+    rows = [pii.labelled(draw) for _ in range(1500)]
+    x = np.array([pii.features(t, *s) for t, s, _ in rows], float)
+    passed = boosting.predict(model[0], x) >= np.array([max(0.0, model[1][s[2]]) for _, s, _ in rows])
+    good = np.array([label for *_, label in rows])
+    assert good[passed].mean() > 0.95 and passed[good == 1].mean() > 0.7
+    text = "write to jo.doe (at) mail (dot) example now"
+    assert [s[2] for s in pii.select(text, pii.base_spans(text), *model)] == ["email"]
+
+
+def test_boosting_learns_a_threshold():
+    draw = np.random.default_rng(0)
+    x = draw.random((600, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float)
+    assert ((boosting.predict(boosting.fit(x, y), x) > 0) == (y == 1)).mean() > 0.97
+
+
+def test_quality(spark, edge, empty):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    weights = quality.quality_model(docs, labels)
+    rows = quality.score(docs, weights).join(labels, "doc_id").where(quality.held_out()).select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(g > b for g in good for b in bad) > 0.95 * len(good) * len(bad)
+    assert sum(g >= quality.GOOD for g in good) > 0.97 * len(good)
+    scored = quality.score(edge, weights)
+    assert scored.columns == [*[c for c in edge.columns if c != "score"], "score"]
+    assert all(0 <= r.score <= 1 for r in scored.collect())
+    assert quality.score(empty, weights).count() == 0
+    assert not quality.train(docs, labels.select("doc_id", F.lit(None).cast("int").alias("label"))).any()
+
+
+def test_held_out_is_crc_by_five(spark):
+    rows = spark.range(0, 200).select("id", quality.held_out("id").alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_secrets(spark, edge, empty):
+    found = secrets.scan(edge).where("is_secret").collect()
+    text = dict((i, t) for i, t, _ in ROWS)
+    assert [(r.doc_id, r.value) for r in found] == [(8, text[8][9:49])] * 2
+    assert all(text[r.doc_id][r.start : r.end] == r.value for r in secrets.scan(edge).collect())
+    assert secrets.scan(empty).count() == 0
+
+
+def test_secrets_removes_false_alarms(spark):
+    model, assembler = secrets.train(secrets.labelled_findings(spark))
+    fresh = secrets.labelled_findings(spark, 9000).where("xxhash64(value) % 3 = 0")
+    rows, _ = secrets.features(fresh)
+    right = model.transform(assembler.transform(rows)).select((F.col("__label") == F.col("label")).cast("int").alias("r")).agg(F.avg("r")).first()[0]
+    assert right > 0.97
