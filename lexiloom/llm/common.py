@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -19,13 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def own_dir(application: str) -> str:
+    """A local folder for one application that runs on this machine alone."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and one of our own only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local session gets a
+    folder of its own, and a cluster one in its warehouse."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = own_dir(context.applicationId)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexiloom"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,6 +63,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             yield batch.slice(start)
 
 
-def rows_per_task(df: DataFrame, rows: int) -> int:
-    """A number of parts that grows with the rows of df; the count comes from file footers."""
-    return max(1, -(-df.count() // rows))
+#: Words of 64 bits in a sieve, at most: what is broadcast has this bound, however many keys there are.
+SIEVE_WORDS = 1 << 18
+
+
+class Sieve:
+    """A bitmap of hashed keys that passes every row whose key is among them and few others; as bits fill up it passes more.
+
+    It goes before a shuffle that only rows with these keys need: the bitmap is a table of SIEVE_WORDS rows at most, so it
+    is broadcast at any scale. keys must be a written table, since it is counted first.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        self.words = min(SIEVE_WORDS, max(64, 1 << (keys.count() // 4).bit_length()))
+        word, bit = self._place(column)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        self.bits = F.broadcast(keys.select(word.alias("__word"), one.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
+
+    def _place(self, column: str):
+        h = F.xxhash64(F.lit("sieve"), F.col(column))
+        return F.pmod(h, F.lit(self.words)), F.shiftright(h, 40).bitwiseAND(63).cast("int")
+
+    def marked(self, df: DataFrame, column: str) -> DataFrame:
+        """df with __hit: whether a row's key may be among the sieve's."""
+        word, bit = self._place(column)
+        joined = df.join(self.bits, word == F.col("__word"), "left")
+        return joined.withColumn("__hit", F.coalesce(F.call_function("getbit", F.col("__bits"), bit) == 1, F.lit(False))).drop("__word", "__bits")
+
+    def passed(self, df: DataFrame, column: str) -> DataFrame:
+        return self.marked(df, column).where("__hit").drop("__hit")
+
+
+def without(df: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose key is in dropped, a written table; only rows that the sieve passes are shuffled."""
+    marked = Sieve(dropped, column).marked(df, column)
+    kept = marked.where("not __hit").select(df.columns)
+    return kept.unionByName(marked.where("__hit").select(df.columns).join(dropped.select(column).distinct(), column, "left_anti").select(df.columns))

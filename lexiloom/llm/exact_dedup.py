@@ -3,7 +3,8 @@
 Each partition builds filters over the 64-bit fingerprints of its texts, one for each block of leading bits. The blocks
 merge losslessly by their sorted remainders, so a fingerprint's count is exact over the whole table, and what crosses the
 network is a slot for each fingerprint and partition, however often a text repeats. Only texts whose fingerprint counts
-more than one are compared byte by byte, grouped by the text itself with a partial aggregate before the shuffle.
+more than one (and the few others that their bounded, broadcast bitmap passes) are compared byte by byte, grouped by the
+text itself with a partial aggregate before the shuffle; groups of one drop out.
 
 Defined results: null counts as empty, so null and empty texts are equal; of equal texts the row with the largest doc_id
 stays (a null doc_id is below all others); a row repeated with its doc_id is the same document, and both copies carry the
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quotient
-from .common import table, text_of
+from .common import Sieve, cut, table, text_of
 
 #: Fingerprints in a filter block, about.
 BLOCK_ROWS = 1 << 15
@@ -84,7 +85,7 @@ def equal_texts(docs: DataFrame, rows: int | None = None) -> DataFrame:
     whole = docs.select("doc_id", text_of().alias("text"))
     marked = whole.withColumn("fp", F.xxhash64("text"))
     filters = merged_filters(partition_filters(marked.select("fp"), lead), lead)
-    candidates = marked.join(repeated(filters, lead).select("fp"), "fp", "left_semi")
+    candidates = Sieve(cut(repeated(filters, lead).select("fp")), "fp").passed(marked, "fp")
     same = candidates.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = same.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     rows_ = whole.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
