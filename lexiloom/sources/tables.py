@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +13,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@cache
+def own_folder(application: str) -> str:
+    """A local folder for one application that runs on this machine alone."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a local one in local
+    mode and one in the warehouse on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = own_folder(context.applicationId)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexiloom"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, which driver and executors share, and read again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: lineage ends here."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
