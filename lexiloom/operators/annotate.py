@@ -47,6 +47,28 @@ def normalized(annotated: DataFrame, column: str = "lemmas") -> DataFrame:
     return annotated.select("doc_id", "sent_id", F.array_join(F.transform(column, lambda t: F.replace(t, F.lit(" "), F.lit("_"))), " ").alias("line"))
 
 
+def tokens_between(one: Column, other: Column, tags: Column, ignored: str = "") -> Column:
+    """How many tokens lie between two token numbers of a sentence, leaving out those with ignored tags."""
+    first = F.least(one, other)
+    inner = F.slice(tags, first + 2, F.greatest(F.lit(0), F.greatest(one, other) - first - 1))
+    return F.size(F.filter(inner, lambda t: ~F.array_contains(F.array(*[F.lit(c) for c in ignored]), t)) if ignored else inner)
+
+
+def add(annotations: DataFrame, more: DataFrame) -> DataFrame:
+    """Annotations as a set; equal rows are one."""
+    return annotations.unionByName(more).distinct()
+
+
+def remove(annotations: DataFrame, gone: DataFrame) -> DataFrame:
+    return annotations.join(gone, annotations.columns, "left_anti")
+
+
+def merged(pairs: DataFrame) -> DataFrame:
+    """(doc_id, start, end) from pairs (doc_id, start, other_doc_id, other_end) of a left and a right annotation; other documents are an error."""
+    same = F.col("doc_id") == F.col("other_doc_id")
+    return pairs.select(F.when(same, F.col("doc_id")).otherwise(F.raise_error(F.lit("annotations of two documents"))).alias("doc_id"), "start", F.col("other_end").alias("end"))
+
+
 def corpus_stats(annotated: DataFrame, concepts: DataFrame) -> DataFrame:
     """One row of counts: documents, sentences, tokens; concepts, discontinuous ones and unigrams, with their types.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cache
 from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import ngrams_of
@@ -33,6 +33,27 @@ def total_counts(model: DataFrame) -> DataFrame:
     return model.groupBy("n").agg(F.sum("freq").alias("total"))
 
 
+def save_model(model: DataFrame, path: str) -> None:
+    """A model as Parquet, one folder for each length."""
+    model.write.mode("overwrite").partitionBy("n").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def iterate(model: DataFrame, n: int, least: int = 1) -> DataFrame:
+    """Terms of one length that occur `least` times."""
+    return model.where((F.col("n") == n) & (F.col("freq") >= least))
+
+
+def without_words(bigrams: DataFrame, words: DataFrame) -> DataFrame:
+    """bigrams (term, ...) neither of whose tokens is in words (word), a list of stop words or signs."""
+    barred = words.select("word").distinct()
+    first = bigrams.join(barred.toDF("__w"), F.get("term", F.lit(0)) == F.col("__w"), "left_anti")
+    return first.join(barred.toDF("__w"), F.get("term", F.lit(1)) == F.col("__w"), "left_anti")
+
+
 def unigram_total(model: DataFrame) -> DataFrame:
     """One row, total: the surviving single words' occurrences, which all probabilities refer to."""
     return model.where("n = 1").agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total"))

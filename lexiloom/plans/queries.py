@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import measures
 from lexiloom.functions.text import in_context, meets_span, ngrams_of, subsequences_of
 from lexiloom.operators import annotate, candidates, evaluation, ngrams, ranking, statistics, termhood
+from lexiloom.plans import extraction
 from lexiloom.sources.tables import table, written
 
 FILTER, MIN_FREQ, THRESHOLD = "simple", 2, 2.0
@@ -276,6 +277,13 @@ def hypernym_dcs(spark, d):
     return _disc(candidates.hypernyms(found, annotated, known, FILTER))
 
 
+def extraction_run(spark, d):
+    """Instances that the whole extraction accepts, contiguous and discontinuous."""
+    annotated, m = extraction.preprocess(english(spark, d))
+    found = extraction.extract(annotated, m, ngrams.ngram_counts(reference(spark, d), 1), term_list(spark, d))
+    return _disc(found["accepted"])
+
+
 def skipgram_counts(spark, d):
     return joined(ngrams.skipgram_model(target(spark, d), 4, 5), "pattern", "n_words", "freq")
 
@@ -365,7 +373,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences, tokens, pos_dist, corpus_stats, ngram_counts, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
-        rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs,
+        rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )
 } | {

@@ -210,3 +210,33 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT freq FROM counts WHERE term = 'a'").first().freq == 2
+
+
+def test_small_operators(spark, tmp_path):
+    model = spark.createDataFrame([(["a", "b"], 2, 5), (["the", "b"], 2, 4), (["a"], 1, 9)], "term array<string>, n int, freq long")
+    ngrams.save_model(model, str(tmp_path / "m"))
+    assert sorted(tuple(r.term) for r in ngrams.load_model(spark, str(tmp_path / "m")).collect()) == [("a",), ("a", "b"), ("the", "b")]
+    stop = spark.createDataFrame([("the",)], "word string")
+    assert [r.term for r in ngrams.without_words(ngrams.iterate(model, 2, 4), stop).collect()] == [["a", "b"]]
+    tags = F.array(*[F.lit(c) for c in "nc,n"])
+    assert one(spark, annotate.tokens_between(F.lit(3), F.lit(0), tags)) == 2
+    assert one(spark, annotate.tokens_between(F.lit(0), F.lit(3), tags, ",")) == 1
+    spans = spark.createDataFrame([("d", 0, 2), ("d", 0, 2), ("d", 3, 4)], "doc_id string, start int, end int")
+    assert annotate.add(spans, spans).count() == 2 and annotate.remove(spans, spans.where("start = 3")).count() == 2
+    pairs = spark.createDataFrame([("d", 0, "e", 4)], "doc_id string, start int, other_doc_id string, other_end int")
+    with pytest.raises(Exception, match="two documents"):
+        annotate.merged(pairs).collect()
+
+
+def test_extraction_accepts_by_type(spark):
+    from lexiloom.plans import extraction
+
+    text = ". ".join(["nk cell line", "nk and t cell line", "t cell line", "blood cell line is big", "nk cell line"] * 3)
+    annotated, model = extraction.preprocess(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    reference = ngrams.ngram_counts(annotated, 1)
+    listed = spark.createDataFrame([(["nk", "cell", "line"],)], "term array<string>")
+    for before in (True, False):
+        found = extraction.extract(annotated, model, reference, listed, extraction.Configuration(consider_dcs_in_ranking=before))
+        got = {tuple(r.positions) for r in found["accepted"].where(F.array_join("term", " ") == "nk cell line").collect()}
+        assert got == {(0, 1, 2), (0, 3, 4)}
+        assert found["metrics"].where("vote is null").count() == 0
