@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import Sieve, cut, slices, table
 from .components import components, roots
 
 SIMILAR = 0.8
@@ -277,8 +277,9 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     placed = classes.select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(placed.join(shared, "key").select("key", "rep", "leader", "m"))
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"))
+    ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
+    some = Sieve(ids, "doc_id").passed(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    texts = cut(some.join(ids, "doc_id", "left_semi"))
 
     # each document and the leader it shares most buckets with
     often = members.where("rep != leader").groupBy("rep", "leader").count()
