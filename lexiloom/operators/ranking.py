@@ -19,28 +19,32 @@ BLACKLIST = ["figure", "fig.", "table", "various", "other", "most", "many", "cur
 LEAST_GLOSSEX = 1.5
 
 
+def ranks_of(values: DataFrame, columns: list[str]) -> DataFrame:
+    """(term, measure, rank) of each column of values (term, ...), all in one pass; ties by term, nulls last."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns])
+    one = values.select("term", F.explode(pairs).alias("p")).select("term", "p.measure", F.when(F.col("p.value").isNull(), 1).otherwise(0).alias("none"), (-F.col("p.value")).alias("low"), F.array_join("term", " ").alias("text"))
+    order = ["measure", "none", "low", "text"]
+    parts = written(one.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    within = parts.withColumn("at", F.row_number().over(W.partitionBy("measure", "part").orderBy(*order[1:])))
+    sizes = parts.groupBy("measure", "part").agg(F.count(F.lit(1)).alias("size"))  # one row for each range
+    before = W.partitionBy("measure").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select("measure", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    return within.join(F.broadcast(first), ["measure", "part"]).select("term", "measure", (F.col("at") + F.col("before")).cast("int").alias("rank"))
+
+
 def ranked(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """values (term, ...) with a rank from 1 by falling value, ties by term; nulls come last."""
-    order = [F.col(value).desc_nulls_last(), F.array_join("term", " ")]
-    dealt = values.select("*", F.struct(F.when(F.col(value).isNull(), 1).otherwise(0).alias("z"), (-F.col(value)).alias("v")).alias("__key"))
-    parts = written(dealt.repartitionByRange(F.col("__key"), F.array_join("term", " ")).withColumn("__part", F.spark_partition_id()))
-    within = parts.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
-    first = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    return within.join(F.broadcast(first), "__part").withColumn(name, (F.col("__at") + F.col("__before")).cast("int")).drop("__key", "__part", "__at", "__before")
+    return values.join(ranks_of(values, [value]).select("term", F.col("rank").alias(name)), "term")
 
 
 def vote(values: DataFrame, columns: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """values with vote: the sum over rankings of weight over rank."""
-    out = values
-    for c in columns:
-        out = ranked(out, c, f"rank_{c}")
+    """values with rank_<column> for each column, and vote: the sum over rankings of weight over rank."""
+    ranks = ranks_of(values, columns).groupBy("term").agg(*[F.max(F.when(F.col("measure") == c, F.col("rank"))).alias(f"rank_{c}") for c in columns])
     parts = [F.lit(float((weights or {}).get(c, 1))) / F.col(f"rank_{c}") for c in columns]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return out.withColumn("vote", total)
+    return values.join(ranks, "term").withColumn("vote", total)
 
 
 def filter_at_value(values: DataFrame, value: str, least: float) -> DataFrame:
