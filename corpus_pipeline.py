@@ -15,17 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import exact_dedup, mixing, near_dup, packing, quality
-from lexiloom.llm.common import cut, table
+from lexiloom.llm.common import cut, table, without
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE = 5
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier takes as good; it learns from the labels of rows that are not held out."""
     weights = quality.quality_model(docs, table(spark, sf_dir, "labels"))
@@ -34,12 +29,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the largest id."""
-    return without(docs, exact_dedup.equal_texts(docs).where("not kept"))
+    return without(docs, cut(exact_dedup.equal_texts(docs).where("not kept").select("doc_id")), "doc_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id."""
-    return without(docs, near_dup.linked(docs, SHINGLE).where("doc_id != component_id"))
+    return without(docs, cut(near_dup.linked(docs, SHINGLE).where("doc_id != component_id").select("doc_id")), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,29 +54,32 @@ def partition_filters(fingerprints: DataFrame, lead: int) -> DataFrame:
     return fingerprints.mapInArrow(build, "block long, filter binary")
 
 
+def merged(filters: list[bytes], block: int, lead: int) -> bytes:
+    """The union of filters of one block, counts added."""
+    parts = [quotient.decode(f, block, lead) for f in filters]
+    return quotient.encode(*quotient.tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), lead)
+
+
 def merged_filters(filters: DataFrame, lead: int) -> DataFrame:
-    """One (block, filter) for each block: the union of the partitions' filters, counts added."""
+    """One (block, filter) for each block of the partitions' filters."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        parts = [quotient.decode(f, block, lead) for f in group.column("filter").to_pylist()]
-        found, counts = quotient.tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        return pa.table({"block": pa.array([block], pa.int64()), "filter": pa.array([quotient.encode(found, counts, lead)], pa.binary())})
+        whole = merged(group.column("filter").to_pylist(), key[0].as_py(), lead)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([whole], pa.binary())})
 
     return filters.groupBy("block").applyInArrow(merge, "block long, filter binary")
 
 
 def repeated(filters: DataFrame, lead: int) -> DataFrame:
-    """The fingerprints that merged filters count more than once: (fp, n)."""
+    """The fingerprints that the partitions' filters, merged, count more than once: (fp, n)."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, counts = quotient.decode(held, block, lead)
-                many = counts > 1
-                yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many])], ["fp", "n"])
+    def read(key: tuple, group: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        found, counts = quotient.decode(merged(group.column("filter").to_pylist(), block, lead), block, lead)
+        many = counts > 1
+        return pa.table({"fp": pa.array(found[many].view(np.int64)), "n": pa.array(counts[many])})
 
-    return filters.mapInArrow(read, "fp long, n long")
+    return filters.groupBy("block").applyInArrow(read, "fp long, n long")
 
 
 def equal_texts(docs: DataFrame, rows: int | None = None) -> DataFrame:
@@ -84,7 +87,7 @@ def equal_texts(docs: DataFrame, rows: int | None = None) -> DataFrame:
     lead = lead_bits(docs.count() if rows is None else rows)
     whole = docs.select("doc_id", text_of().alias("text"))
     marked = whole.withColumn("fp", F.xxhash64("text"))
-    filters = merged_filters(partition_filters(marked.select("fp"), lead), lead)
+    filters = partition_filters(marked.select("fp"), lead)
     candidates = Sieve(cut(repeated(filters, lead).select("fp")), "fp").passed(marked, "fp")
     same = candidates.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = same.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")

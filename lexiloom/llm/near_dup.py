@@ -81,6 +81,15 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value[first], np.concatenate(([0], np.cumsum(sizes)))
 
 
+def each_set(texts: pa.Array, words: int, max_bytes: int = 1 << 18) -> list[np.ndarray]:
+    """The shingle set of each text, cut a few at a time."""
+    found: list[np.ndarray] = []
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", max_bytes):
+        values, starts = shingle_sets(part.column("text"), words)
+        found += [values[a:b].copy() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return found
+
+
 @lru_cache(1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     draws = np.random.default_rng(8).integers(0, 1 << 63, (2, MINIMA), dtype=np.uint64)
@@ -124,7 +133,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = mixed(np.arange(1, ROWS + 1, dtype=np.uint64))[:, None]
         number = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))[:, None]
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             values, starts = shingle_sets(batch.column("text"), words)
             sizes = np.diff(starts)
             some = np.flatnonzero(sizes)
@@ -158,15 +167,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar, with their texts from texts (doc_id, text)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b", 1 << 20):
+        for batch in slices(batches, "text_b", 1 << 19):
             # a text that pairs share is cut into shingles once a slice
             a, b = batch.column("text_a").dictionary_encode(), batch.column("text_b")
-            a_values, a_starts = shingle_sets(a.dictionary, words)
-            b_values, b_starts = shingle_sets(b, words)
-            good = np.zeros(len(b), bool)
-            for i, k in enumerate(a.indices.to_pylist()):
-                good[i] = similar(a_values[a_starts[k] : a_starts[k + 1]], b_values[b_starts[i] : b_starts[i + 1]])
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            of_a, of_b = each_set(a.dictionary, words), each_set(b, words)
+            good = [similar(of_a[k], own) for k, own in zip(a.indices.to_pylist(), of_b, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -224,16 +230,15 @@ def links_in(words: int):
 
     def answer(group: pa.Table) -> pa.Table:
         u, x, can, guess = open_pairs(group)
-        values, starts = shingle_sets(group.column("text").combine_chunks(), words)
+        sets = each_set(group.column("text").combine_chunks(), words)
         rep = group.column("rep").to_numpy()
         names, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
         a, b = [], []
         for i, row in enumerate(u.tolist()):
             mates = np.flatnonzero(can[i])
-            one = values[starts[row] : starts[row + 1]]
             for j in mates[np.argsort(-guess[i, mates], kind="stable")].tolist():
                 other = int(x[j])
-                if component[row] != component[other] and similar(one, values[starts[other] : starts[other + 1]]):
+                if component[row] != component[other] and similar(sets[row], sets[other]):
                     component[component == component[other]] = component[row]
                     a.append(int(rep[row]))
                     b.append(int(rep[other]))

@@ -35,7 +35,7 @@ ALPHA, BETA, L1, L2 = 1.5, 1.0, 0.01, 0.02
 #: A text is taken as good from this score on.
 GOOD = 0.3
 #: Words that a task remembers the hashes of.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 UNIT = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -73,7 +73,7 @@ def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for text in pdf["text"]:
         index, values = features(text, hashes)
-        rows.append((np.append(index, DIMENSIONS), np.append(values, 1.0)))
+        rows.append((np.append(index, DIMENSIONS).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for _ in range(EPOCHS):
         for (index, values), label in zip(rows, pdf["label"], strict=True):

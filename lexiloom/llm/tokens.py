@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a task remembers before it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A text with other characters than these is encoded as it is; in these the tokenizer's units are runs of letters, single digits and runs of signs.
 OTHER = r"[^\x20-\x26\x28-\x7E\nÀ-ÖØ-öø-ÿ]"
 BETWEEN_LETTERS = r"([0-9]|[^ \pL0-9]+)"

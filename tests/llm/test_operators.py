@@ -84,6 +84,19 @@ def test_exact_dedup(spark, edge, empty, data):
         assert (r.keep_id, r.group_size, r.text_sha256) == (most[t], size[t], hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_partition_filters_merge_losslessly(spark):
+    texts = spark.range(0, 4000).select((F.col("id") % 1300).alias("t")).repartition(5)
+    prints = texts.select(F.xxhash64("t").alias("fp"))
+    parts = exact_dedup.partition_filters(prints, 4)
+    held = {}
+    for block, data in exact_dedup.merged_filters(parts, 4).collect():
+        found, counts = quotient.decode(bytes(data), block, 4)
+        held |= dict(zip(found.view(np.int64).tolist(), counts.tolist(), strict=True))
+    want = {r.fp: r["count"] for r in prints.groupBy("fp").count().collect()}
+    assert held == want
+    assert {(r.fp, r.n) for r in exact_dedup.repeated(parts, 4).collect()} == {(f, n) for f, n in want.items() if n > 1}
+
+
 def test_mix(spark, edge, empty, data):
     rows = mixing.mix(table(spark, data, "documents")).collect()
     total = sum(r.size for r in rows)
