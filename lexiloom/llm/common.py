@@ -49,7 +49,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about max_bytes of the column; a longer row makes a piece of its own."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -61,6 +61,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             total += n
         if start < len(lengths):
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 #: Words of 64 bits in a sieve, at most: what is broadcast has this bound, however many keys there are.
