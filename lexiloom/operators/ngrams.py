@@ -21,6 +21,14 @@ def ngram_model(annotated: DataFrame, max_n: int = 5, min_freq: int = 1, column:
     return counted.where(F.col("freq") >= max(1, min_freq)).select("term", F.size("term").alias("n"), "freq", "docs")
 
 
+def doc_ngrams(annotated: DataFrame, max_n: int = 5, tag_pattern: str | None = None, column: str = "lemmas") -> DataFrame:
+    """(doc_id, term, n, freq): runs of 1 to max_n tokens of each document, those of the tag pattern only if one is given."""
+    runs = F.arrays_zip(ngrams_of(F.col(column), 1, max_n).alias("term"), ngrams_of(F.col("tags"), 1, max_n).alias("run_tags"))
+    one = annotated.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.term", F.array_join("r.run_tags", "").alias("run_tags"))
+    some = one if tag_pattern is None else one.where(F.col("run_tags").rlike(f"^(?:{tag_pattern})$"))
+    return some.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("freq")).select("doc_id", "term", F.size("term").alias("n"), "freq")
+
+
 def ngram_counts(annotated: DataFrame, max_n: int = 5, min_freq: int = 1, column: str = "lemmas") -> DataFrame:
     """(term, n, freq), as ngram_model but without document counts, in one shuffle."""
     runs = annotated.select(F.explode(ngrams_of(F.col(column), 1, max_n)).alias("term"))

@@ -131,6 +131,7 @@ ORACLE = {
     "pos_dist": f"WITH {TARGET} SELECT tag, count(*) AS n, min(word) AS example, round(100 * count(*) / (SELECT count(*) FROM tok)::DOUBLE, 2) AS percent FROM tok GROUP BY tag",
     "corpus_stats": f"WITH {TARGET}, {_found(least=1)} SELECT (SELECT count(DISTINCT doc_id) FROM tok) AS docs, (SELECT count(*) FROM (SELECT DISTINCT doc_id, sent_id FROM tok)) AS sentences, (SELECT count(*) FROM tok) AS tokens, count(*) AS concepts, count(DISTINCT term) AS concepts_types, 0::BIGINT AS disc, 0::BIGINT AS disc_types, count(*) FILTER (n = 1) AS unigrams, count(DISTINCT term) FILTER (n = 1) AS unigrams_types FROM found",
     "ngram_counts": f"WITH {TARGET}, {_runs('runs', 'tok_w', 1, 3)} SELECT term, n::INTEGER AS n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM runs GROUP BY term, n",
+    "doc_ngrams": f"WITH {TARGET}, {_found(least=1)} SELECT doc_id, term, n::INTEGER AS n, count(*) AS freq FROM found WHERE n <= 3 GROUP BY doc_id, term, n",
     "ngram_totals": f"WITH {TARGET}, {_model(5)} SELECT n::INTEGER AS n, sum(freq)::BIGINT AS total FROM model GROUP BY n",
     "aggregate_model": f"WITH {TARGET}, {REFERENCE}, {_model(3)}, {_model(3, MIN_FREQ, 'rmodel', 'rruns', 'rtok_w')} SELECT term, n::INTEGER AS n, sum(freq)::BIGINT AS freq FROM (SELECT * FROM model UNION ALL SELECT * FROM rmodel) GROUP BY term, n",
     "contingency": _uni("ab", "a_nb", "na_b", "na_nb"),

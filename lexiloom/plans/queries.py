@@ -84,6 +84,10 @@ def ngram_counts(spark, d):
     return joined(ngrams.ngram_model(target(spark, d), 3))
 
 
+def doc_ngrams(spark, d):
+    return joined(ngrams.doc_ngrams(target(spark, d), 3, candidates.FILTERS[FILTER]))
+
+
 def ngram_totals(spark, d):
     return ngrams.total_counts(ngrams.ngram_counts(target(spark, d), 5, MIN_FREQ))
 
@@ -372,7 +376,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        sentences, tokens, pos_dist, corpus_stats, ngram_counts, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )

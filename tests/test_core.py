@@ -240,3 +240,26 @@ def test_extraction_accepts_by_type(spark):
         got = {tuple(r.positions) for r in found["accepted"].where(F.array_join("term", " ") == "nk cell line").collect()}
         assert got == {(0, 1, 2), (0, 3, 4)}
         assert found["metrics"].where("vote is null").count() == 0
+
+
+def test_more_small_operators(spark):
+    from lexiloom.functions.text import covered_text, tag_sequence
+    from lexiloom.operators import structure
+    from lexiloom.sources import corpora
+
+    values = spark.createDataFrame([(["a"], 2.0), (["a", "b"], 3.0)], "term array<string>, v double")
+    assert [r.term for r in ranking.filter_at_value(values, "v", 2.0).collect()] == [["a", "b"]]
+    assert [r.term for r in structure.subset_terms(values, ["b", "a"]).collect()] == [["a", "b"]]
+    lines = annotate.normalized(spark.createDataFrame([(1, 0, ["x y", "z"])], "doc_id long, sent_id int, lemmas array<string>"))
+    assert lines.first().line == "x_y z"
+    spans = F.expr("array(named_struct('start', 0, 'end', 2), named_struct('start', 9, 'end', 14))")
+    assert one(spark, covered_text(F.lit("NK and T cells"), spans)) == "NK cells"
+    assert one(spark, tag_sequence(F.array(F.lit("n"), F.lit("c")))) == "nc"
+    two = spark.createDataFrame([(1.0, True), (2.0, True), (2.0, False), (5.0, False)], "v double, f boolean")
+    assert statistics.common_language_effect(statistics.mann_whitney_u(two, "v", "f")).first().cles == 0.125
+    to = lambda ids: spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    assert [r.doc_id for r in evaluation.missing_gold(to([1, 2]), to([1])).collect()] == [2]
+    assert [r.doc_id for r in corpora.without_quarantined(to([1, 2]), to([1])).collect()] == [2]
+    ranks = spark.createDataFrame([(["a"], 1), (["b"], 2)], "term array<string>, rank int")
+    running = evaluation.running_precision(ranks, values.select("term"), 2).orderBy("rank").collect()
+    assert [r.precision for r in running] == [1.0, 0.5]
