@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lexiloom.llm import common
+from lexiloom.llm import common, registry
 
 
 def test_sieve_passes_all_keys_and_few_others(spark, monkeypatch):
@@ -25,3 +25,9 @@ def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 0, 900, 3, 3)] + [None])], ["t"])
     parts = list(common.slices([batch], "t", 8))
     assert sum(len(p) for p in parts) == 6 and [len(p) for p in parts] == [2, 1, 3]
+
+
+def test_registry():
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert all(isinstance(sql, str) for sql in registry.oracle_sql().values())
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.queries()) == list(range(1, 11))
