@@ -41,11 +41,11 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def path_tokens(html: str) -> dict[str, list]:
-    """n, place of the first, depth, characters of main text below, hash of that text, and whether it says that it is the article, of each path."""
+def path_tokens(html: str | list) -> dict[str, list]:
+    """Of a page, or its events: n, place of the first, depth, characters of main text below, hash of that text, and whether it says that it is the article, of each path."""
     found: dict[str, list] = {}
     open_: list[Element] = []
-    for kind, element, text in events(html):
+    for kind, element, text in events(html) if isinstance(html, str) else html:
         if kind == "open":
             open_.append(element)
         elif kind == "text":
@@ -117,12 +117,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str, main: str | None, same: list[str] | None) -> str:
     """The text of a page's main slot; without one, of its own article, or of all that is not aside."""
-    own = path_tokens(html)
+    page = events(html)
+    own = path_tokens(page)
     wanted = {main} if main in own else None
     if wanted is None:
         said = {p for p, v in own.items() if v[5]}
         wanted = {p for p in said if not any(p != q and p.startswith(q + "/") for q in said)} or None
-    return "\n".join(blocks(html, wanted, set(same or ())))
+    return "\n".join(blocks(page, wanted, set(same or ())))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

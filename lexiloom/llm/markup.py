@@ -28,8 +28,8 @@ ENDS = {
     "body": ({"head"}, {"html"}),
 }
 #: Elements that are never main text, wherever they stand.
-ASIDE = frozenset("head nav aside form footer noscript template svg math button select object canvas audio video map dialog menu".split())
-#: Words of class, id and role that name what is not main text.
+ASIDE = frozenset("head nav aside footer noscript template svg math button select object canvas audio video map dialog menu".split())
+#: Words of class, id and role that name what is not main text, unless it turns out to hold the page (see events).
 HINTS = frozenset("ad ads adv advert advertisement adverts alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies search share sharing sidebar sponsor sponsored subscribe subscription toolbar widget".split())
 NAMES = re.compile(r"[a-z0-9]+")
 
@@ -44,19 +44,60 @@ def named(attributes: str) -> tuple[str, bool, bool]:
 
 
 class Element:
-    """An open element: its path, whether it or one above it is aside from main text, and its text so far."""
+    """An element: its path, whether it or one above it is aside from main text, and its text so far."""
+
+    __slots__ = ("above", "aside", "chars", "doubted", "hard", "headed", "hinted", "linked", "main", "name", "path", "place", "plain", "shaded", "text")
+
+    def __init__(self, name: str, path: str, above: "Element | None", hinted: bool, main: bool, place: int):
+        self.name, self.path, self.above, self.hinted, self.main, self.place = name, path, above, hinted, main, place
+        self.aside = self.doubted = self.headed = False
+        self.hard = name in ASIDE or (above is not None and above.hard)
+        self.linked = name == "a" or (above is not None and above.linked)
+        self.shaded = self.hard or (above is not None and above.shaded)  # here or above, hard or doubted
+        self.chars = 0
+        self.plain = 0  # characters below that are neither of links nor in ASIDE
+        self.text = 0  # a hash of all text below
 
-    __slots__ = ("aside", "chars", "links", "main", "name", "path", "place", "text")
 
-    def __init__(self, name: str, path: str, aside: bool, main: bool, place: int):
-        self.name, self.path, self.aside, self.main, self.place = name, path, aside, main, place
-        self.chars = self.links = 0
-        self.text = 0  # a hash of all text below
+def events(html: str) -> list[tuple[str, Element | None, str]]:
+    """("open", element, ""), ("text", innermost element, text), ("break", element, name) and ("close", element, "") in page order.
+
+    What is aside is decided when the page is read. Names, <form> and <header> only raise a doubt, and the element stays
+    if it holds the page: its main element, its article if no other stands free (one with an h1, or with more text than
+    stands free), or most of the text outside of links; a <header> also stays with an h1 that is not a link.
+    """
+    found = list(_read(html))
+    free = 0
+    for kind, e, text in found:
+        if kind == "text":
+            if not e.hard and not e.linked and (n := sum(map(len, text.split()))):
+                e.plain += n
+                free += 0 if e.shaded else n
+        elif kind == "close" and e.above is not None and not e.hard:
+            e.above.plain += e.plain
+            e.above.headed |= e.headed or (e.name == "h1" and e.plain > 0)
+    opened = [e for kind, e, _ in found if kind == "open"]
+    held = set()
+    if any(e.doubted for e in opened):
+        own = [e for e in opened if e.main and e.name != "article" and not e.hard]
+        articles = [e for e in opened if e.name == "article" and e.plain and not e.hard and not e.hinted]
+        if articles and all(e.shaded for e in articles):
+            largest = max(articles, key=lambda e: (e.headed, e.plain))
+            own += [largest] if largest.headed or largest.plain > free else []
+        for e in own:
+            while e is not None:
+                held.add(e.place)
+                e = e.above
+    whole = found[-1][1].plain  # of the root, which closes last
+    for e in opened:
+        stays = not e.doubted or e.place in held or 2 * e.plain > whole or (e.name == "header" and not e.hinted and e.headed)
+        e.aside = e.hard or e.above.aside or not stays
+    return found
 
 
-def events(html: str) -> Iterator[tuple[str, Element | None, str]]:
-    """("open", element, ""), ("text", innermost element, text), ("break", element, name) and ("close", element, "") in page order."""
-    stack: list[Element] = [Element("", "", False, False, 0)]
+def _read(html: str) -> Iterator[tuple[str, Element, str]]:
+    """The events of a page, before it is known what is aside."""
+    stack: list[Element] = [Element("", "", None, False, False, 0)]
     place = 0
 
     def close(down_to: int) -> Iterator[tuple[str, Element, str]]:
@@ -90,10 +131,10 @@ def events(html: str) -> Iterator[tuple[str, Element | None, str]]:
             place += 1
             above = stack[-1]
             inside = any(e.name in ("article", "main") for e in stack)
-            aside = above.aside or tag in ASIDE or hinted or (tag == "header" and not inside)
-            if tag in ("html", "body", "article", "main") and not above.aside:
-                aside = False  # a page's own frame, whatever it is called
-            element = Element(tag, f"{above.path}/{tag}{'.' + kind if kind else ''}", aside, tag in ("article", "main") or main, place)
+            element = Element(tag, f"{above.path}/{tag}{'.' + kind if kind else ''}", above, hinted, tag in ("article", "main") or main, place)
+            if tag not in ("html", "body", "article", "main"):  # a page's own frame stays, whatever it is called
+                element.doubted = hinted or tag == "form" or (tag == "header" and not inside)
+                element.shaded |= element.doubted
             stack.append(element)
             yield "open", element, ""
             if m["attributes"].endswith("/") and tag in ("svg", "math"):
@@ -107,8 +148,8 @@ def events(html: str) -> Iterator[tuple[str, Element | None, str]]:
     yield from close(0)
 
 
-def blocks(html: str, wanted: set[str] | None, left_out: set[str] = frozenset()) -> list[str]:
-    """Text blocks below the elements whose path is in wanted (None: anywhere), in page order, without what is aside or has a path in left_out."""
+def blocks(html: str | list, wanted: set[str] | None, left_out: set[str] = frozenset()) -> list[str]:
+    """Text blocks below the elements whose path is in wanted (None: anywhere), in page order, without what is aside or has a path in left_out. html: a page, or its events."""
     found, parts, depth, skipped = [], [], 0, 0
     if wanted is None:
         depth = 1
@@ -118,7 +159,7 @@ def blocks(html: str, wanted: set[str] | None, left_out: set[str] = frozenset())
             found.append(text)
         parts.clear()
 
-    for kind, element, text in events(html):
+    for kind, element, text in events(html) if isinstance(html, str) else html:
         if kind == "text":
             if depth and not skipped and not element.aside:
                 parts.append(text)

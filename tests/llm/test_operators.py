@@ -314,6 +314,19 @@ def test_extraction(spark, data):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+def test_a_wrapper_that_holds_the_page_is_not_aside():
+    post, side = f"<div class=post><h1>T</h1><p>{'word ' * 40}</p></div>", "<div class=sidebar>side</div><form>find</form>"
+    text = "T\n" + " ".join(["word"] * 40)
+    for wrap in ("<div class='layout has-sidebar'>%s</div>", "<div class='site no-sidebar'>%s</div>", "<div class=ad-free>%s</div>", "<form action=x>%s</form>"):
+        for inner in (post, f"<article>{post}</article>", f"<div role=main>{post}</div>"):
+            assert extraction.main_text(f"<body>{wrap % (inner + side)}</body>", None, None) == text
+    brief = "<article><h1>T</h1>Brief.</article>"
+    assert extraction.main_text(f"<div class=with-comments>{brief}</div><div>{'legal ' * 20}</div>", None, None) == "T\nBrief."
+    assert extraction.main_text(f"<div><header><h1>T</h1></header><p>{'word ' * 40}</p></div><header><h1><a href=/>Site</a></h1></header>", None, None) == text
+    # what is named so and holds less than the page stays aside, its articles with it
+    assert extraction.main_text(f"{post}<div class=comments><article>me too</article></div>", None, None) == text
+
+
 def test_markup_survives_bad_input():
     for html in ("<", "<p", "</", "<p <b>x", '<a href="x', "<!--", "<script>", "<p>" * 500, "<div class='ad'>x</div>" * 50, "a" * 100_000 + "<" * 2000):
         markup.blocks(html, None)
