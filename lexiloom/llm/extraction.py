@@ -5,11 +5,11 @@ a host, that is as often as each other on each page, form a class; a vector is k
 count, so classes come from partial aggregates and no host's pages are gathered. A class is valid if it has CLASS_SIZE
 tokens and covers half of the host's pages; valid classes of tokens that occur once a page, in the order of their places,
 are the frame of the template, and classes that repeat nest in its slots. The main slot is the frame's element that holds
-the article: one that says so (article, main), or else the deepest that still holds most of the text outside of menus,
-notices and the like. A block of the main slot
-whose text is the same on every page, while the slot's is not, is template too and left out. What remains in the main
-slot is extracted. Hosts of few pages share one template; pages without their host's main element are read by their own
-elements.
+the article: one that says so (article, main) and holds MOST of the text outside of menus, notices and the like, or else
+the smallest that holds all of that text but what is the same on every page, and every headline that is not. Without one,
+the page as a whole is the main slot. An element whose text is the same on every page, while the slot's has SLOT_TEXTS
+different ones, is template too and left out. What remains in the main slot is extracted. Pages of hosts with few pages,
+and pages whose main slot is missing or empty, are read by their own elements: their article, or else the whole.
 
 Defined results: null and empty pages have the empty text; a null url is a host of its own; repeated rows are extracted
 one by one; rows that share a page_id count as one page of the template; an empty table gives an empty result; extra
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from .common import cut, slices, table
 from .markup import BLOCKS, Element, blocks, events
 
-#: Hosts with fewer pages share a template.
+#: Hosts with fewer pages have no template.
 HOST_PAGES = 4
-#: Tokens in a valid class, the share of a host's pages it covers, and the share of the text the main slot holds.
+#: Tokens in a valid class, the share of a host's pages it covers, and the share of the text that an article holds.
 CLASS_SIZE, COVER, MOST = 3, 0.5, 0.8
 #: From so many pages on, a text that all of them share is the template's.
 SAME_PAGES = 8
+#: So many different texts of the main slot tell it from copies of one page.
+SLOT_TEXTS = 4
 TOKENS = "page_id long, own string, path string, n int, place int, depth int, chars long, text_hash long, main boolean"
 
 
@@ -44,8 +46,9 @@ def host_of(url: str):
 def path_tokens(html: str | list) -> dict[str, list]:
     """Of a page, or its events: n, place of the first, depth, characters of main text below, hash of that text, and whether it says that it is the article, of each path."""
     found: dict[str, list] = {}
-    open_: list[Element] = []
-    for kind, element, text in events(html) if isinstance(html, str) else html:
+    page = events(html) if isinstance(html, str) else html
+    open_: list[Element] = [page[-1][1]]  # the root, which closes last and has the empty path
+    for kind, element, text in page:
         if kind == "open":
             open_.append(element)
         elif kind == "text":
@@ -55,7 +58,7 @@ def path_tokens(html: str | list) -> dict[str, list]:
                 for e in open_:
                     e.chars += n
                     e.text = (e.text * 31 + h) & 0x7FFFFFFFFFFFFFFF
-        elif kind == "close" and element.path:
+        elif kind == "close":
             open_.pop()
             if element.aside:
                 continue
@@ -82,14 +85,39 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "own", "html").mapInArrow(run, TOKENS)
 
 
+def slot_of(frame, total):
+    """The path of the main slot, if there is one, and the paths that are the same on every page, of a host's frame, whose pages hold total characters."""
+    most = max(r["chars"] for r in frame)
+    said = [r for r in frame if r["says"] and r["chars"] >= MOST * most]
+    constant = {r["path"]: r for r in frame if r["constant"]}
+    above = lambda path: {path[:k] for k, c in enumerate(path) if c == "/" and k}
+    outer = [r for path, r in constant.items() if constant.keys().isdisjoint(above(path))]
+    varying = dict.fromkeys((r["path"] for r in frame), 0)  # characters below that are not the same on every page
+    for r in frame:
+        varying[r["path"]] += r["chars"]
+    for r in outer:
+        for path in above(r["path"]) | {r["path"]}:
+            if path in varying:
+                varying[path] -= r["chars"]
+    needed = total - sum(r["chars"] for r in outer)
+    heads = [r["path"] for r in frame if r["name"] == "h1" and not r["constant"]]
+    holding = [r for r in frame if varying[r["path"]] >= needed > 0 and all(h == r["path"] or h.startswith(r["path"] + "/") for h in heads)]
+    if said:
+        main = min(said, key=lambda r: (r["depth"], r["place"], r["path"]))
+    else:
+        main = min(holding, key=lambda r: (r["chars"], -r["depth"], r["place"], r["path"]), default=None)
+    texts = main["texts"] if main else max(r["texts"] for r in frame)
+    same = [path for path, r in constant.items() if r["name"] in BLOCKS and r["on"] >= SAME_PAGES and r["chars"] > 0 and not r["says"] and (main is None or path != main["path"])]
+    return main and main["path"], sorted(same) if texts >= SLOT_TEXTS else []
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(own, main, same) of each host of pages (page_id, own, html): the path of its template's main slot and the paths of slots that never change."""
-    group = F.when(F.count(F.lit(1)) < HOST_PAGES, F.lit("*")).otherwise(F.col("own")).alias("host")
-    groups = cut(pages.groupBy("own").agg(group))
-    tokens = page_tokens(pages).join(groups, "own")
-    held = pages.select("own", "page_id").join(groups, "own").groupBy("host").agg(F.count_distinct("page_id").alias("pages"))
+    """(own, main, same) of each host of HOST_PAGES pages (page_id, own, html): the path of its template's main slot and the paths of slots that never change."""
+    counted = pages.groupBy("own").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("page_id").alias("pages"))
+    held = cut(counted.where(F.col("rows") >= HOST_PAGES))
+    tokens = page_tokens(pages).join(held.select("own"), "own", "left_semi")
     vector = F.bit_xor(F.xxhash64("page_id", "n"))
-    seen = tokens.groupBy("host", "path").agg(
+    seen = tokens.groupBy("own", "path").agg(
         vector.alias("vector"),
         F.count(F.lit(1)).alias("on"),
         F.sum(F.col("n").cast("long")).alias("times"),
@@ -98,30 +126,31 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"),
         F.min("text_hash").alias("low"),
         F.max("text_hash").alias("high"),
+        F.approx_count_distinct("text_hash", 0.1).alias("texts"),
         F.max("main").alias("says"),
     )
     # from here on there is one row for each path of a host
-    seen = cut(seen.join(held, "host"))
-    classes = seen.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("on").alias("cover"), F.max("pages").alias("all"))
-    valid = classes.where((F.col("size") >= CLASS_SIZE) & (F.col("cover") >= COVER * F.col("all"))).select("host", "vector")
-    frame = seen.where("times = on").join(valid, ["host", "vector"], "left_semi")
-    most = frame.groupBy("host").agg(F.max("chars").alias("most"))
-    ranked = frame.join(most, "host").withColumn("holds", (F.col("chars") >= MOST * F.col("most")).cast("int"))
-    # the article by its own word, outermost first, or else the deepest element that holds most of the text
-    rank = F.struct((F.col("says") & (F.col("holds") == 1)).cast("int"), "holds", F.when(F.col("says"), -F.col("depth")).otherwise(F.col("depth")).alias("d"), -F.col("place"), F.col("path").alias("path"), (F.col("low") != F.col("high")).alias("varies"))
-    whole = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1).isin(*sorted(BLOCKS))
-    same = whole & (F.col("low") == F.col("high")) & (F.col("on") >= SAME_PAGES) & (F.col("chars") > 0) & ~F.col("says")
-    main = ranked.groupBy("host").agg(F.max(rank).alias("top"), F.collect_set(F.when(same & (F.col("holds") == 0), F.col("path"))).alias("same"))
-    return groups.join(main, "host").select("own", F.col("top.path").alias("main"), F.when(F.col("top.varies"), F.col("same")).alias("same"))
+    seen = cut(seen.join(held, "own"))
+    elements = seen.where("path != ''")
+    classes = elements.groupBy("own", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("on").alias("cover"), F.max("pages").alias("all"))
+    valid = classes.where((F.col("size") >= CLASS_SIZE) & (F.col("cover") >= COVER * F.col("all"))).select("own", "vector")
+    name = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1).alias("name")
+    constant = ((F.col("low") == F.col("high")) & (F.col("on") == F.col("rows"))).alias("constant")
+    row = F.struct("path", name, "depth", "place", "chars", "on", "texts", "says", constant)
+    # a path of the frame is on half of the pages, so a frame has about as many rows as a page or two has elements
+    frames = elements.where("times = on").join(valid, ["own", "vector"], "left_semi").groupBy("own").agg(F.collect_list(row).alias("frame"))
+    totals = seen.where("path = ''").select("own", F.col("chars").alias("total"))
+    slot = F.udf(slot_of, "main string, same array<string>")
+    return frames.join(totals, "own").select("own", slot("frame", "total").alias("slot")).select("own", "slot.main", "slot.same")
 
 
 def main_text(html: str, main: str | None, same: list[str] | None) -> str:
-    """The text of a page's main slot; without one, of its own article, or of all that is not aside."""
+    """The text of a page's main slot; without one, or if nothing is in it, of its own article, or of all that is not aside."""
     page = events(html)
     own = path_tokens(page)
-    wanted = {main} if main in own else None
+    wanted = {main} if main in own and own[main][4] else None
     if wanted is None:
-        said = {p for p, v in own.items() if v[5]}
+        said = {p for p, v in own.items() if v[5] and v[4]}
         wanted = {p for p in said if not any(p != q and p.startswith(q + "/") for q in said)} or None
     return "\n".join(blocks(page, wanted, set(same or ())))
 

@@ -314,6 +314,26 @@ def test_extraction(spark, data):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+def test_template_keeps_all_that_differs(spark):
+    """Title, lead and body beside each other, a block that some pages lack, one page of another make, and a host of few pages."""
+    page = "<html><body><div class=top><p>menu</p></div><div class=post><h1>T%d</h1><div class=lead>L%d</div><div class=body><p>" + "word " * 40 + "%d</p></div>%s</div><div class=end>bye</div></body></html>"
+    note = "<div class=note>all but one</div>"
+    rows = [(i, f"https://h.example/{i}", page % (i, i, i, note if i else "")) for i in range(12)]
+    other = "<html><body><article></article><div class=x><p>elsewhere %d</p></div></body></html>"
+    say = "<html><body><div><p>menu</p></div><article><h1>T%d</h1><p>" + "word " * 40 + "</p></article><div class=x></div></body></html>"
+    rows += [(20 + i, f"https://s.example/{i}", say % i) for i in range(12)] + [(40, "https://s.example/o", other % 1)]
+    rows += [(60 + i, f"https://bare.example/{i}", f"intro {i}" + page % (i, i, i, "")) for i in range(9)]
+    rows += [(50 + i, f"https://few{i}.example/", f"<html><body><div class=a><p>{'word ' * 9}{i}</p></div><div class=b>rest {i}</div></body></html>") for i in range(6)]
+    text = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    words = " ".join(["word"] * 40)
+    for i in range(12):
+        assert text[i] == f"T{i}\nL{i}\n{words} {i}" + ("\nall but one" if i else "")
+        assert text[20 + i] == f"T{i}\n{words}"
+    assert text[60] == f"intro 0\nT0\nL0\n{words} 0"
+    assert text[40] == "elsewhere 1"
+    assert text[50] == " ".join(["word"] * 9) + " 0\nrest 0"
+
+
 def test_a_wrapper_that_holds_the_page_is_not_aside():
     post, side = f"<div class=post><h1>T</h1><p>{'word ' * 40}</p></div>", "<div class=sidebar>side</div><form>find</form>"
     text = "T\n" + " ".join(["word"] * 40)
