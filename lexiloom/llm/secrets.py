@@ -1,7 +1,7 @@
 """Secret scan: generous candidates, and a random forest that removes the false ones, all on the JVM.
 
-Candidates are long runs of the characters of keys and tokens that hold a digit, and the values of assignments to names
-like token or password. Their features are length, character transitions, coverage by dictionary words, the path they
+Candidates are long runs of the characters of keys and tokens, once more without their leading signs, and the values of
+assignments to names like token or password, of any length. Their features are length, character transitions, coverage by dictionary words, the path they
 come from and the words beside them. The forest learns from labelled findings (label, value, before, after, path): by
 default a fixed number made by expressions over spark.range, half of them secrets in the forms that services issue and
 half the usual false alarms, such as identifiers, dates, checksums, numbers and placeholders.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 RUN = "[A-Za-z0-9+/_=-]{16,}+"
-ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})"
+ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)"
 AROUND = 40
 FINDINGS, TREES, DEPTH, SEED = 6000, 24, 7, 11
 #: A candidate is a secret from this probability on.
@@ -61,13 +61,21 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(found, start, step, lambda s: s["out"])
 
 
+def _without_signs(start: Column, value: Column) -> Column:
+    """A span without its leading signs, which may be its own or of what stands before it."""
+    kept = F.regexp_replace(value, "^[-=_/+]++", "")
+    return F.struct((start + F.char_length(value) - F.char_length(kept)).alias("start"), kept.alias("value"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, value, before, after and path of each candidate in docs (doc_id, text, source)."""
     text = F.col("__text")
-    runs = F.filter(spans(text, RUN), lambda s: s["value"].rlike("[0-9]") & ~s["value"].rlike("^[-=_/+]"))
+    runs = F.filter(spans(text, RUN), lambda s: s["value"].rlike("[A-Za-z0-9]"))  # a line of signs only is no key
+    bare = F.transform(runs, lambda s: _without_signs(s["start"], s["value"]))
+    bare = F.filter(bare, lambda s: s["value"].rlike(RUN))
     trimmed = F.filter(spans(text, ASSIGNED, 1), lambda s: F.char_length(s["value"]) > 0)
     rows = docs.select("doc_id", text_of().alias("__text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"))
-    one = F.explode(F.array_distinct(F.concat(runs, trimmed)))
+    one = F.explode(F.array_distinct(F.concat(runs, bare, trimmed)))
     some = rows.where(text.rlike(RUN) | text.rlike(ASSIGNED)).select("doc_id", "__text", "path", one.alias("c"))
     start, end = F.col("c.start"), F.col("c.start") + F.char_length("c.value")
     before = F.substring(text, F.greatest(F.lit(1), start - AROUND + 1), F.least(F.lit(AROUND), start))

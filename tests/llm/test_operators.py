@@ -439,3 +439,20 @@ def test_secrets_removes_false_alarms(spark):
     rows, _ = secrets.features(fresh)
     right = model.transform(assembler.transform(rows)).select((F.col("__label") == F.col("label")).cast("int").alias("r")).agg(F.avg("r")).first()[0]
     assert right > 0.97
+
+
+def test_secrets_are_whole(spark):
+    jwt = "eyJ" + "hbGciOiJIUzI1NiJ9Qx7" * 20
+    key = "/k3Jd8sLq0ZpX7vB2nM5tR9wY4cF6hG1aE+uK8iO"
+    texts = [f'token = "{jwt}.{jwt}" next', f"see {key} there", "key +QpLzXmWvRtYbNcKdHsGfJaUe end", "--------------------"]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {}
+    for r in secrets.candidates(docs).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.value
+        found.setdefault(r.doc_id, set()).add(r.value)
+    assert f"{jwt}.{jwt}" in found[0]
+    assert found[1] == {key, key[1:]}
+    assert found[2] == {"+QpLzXmWvRtYbNcKdHsGfJaUe", "QpLzXmWvRtYbNcKdHsGfJaUe"}
+    assert 3 not in found
+    scanned = [(r.doc_id, r.value) for r in secrets.scan(docs).where("is_secret").collect()]
+    assert (0, f"{jwt}.{jwt}") in scanned and any(i == 1 for i, _ in scanned)
