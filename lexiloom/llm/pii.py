@@ -1,10 +1,10 @@
 """Personal data: base patterns, and spans that boosted trees select from generous candidates.
 
 The base patterns of emails, IP addresses, cards and phone numbers always stay. Besides, generators of high recall propose
-overlapping spans: masked or spaced addresses, numbers in any grouping, other forms of IP addresses. Boosted trees score
+overlapping spans: masked or spaced addresses, numbers in any grouping and parts of them, other forms of IP addresses. Boosted trees score
 each by its format and its context, and a threshold for each kind, calibrated on labelled candidates that the trees have
-not seen so that PRECISION of what passes is right, selects. Of selected spans that overlap, the likelier stays, and none
-overlaps a base span.
+not seen so that PRECISION of what passes is right, selects. Of selected spans that overlap, the likelier stays, or the
+whole if one is part of another of its kind, and none overlaps a base span.
 
 The labelled candidates are made by a seeded generator (TRAIN of them), not taken from the data; the model is fitted once
 on the driver, has a fixed size and goes to the tasks with the function.
@@ -82,8 +82,19 @@ GENEROUS = (
 )
 #: Least and most digits.
 DIGITS = {"card": (13, 19), "phone": (7, 15)}
-#: Anything that a generous pattern needs; texts without it have no candidates.
-NEEDED = re.compile(r"[0-9]{2}|@|[\[(] ?at ?[\])]| dot ", re.I)
+#: What any match of a kind's generous pattern holds; texts without it have no candidates of the kind.
+NEEDED = {
+    "email": re.compile(r"@|[\[(] ?at ?[\])]| at ", re.I),
+    "ip": re.compile(r"[0-9] ?(?:\.|\[\.\]|\(\.\)) ?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    "card": re.compile(r"[0-9]{3}"),
+    "phone": re.compile(r"[0-9]{2}"),
+}
+#: Groups of digits in a row, what a row may begin with, and how many of its groups a span can have.
+ROW = re.compile(r"[0-9]+(?:[ ()./_-]{1,3}[0-9]+)*")
+OPENING = re.compile(r"[+(]{0,2}\Z")
+GROUPS = 6
+#: The generous patterns of numbers without what must stand around them.
+PART = {kind: re.compile(re.sub(r"^\(\?<![^)]*\)|\(\?![^)]*\)$", "", pattern.pattern)) for kind, pattern in GENEROUS if kind in DIGITS}
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|address|reach|correo|courriel|kontakt)\b", re.I),
     "ip": re.compile(r"\b(?:ip|ipv[46]|host|server|addr(?:ess)?|ping|login|subnet|dns)\b", re.I),
@@ -131,12 +142,42 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     ]
 
 
+def parts(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    """Spans of up to GROUPS neighbouring groups of digits of which a number of the kind can be made, overlapping ones included."""
+    least, most = DIGITS[kind]
+    fits = PART[kind].fullmatch
+    for row in ROW.finditer(text):
+        if row.end() - row.start() < least:
+            continue
+        groups = [m.span() for m in re.finditer("[0-9]+", text[row.start() : row.end()])]
+        groups = [(row.start() + a, row.start() + b) for a, b in groups]
+        for i, (start, _) in enumerate(groups):
+            opening = len(OPENING.search(text[max(0, start - 2) : start])[0]) if kind == "phone" else 0
+            digits = 0
+            for a, end in groups[i : i + GROUPS]:
+                digits += end - a
+                if digits > most:
+                    break
+                if digits < least or text[end : end + 1].isalnum():
+                    continue
+                for at in range(start - opening, start + 1):
+                    if not text[max(0, at - 1) : at].isalnum() and fits(text, at, end):
+                        yield at, end
+                        break
+
+
 def candidates(text: str) -> list[Span]:
-    """Overlapping spans of all generous patterns, where the digits are as many as the kind can have."""
-    if not NEEDED.search(text):
-        return []
-    found = [(m.start(), m.end(), kind) for kind, pattern in GENEROUS for m in pattern.finditer(text)]
-    return [(a, b, kind) for a, b, kind in found if kind not in DIGITS or DIGITS[kind][0] <= len(digits_of(text[a:b])) <= DIGITS[kind][1]]
+    """Overlapping spans of all generous patterns, and of parts of numbers, where the digits are as many as the kind can have."""
+    found: dict[Span, None] = {}
+    for kind, pattern in GENEROUS:
+        if not NEEDED[kind].search(text):
+            continue
+        for m in pattern.finditer(text):
+            if kind not in DIGITS or DIGITS[kind][0] <= len(digits_of(m[0])) <= DIGITS[kind][1]:
+                found[m.start(), m.end(), kind] = None
+        if kind in DIGITS:
+            found.update(((a, b, kind), None) for a, b in parts(text, kind))
+    return list(found)
 
 
 TRAIN, SEED, PRECISION = 6000, 10, 0.98
@@ -207,11 +248,17 @@ def select(text: str, base: list[Span], trees: dict[str, np.ndarray], thresholds
     if not proposed:
         return base
     scores = boosting.predict(trees, np.array([features(text, *c) for c in proposed], float))
+    passed = [(c, s) for c, s in zip(proposed, scores, strict=True) if s >= max(0.0, thresholds[c[2]])]
+    wide: list[tuple[Span, float]] = []  # those that are no part of another of their kind
+    ends = dict.fromkeys(KINDS, -1)
+    for (start, end, kind), score in sorted(passed, key=lambda p: (p[0][0], -p[0][1])):
+        if end > ends[kind]:
+            wide.append(((start, end, kind), score))
+            ends[kind] = end
     kept: list[Span] = []
-    for at in np.lexsort(([c[0] for c in proposed], -scores)):
-        start, end, kind = proposed[at]
-        if scores[at] >= max(0.0, thresholds[kind]) and not any(a < end and start < b for a, b, _ in kept):
-            kept.append(proposed[at])
+    for (start, end, kind), _ in sorted(wide, key=lambda p: (-p[1], p[0][0])):
+        if not any(a < end and start < b for a, b, _ in kept):
+            kept.append((start, end, kind))
     return sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -398,6 +398,25 @@ def test_added_spans_pass_the_calibrated_threshold():
     assert [s[2] for s in pii.select(text, pii.base_spans(text), *model)] == ["email"]
 
 
+def test_candidates_are_all_that_generators_match():
+    for text in ("anna at example[dot]com", "anna at mail (dot) example", "8[.]8[.]8[.]8", "ab:cd:ef:ab:cd:ef:ab:cd", "x 8 . 8 . 8 . 8 y"):
+        assert pii.candidates(text), text
+    card = "4111/1111/1111/1111"
+    for text in (f"2024 {card} 12", f"555 {card}", f"1 2 3 4 5 6 7 8 {card} 9 9 9"):
+        assert (text.index(card), text.index(card) + len(card), "card") in pii.candidates(text)
+    text = "7 (234) 555 7713 99"
+    assert (2, 16, "phone") in pii.candidates(text)
+    draw = random.Random(8)
+    parts = ["a", "@", " at ", "[at]", "[dot]", " dot ", ".", "[.]", "1", "23", "456", "7890", "+", "-", " ", "(", ")", "/", "ab:", "255", "é"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 20)))
+        whole = {(m.start(), m.end(), kind) for kind, pattern in pii.GENEROUS for m in pattern.finditer(text) if kind not in pii.DIGITS or pii.DIGITS[kind][0] <= len(pii.digits_of(m[0])) <= pii.DIGITS[kind][1]}
+        assert whole <= set(pii.candidates(text))
+    model = pii.trained()
+    text = f"card 2024 {card} 12"
+    assert "4111" not in pii.redacted(text, pii.select(text, [], *model))
+
+
 def test_boosting_learns_a_threshold():
     draw = np.random.default_rng(0)
     x = draw.random((600, 3))
