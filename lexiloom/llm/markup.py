@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
+import xxhash
+
 #: Elements whose content is not markup.
 RAW = "script|style|textarea|iframe|noembed|noframes|xmp"
+#: Each branch that has begun ends at its sign or at the page's end, and a quote that nothing closes is a character, so no part is read twice.
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)[^>]*>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![^\s=/\"'])([^\s=/\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that break a line of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -43,28 +47,40 @@ def named(attributes: str) -> tuple[str, bool, bool]:
     return " ".join(sorted(found.get("class", "").split())), not HINTS.isdisjoint(NAMES.findall(names)), found.get("role", "").lower() == "main"
 
 
+#: The path of a page's root.
+ROOT = 0
+
+
+def signed(h: int) -> int:
+    """An unsigned 64-bit number as a long."""
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Element:
-    """An element: its path, whether it or one above it is aside from main text, and its text so far."""
+    """An element: its path (a hash of its names and its parent's path), whether it or one above it is aside from main text, and its text so far."""
 
-    __slots__ = ("above", "aside", "chars", "doubted", "hard", "headed", "hinted", "linked", "main", "name", "path", "place", "plain", "shaded", "text")
+    __slots__ = ("above", "aside", "chars", "depth", "doubted", "hard", "headed", "hinted", "inside", "linked", "main", "name", "path", "place", "plain", "shaded")
 
-    def __init__(self, name: str, path: str, above: "Element | None", hinted: bool, main: bool, place: int):
-        self.name, self.path, self.above, self.hinted, self.main, self.place = name, path, above, hinted, main, place
+    def __init__(self, name: str, kind: str, above: "Element | None", hinted: bool, main: bool, place: int):
+        self.name, self.above, self.hinted, self.main, self.place = name, above, hinted, main, place
+        self.path = ROOT if above is None else signed(xxhash.xxh64_intdigest(f"{name}.{kind}", above.path & 0xFFFFFFFFFFFFFFFF))
+        self.depth = 0 if above is None else above.depth + 1
         self.aside = self.doubted = self.headed = False
         self.hard = name in ASIDE or (above is not None and above.hard)
         self.linked = name == "a" or (above is not None and above.linked)
+        self.inside = name in ("article", "main") or (above is not None and above.inside)
         self.shaded = self.hard or (above is not None and above.shaded)  # here or above, hard or doubted
-        self.chars = 0
+        self.chars = 0  # characters below that are main text and not of links
         self.plain = 0  # characters below that are neither of links nor in ASIDE
-        self.text = 0  # a hash of all text below
 
 
-def events(html: str) -> list[tuple[str, Element | None, str]]:
+def events(html: str) -> list[tuple[str, Element, str]]:
     """("open", element, ""), ("text", innermost element, text), ("break", element, name) and ("close", element, "") in page order.
 
     What is aside is decided when the page is read. Names, <form> and <header> only raise a doubt, and the element stays
     if it holds the page: its main element, its article if no other stands free (one with an h1, or with more text than
-    stands free), or most of the text outside of links; a <header> also stays with an h1 that is not a link.
+    stands free), or, where no article or main stands free, most of the text outside of links; a <header> also stays with an
+    h1 that is not a link.
     """
     found = list(_read(html))
     free = 0
@@ -77,7 +93,7 @@ def events(html: str) -> list[tuple[str, Element | None, str]]:
             e.above.plain += e.plain
             e.above.headed |= e.headed or (e.name == "h1" and e.plain > 0)
     opened = [e for kind, e, _ in found if kind == "open"]
-    held = set()
+    held: set[int] = set()
     if any(e.doubted for e in opened):
         own = [e for e in opened if e.main and e.name != "article" and not e.hard]
         articles = [e for e in opened if e.name == "article" and e.plain and not e.hard and not e.hinted]
@@ -85,12 +101,13 @@ def events(html: str) -> list[tuple[str, Element | None, str]]:
             largest = max(articles, key=lambda e: (e.headed, e.plain))
             own += [largest] if largest.headed or largest.plain > free else []
         for e in own:
-            while e is not None:
+            while e is not None and e.place not in held:
                 held.add(e.place)
                 e = e.above
     whole = found[-1][1].plain  # of the root, which closes last
+    free_main = any(e.main and e.plain and not e.shaded for e in opened)
     for e in opened:
-        stays = not e.doubted or e.place in held or 2 * e.plain > whole or (e.name == "header" and not e.hinted and e.headed)
+        stays = not e.doubted or e.place in held or (2 * e.plain > whole and not free_main) or (e.name == "header" and not e.hinted and e.headed)
         e.aside = e.hard or e.above.aside or not stays
     return found
 
@@ -98,11 +115,18 @@ def events(html: str) -> list[tuple[str, Element | None, str]]:
 def _read(html: str) -> Iterator[tuple[str, Element, str]]:
     """The events of a page, before it is known what is aside."""
     stack: list[Element] = [Element("", "", None, False, False, 0)]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each name, where it is open in the stack
     place = 0
 
     def close(down_to: int) -> Iterator[tuple[str, Element, str]]:
         while len(stack) > down_to:
-            yield "close", stack.pop(), ""
+            e = stack.pop()
+            if stack:
+                places[e.name].pop()
+            yield "close", e, ""
+
+    def nearest(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
 
     for m in PIECE.finditer(html):
         if text := m["text"]:
@@ -112,69 +136,57 @@ def _read(html: str) -> Iterator[tuple[str, Element, str]]:
             if tag in VOID:
                 yield "break", stack[-1], tag
                 continue
-            if tag in BLOCKS:  # an open paragraph ends, with what is open inside it
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "p":
-                        yield from close(k)
-                        break
-                    if stack[k].name in BLOCKS:
-                        break
+            if tag in BLOCKS and places["p"]:  # an open paragraph ends, with what is open inside it
+                yield from close(places["p"][-1])
             if tag in ENDS:
                 ended, bounds = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in bounds:
-                        break
-                    if stack[k].name in ended:
-                        yield from close(k)
-                        break
+                if (k := nearest(ended)) > nearest(bounds):
+                    yield from close(k)
             kind, hinted, main = named(m["attributes"])
             place += 1
-            above = stack[-1]
-            inside = any(e.name in ("article", "main") for e in stack)
-            element = Element(tag, f"{above.path}/{tag}{'.' + kind if kind else ''}", above, hinted, tag in ("article", "main") or main, place)
+            element = Element(tag, kind, stack[-1], hinted, tag in ("article", "main") or main, place)
             if tag not in ("html", "body", "article", "main"):  # a page's own frame stays, whatever it is called
-                element.doubted = hinted or tag == "form" or (tag == "header" and not inside)
+                element.doubted = hinted or tag == "form" or (tag == "header" and not stack[-1].inside)
                 element.shaded |= element.doubted
+            places[tag].append(len(stack))
             stack.append(element)
             yield "open", element, ""
             if m["attributes"].endswith("/") and tag in ("svg", "math"):
                 yield from close(len(stack) - 1)
-        elif end := m["end"]:
-            end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == end:
-                    yield from close(k)
-                    break
+        elif (end := m["end"]) and places[end := end.lower()]:
+            yield from close(places[end][-1])
     yield from close(0)
 
 
-def blocks(html: str | list, wanted: set[str] | None, left_out: set[str] = frozenset()) -> list[str]:
-    """Text blocks below the elements whose path is in wanted (None: anywhere), in page order, without what is aside or has a path in left_out. html: a page, or its events."""
-    found, parts, depth, skipped = [], [], 0, 0
-    if wanted is None:
-        depth = 1
-
-    def flush() -> None:
-        if text := " ".join(unescape("".join(parts)).split()):
-            found.append(text)
-        parts.clear()
-
-    for kind, element, text in events(html) if isinstance(html, str) else html:
+def blocks(page: list[tuple[str, Element, str]], wanted: set[int] | None = None) -> Iterator[tuple[Element, str]]:
+    """Text blocks of a page's events that are not aside, in page order, each with the element it begins in; of wanted paths only (None: all)."""
+    parts: list[str] = []
+    first: Element | None = None
+    depth = 1 if wanted is None else 0
+    for kind, element, text in page:
         if kind == "text":
-            if depth and not skipped and not element.aside:
+            if depth and not element.aside:
+                if first is None and not text.isspace():
+                    first = element
                 parts.append(text)
-        elif kind == "break":
-            if text == "hr":
-                flush()
-            elif text == "br":
+            continue
+        if kind == "break":
+            if text == "br":
                 parts.append(" ")
+            ends = text == "hr"
         else:
-            if element.name in BLOCKS or element.aside:
-                flush()
-            step = 1 if kind == "open" else -1
-            if wanted is not None and element.path in wanted and not element.aside:
-                depth += step
-            if element.path in left_out:
-                skipped += step
-    flush()
-    return found
+            ends = element.name in BLOCKS or element.aside
+        if ends and parts:
+            if joined := " ".join(unescape("".join(parts)).split()):
+                yield first, joined
+            parts.clear()
+            first = None
+        if kind != "break" and wanted is not None and element.path in wanted and not element.aside:
+            depth += 1 if kind == "open" else -1
+    if joined := " ".join(unescape("".join(parts)).split()):
+        yield first, joined
+
+
+def block_token(element: Element, text: str) -> int:
+    """A block's token: its words where they stand."""
+    return signed(xxhash.xxh64_intdigest(text, element.path & 0xFFFFFFFFFFFFFFFF))

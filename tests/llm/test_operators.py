@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -301,7 +302,7 @@ def test_extraction(spark, data):
     assert len(found) == len(rows)
     text = dict(found)
     for i in range(12):
-        assert text[i] == f"Title {i} & more\nText of page {i} bold\nnext line é " + " ".join(["word"] * (20 + i)) + f"\none {i}\ntwo"
+        assert text[i] == f"Title {i} & more\nText of page {i} bold\nnext line é " + " ".join(["word"] * (20 + i)) + f"\none {i}"  # "two" is on all pages
     assert (text[100], text[101], text[102], text[None]) == ("", "", "a\nb", "plain < text")
     assert extraction.extracted(pages.where("false")).count() == 0
     real = table(spark, data, "pages")
@@ -339,18 +340,76 @@ def test_a_wrapper_that_holds_the_page_is_not_aside():
     text = "T\n" + " ".join(["word"] * 40)
     for wrap in ("<div class='layout has-sidebar'>%s</div>", "<div class='site no-sidebar'>%s</div>", "<div class=ad-free>%s</div>", "<form action=x>%s</form>"):
         for inner in (post, f"<article>{post}</article>", f"<div role=main>{post}</div>"):
-            assert extraction.main_text(f"<body>{wrap % (inner + side)}</body>", None, None) == text
+            assert extraction.main_text(f"<body>{wrap % (inner + side)}</body>") == text
     brief = "<article><h1>T</h1>Brief.</article>"
-    assert extraction.main_text(f"<div class=with-comments>{brief}</div><div>{'legal ' * 20}</div>", None, None) == "T\nBrief."
-    assert extraction.main_text(f"<div><header><h1>T</h1></header><p>{'word ' * 40}</p></div><header><h1><a href=/>Site</a></h1></header>", None, None) == text
+    assert extraction.main_text(f"<div class=with-comments>{brief}</div><div>{'legal ' * 20}</div>") == "T\nBrief."
+    assert extraction.main_text(f"<div><header><h1>T</h1></header><p>{'word ' * 40}</p></div><header><h1><a href=/>Site</a></h1></header>") == text
     # what is named so and holds less than the page stays aside, its articles with it
-    assert extraction.main_text(f"{post}<div class=comments><article>me too</article></div>", None, None) == text
+    assert extraction.main_text(f"{post}<div class=comments><article>me too</article></div>") == text
+
+
+BARE = "<html><body><div class=a><p>Home Products About</p></div><div class=b><p>ACME daily</p></div><div class=c><div class=d><h2>%s</h2><div class=e>%s</div></div></div><div class=f><p>All rights kept by ACME</p></div></body></html>"
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 20])
+def test_template_of_a_site_that_names_nothing(spark, n):
+    """No article, main or telling name; a block that all pages repeat stands among the article's own, twice and with the same class."""
+    own = [[f"story {i} " + "tells of a thing " * (3 + i % 4), f"and so it went on day {i} with the rest of it all"] for i in range(n)]
+    inner = ["".join(f"<p class=q>{t}</p>" for t in (o[0], "see also ACME offers today", o[1], "see also ACME offers today")) for o in own]
+    rows = [(i, f"https://bare.example/{i}", BARE % (f"Title {i}", inner[i])) for i in range(n)]
+    rows.append((n, "https://bare.example/again", rows[0][2]))  # a copy is the same page
+    text = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        assert text[i] == "\n".join([f"Title {i}", *(" ".join(t.split()) for t in own[i])])
+        assert text[i] != extraction.main_text(rows[i][2])  # which keeps the menu and the rest
+    assert text[n] == text[0]
+
+
+def test_copies_are_no_template(spark):
+    same, near = BARE % ("T", "<p>one</p>"), ["<p>" + "word " * 50 + "</p>", "<p>" + "word " * 50 + "</p><p>more</p>"]
+    rows = [(i, "https://copies.example/", same) for i in range(5)] + [(10 + i, "https://near.example/", f"<div><h1>T</h1>{x}</div>") for i, x in enumerate(near)]
+    text = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[0] == "Home Products About\nACME daily\nT\none\nAll rights kept by ACME"
+    assert text[10] == "T\n" + " ".join(["word"] * 50) and text[11].endswith("more")
+
+
+def test_classes_match_occurrence_vectors(spark):
+    draw = random.Random(4)
+    rows = []
+    for i in range(24):
+        parts = "".join(draw.choice(["<p>always</p>", "<ul><li>x</ul>", "<div class=k><b>y</b></div>", f"<p>own {i}</p>"]) for _ in range(draw.randint(0, 6)))
+        rows.append((f"h{i % 3}", i, f"<html><body><div class=top>menu</div>{parts}<div class=end>bye</div></body></html>"))
+    pages = spark.createDataFrame(rows, "own string, page long, html string")
+    hosts = pages.groupBy("own").agg(F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("pages"))
+    got: dict = {}
+    for r in extraction.classes(extraction.tokens_of(pages), hosts).collect():
+        got.setdefault((r.own, r.vector), set()).add((r.token, r.block))
+        assert r.size > 0
+    want: dict = {}
+    for own in ("h0", "h1", "h2"):
+        held = [{(t[0], t[2]): t[4] for t in extraction.page_tokens(html)} for o, _, html in rows if o == own]
+        for token in {t for page in held for t in page}:
+            vector = tuple(page.get(token, 0) for page in held)
+            if sum(map(bool, vector)) >= extraction.COVER * len(held):
+                want.setdefault((own, vector), set()).add(token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def test_markup_survives_bad_input():
-    for html in ("<", "<p", "</", "<p <b>x", '<a href="x', "<!--", "<script>", "<p>" * 500, "<div class='ad'>x</div>" * 50, "a" * 100_000 + "<" * 2000):
-        markup.blocks(html, None)
-        extraction.path_tokens(html)
+    for html in ("<", "<p", "</", "<p <b>x", '<a href="x', "<!--", "<script>", "<p>" * 500, "<div class='ad'>x</div>" * 50, "a" * 100_000 + "<" * 2000, "<a b='c' <p>x</p>"):
+        list(markup.blocks(markup.events(html)))
+        extraction.page_tokens(html)
+    assert extraction.main_text('<p title="open>one</p><p>two</p>') == "one\ntwo"
+
+
+def test_markup_is_linear():
+    """Unclosed tags, quotes and comments, deep nesting, and closings that meet nothing: each is read in seconds."""
+    odd = ["<a " * 350_000, "<a '\"" * 200_000, "<!-" * 300_000, "<script></script" * 60_000, "<a x" + "y" * 1_000_000 + ">", "<p><span>" + "<span>" * 40_000 + "<li></li>" * 40_000, "<ul>" + "<b>" * 40_000 + "<li>x</li>" * 40_000 + "</i>" * 40_000, "<article>" * 30_000 + "x"]
+    for html in [*odd, "<div>" * 50_000 + "x", "<form>" * 50_000 + "<h1>x</h1>"]:
+        began = time.monotonic()
+        extraction.page_tokens(html)
+        extraction.main_text(html)
+        assert time.monotonic() - began < 15, html[:20]
 
 
 def test_personal_data(spark, edge, empty):
