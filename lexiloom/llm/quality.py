@@ -2,11 +2,13 @@
 
 A text's features are its words and runs of signs, and pairs of neighbours
 (a pair of equal words being the same feature for all words), hashed into a fixed number of dimensions; a
-value is the logarithm of 1 plus the count, scaled to unit length. Labelled rows train SHARDS models side by side, each
-in a fixed order over its share, and the weights are averaged, so the model depends on the rows and not on how they lie
-in partitions. The model has a fixed size and travels to the executors, where each text is scored as a sparse dot product.
+value is the logarithm of 1 plus the count, scaled to unit length. Labelled rows are dealt into FOLDS; a model is trained
+on each choice of all folds but one, in a fixed order, and scores the fold it has not seen. The weights are averaged, and a
+logistic curve fitted to the scores of unseen rows (Platt's method) makes probabilities of them, so that a fixed threshold
+means the same however many labels there are. The model depends on the rows and not on how they lie in partitions. It has
+a fixed size and travels to the executors, where each text is scored as a sparse dot product.
 
-Training takes TRAIN_ROWS labelled rows at most, chosen by a hash of the id, so that what a shard holds is bounded.
+Training takes TRAIN_ROWS labelled rows at most, chosen by a hash of the id, so that what a task holds is bounded.
 
 Defined results: null and empty texts have no features and score by the intercept; a document labelled more than once
 counts as good if any label says so; without labelled rows every score is 0.5; repeated rows score alike; an empty table
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 DIMENSIONS = 1 << 18
-SHARDS = 4
+FOLDS = 4
 TRAIN_ROWS = 16_000
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.5, 1.0, 0.01, 0.02
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.001, 0.001
 #: A text is taken as good from this score on.
 GOOD = 0.3
 #: Words that a task remembers the hashes of.
@@ -66,17 +68,21 @@ def leader_weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The weights of one shard of labelled texts (doc_id, text, label); the intercept comes last."""
-    pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
+def vectors(texts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indices and values of each text, with the intercept's last."""
     hashes = Hashes()
-    rows = []
-    for text in pdf["text"]:
+    found = []
+    for text in texts:
         index, values = features(text, hashes)
-        rows.append((np.append(index, DIMENSIONS).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
+        found.append((np.append(index, DIMENSIONS).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
+    return found
+
+
+def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
+    """The weights after EPOCHS passes over rows in their order; the intercept comes last."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for _ in range(EPOCHS):
-        for (index, values), label in zip(rows, pdf["label"], strict=True):
+        for (index, values), label in zip(rows, labels, strict=True):
             own_z, own_n = z[index], n[index]
             w = leader_weights(own_z, own_n)
             p = 1 / (1 + np.exp(-np.clip(w @ values, -35, 35)))
@@ -84,21 +90,53 @@ def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             grown = own_n + gradient * gradient
             z[index] = own_z + gradient - (np.sqrt(grown) - np.sqrt(own_n)) / ALPHA * w
             n[index] = grown
-    return pd.DataFrame({"weights": [leader_weights(z, n).astype(np.float32).tobytes()], "rows": [len(rows)]})
+    return leader_weights(z, n)
+
+
+def train_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of labelled texts (turn, doc_id, text, label, own): the weights of those that are not the fold's own, and the margins and labels of those that are."""
+    pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
+    rows, labels, own = vectors(pdf["text"]), pdf["label"].to_numpy(float), pdf["own"].to_numpy(bool)
+    weights = leader([r for r, o in zip(rows, own, strict=True) if not o], labels[~own])
+    margins = np.array([weights[i] @ v for (i, v), o in zip(rows, own, strict=True) if o])
+    return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "margins": [margins.tolist()], "labels": [labels[own].tolist()]})
+
+
+def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve that fits labels to margins, by Newton steps that never raise the loss."""
+    good = labels.sum()
+    bad = len(labels) - good
+    aim = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))  # keeps the slope finite where classes part
+    x = np.stack((margins, np.ones(len(margins))))
+    loss = lambda c: (np.logaddexp(0, c @ x) - aim * (c @ x)).sum()
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -35, 35)))
+        move = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - aim))
+        while np.abs(move).max() > 1e-9 and loss(at - move) > loss(at):
+            move = move / 2
+        at = at - move
+        if np.abs(move).max() <= 1e-9:
+            break
+    return float(at[0]), float(at[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """The averaged weights of a model trained on rows of docs (doc_id, text) and labels (doc_id, label)."""
+    """The calibrated weights of a model trained on rows of docs (doc_id, text) and labels (doc_id, label)."""
     labelled = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     turn = F.xxhash64(F.lit("turn"), "doc_id")
     share = min(1.0, max_rows / max(1, labelled.count()))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit("chosen"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumns({"turn": turn, "shard": F.pmod(turn, F.lit(SHARDS))})
-    found = rows.groupBy("shard").applyInPandas(train_shard, "weights binary, rows long").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("turn", turn)
+    every = rows.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).withColumn("own", F.pmod("turn", F.lit(FOLDS)) == F.col("fold"))
+    found = every.groupBy("fold").applyInPandas(train_fold, "weights binary, margins array<double>, labels array<double>").collect()
     if not found:
         return np.zeros(DIMENSIONS + 1, np.float32)
-    total = sum(r["rows"] for r in found)
-    return sum(np.frombuffer(r["weights"], np.float32) * np.float32(r["rows"] / total) for r in found)
+    weights = sum(np.frombuffer(r["weights"], np.float32) for r in found) / np.float32(len(found))
+    slope, intercept = platt(*(np.concatenate([np.array(r[c], float) for r in found]) for c in ("margins", "labels")))
+    weights = weights * np.float32(slope)
+    weights[-1] += np.float32(intercept)
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
