@@ -2,10 +2,13 @@
 
 A source's target asks for target / source_size copies of each of its documents. The whole part is taken at once. The
 fractional parts are rounded by the pivotal method: two documents meet, one probability takes mass from the other at
-random until one of them is 0 or 1, and the undecided one meets the next document. Blocks of bounded size run this side
-by side; a block ends with one undecided document at most, and those meet in blocks again, level by level, until a
-source has one left, which a last draw decides. So the copies of a source sum to within one document of its target in
-number, and as documents meet in the order of their sizes, near it in words.
+random until one of them is 0 or 1, and the undecided one meets the next document. Mass is words: what one gains in
+probability times its size the other loses, and the two ways it may go are drawn so that no document's chance changes.
+Blocks of bounded size run this side by side; a block ends with one undecided document at most, and those meet in blocks
+again, level by level, until a source has one left, which goes to the nearer end, half of that document from the target at most. So that this is not a
+large one, documents of more than HEAVY of their source's words are rounded first, by pairs and the last by a draw, and
+what that moves the sum is spread over the chances of the source's other documents; if they cannot take it, the last
+heavy one goes to the nearer end instead.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last; documents
 repeated with one doc_id are rounded one by one; draws depend on the seed, the source and the ids alone, so reruns and
@@ -31,6 +34,8 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Documents that meet in one block.
 BLOCK = 4096
+#: Documents with a larger share of their source's words are rounded first; a source has less than 1 / HEAVY of them.
+HEAVY = 0.01
 SEED = 20
 
 
@@ -60,43 +65,35 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return shared.withColumn("__target", target).select("source", "n", "n_sized", "source_size", F.col("__target").alias("target"))
 
 
-def pivot(probabilities: np.ndarray, seed: str) -> np.ndarray:
-    """Rounds probabilities by pairs, in order; what is left has one entry at most that is neither 0 nor 1."""
-    out = probabilities.astype(float).copy()
+def pivot(probabilities: np.ndarray, sizes: np.ndarray, seed: str) -> np.ndarray:
+    """Rounds probabilities by pairs, in order, keeping the sum of probability times size; one entry at most is left that is neither 0 nor 1."""
+    out = probabilities.astype(float).tolist()
     draws = np.random.default_rng(xxhash.xxh64_intdigest(seed)).random(len(out))
     open_ = -1
-    for i in range(len(out)):
+    for i, (size, draw) in enumerate(zip(sizes.tolist(), draws.tolist(), strict=True)):
         if not 0 < out[i] < 1:
             continue
         if open_ < 0:
             open_ = i
             continue
-        a, b = out[open_], out[i]
-        total = a + b
-        if total < 1 - 1e-12:  # one of the two gives all it has
-            winner, loser = (open_, i) if draws[i] * total < a else (i, open_)
-            out[winner], out[loser] = total, 0.0
-            open_ = winner
-        elif total <= 1 + 1e-12:
-            winner, loser = (open_, i) if draws[i] * total < a else (i, open_)
-            out[winner], out[loser] = 1.0, 0.0
-            open_ = -1
-        else:  # one of the two becomes whole
-            whole, rest = (open_, i) if draws[i] * (2 - total) < 1 - b else (i, open_)
-            out[whole], out[rest] = 1.0, total - 1
-            open_ = rest
-    return out
+        a, b, own = out[open_], out[i], float(sizes[open_])
+        up, down = min((1 - a) * own, b * size), min(a * own, (1 - b) * size)  # words that may move to the open one, and from it
+        x = up if draw * (up + down) < down else -down
+        for k, p in ((open_, a + x / own), (i, b - x / size)):
+            out[k] = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
+        open_ = next((k for k in (open_, i) if 0 < out[k] < 1), -1)
+    return np.array(out)
 
 
 def meeting(level: int, last: bool, columns: list[str]) -> Callable:
-    """The rounding of one block; on the last level what is left open is drawn."""
+    """The rounding of one block; on the last level what is left open goes to the nearer end."""
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "descending"), ("doc_id", "descending")])
         seed = f"{SEED}/{level}/{key[0].as_py()}/{key[1].as_py()}"
-        p = pivot(group.column("p").to_numpy(), seed)
+        p = pivot(group.column("p").to_numpy(), group.column("size").to_numpy(), seed)
         if last:
-            p = np.where((p > 0) & (p < 1), np.random.default_rng(xxhash.xxh64_intdigest(seed + "/last")).random(len(p)) < p, p)
+            p = np.round(p)
         return pa.table({c: pa.array(p, pa.float64()) if c == "p" else group.column(c) for c in columns})
 
     return meet
@@ -124,17 +121,42 @@ def round_copies(rows: DataFrame) -> DataFrame:
     return out
 
 
+def heavy_first(key: tuple, group: pa.Table) -> pa.Table:
+    """The heavy documents of a source, rounded; the last one by a draw if the others can make up for it, or else to the nearer end."""
+    group = group.sort_by([("size", "descending"), ("doc_id", "descending")])
+    seed = f"{SEED}/heavy/{key[0].as_py()}"
+    p, sizes, was = (group.column(c).to_numpy() for c in ("p", "size", "was"))
+    p = pivot(p, sizes, seed)
+    for i in np.flatnonzero((p > 0) & (p < 1)).tolist():
+        others = int(group.column("source_size")[0].as_py() - sizes.sum())
+        can = sizes[i] * (1 - p[i]) <= was[0] * others and sizes[i] * p[i] <= (1 - was[0]) * others
+        p[i] = np.random.default_rng(xxhash.xxh64_intdigest(seed + "/last")).random() < p[i] if can else np.round(p[i])
+    return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, copies of every row of docs (doc_id, text, source)."""
     sizes = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     sizes = cut(sizes)
-    targets = source_targets(sizes).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0))
-    key = F.col("d.source").eqNullSafe(F.col("t.source"))
-    joined = sizes.alias("d").join(targets.alias("t"), key).select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target", "t.n_sized", F.floor("t.rate").cast("long").alias("base"), (F.col("t.rate") - F.floor("t.rate")).alias("p"))
-    rounded = round_copies(joined.where("size > 0 and p > 0"))
-    settled = joined.where("size = 0 or p = 0").withColumn("p", F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    targets = cut(source_targets(sizes).withColumn("rate", rate))
+    columns = ["doc_id", "size", "source", "source_size", "target", "n_sized", "base", "p"]
+
+    def with_targets(own: DataFrame) -> DataFrame:
+        joined = sizes.alias("d").join(own.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+        return joined.select("d.doc_id", "d.size", "d.source", *[f"t.{c}" for c in own.columns if c != "source"]).withColumns({"base": F.floor("rate").cast("long"), "p": F.col("rate") - F.floor("rate")})
+
+    is_heavy = F.col("size") > HEAVY * F.col("source_size")
+    some = with_targets(targets).where(is_heavy & (F.col("p") > 0)).select(*columns, F.col("p").alias("was"))
+    heavy = cut(some.groupBy("source").applyInArrow(heavy_first, some.schema))
+    moved = heavy.groupBy("source").agg(F.sum(F.col("size") * (F.col("p") - F.col("was"))).alias("moved"), F.sum("size").alias("heavy_size"))
+    both = targets.alias("t").join(moved.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source")), "left").select("t.*", F.try_divide("moved", F.col("source_size") - F.col("heavy_size")).alias("less"))
+    light = with_targets(both).where(~is_heavy | (F.col("p") == 0)).withColumn("p", F.when(F.col("p") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.coalesce("less", F.lit(0.0))))).otherwise(0.0))
+    open_ = (F.col("size") > 0) & (F.col("p") > 0) & (F.col("p") < 1)
+    rounded = round_copies(light.where(open_).select(*columns))
+    settled = light.where(~open_).select(*columns)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("base") + F.col("p")).cast("long")
-    return settled.unionByName(rounded).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"))
+    return settled.unionByName(rounded).unionByName(heavy.select(*columns)).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"))
 
 
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
