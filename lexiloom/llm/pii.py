@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +77,10 @@ def base_spans(text: str) -> list[Span]:
 
 #: Generous patterns of each kind.
 GENEROUS = (
-    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?@ ?| ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot | \. )[A-Za-z0-9-]{1,63}){1,4}", re.I)),
+    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9_%+-]{1,63}){0,3}(?: ?@ ?| ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot | \. )[A-Za-z0-9-]{1,63}){1,4}", re.I)),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9.])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.])[0-9]{3,6}(?:[ ./_-]?[0-9]{2,7}){2,5}(?![0-9A-Za-z])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.,])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?(?:[ ./-]{0,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.,])(?=[0-9+(])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?(?:[ ./-]{0,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])")),
 )
 #: Least and most digits.
 DIGITS = {"card": (13, 19), "phone": (7, 15)}
@@ -203,7 +205,9 @@ def labelled(draw: random.Random) -> tuple[str, Span, int]:
             octets = [str(draw.randint(0, 255)) for _ in range(4)]
             span = draw.choice(["[.]", "(.)", " . ", "."]).join(octets) if draw.random() < 0.8 else ":".join(f"{draw.randint(0, 65535):x}" for _ in range(8))
         else:
-            span = draw.choice([".", " . "]).join(draw.choice([number(3), str(draw.randint(256, 999)), number(1)]) for _ in range(4))
+            numbers = [draw.choice([number(3), str(draw.randint(256, 999)), number(1)]) for _ in range(4)]
+            few = [str(draw.randint(0, 99)) for _ in range(8)]  # ratios and sections
+            span = draw.choice([draw.choice([".", " . "]).join(numbers), ":".join(few), " . ".join(few[:4])])
     elif kind == "card":
         body = draw.choice("3456") + number(draw.choice([13, 14, 14, 14, 15]))
         check = next(c for c in "0123456789" if luhn(body + c))
@@ -217,7 +221,7 @@ def labelled(draw: random.Random) -> tuple[str, Span, int]:
         if span[0].isdigit() and "(" not in span and draw.random() < 0.8:
             lead = draw.choice(["phone ", "tel. ", "call ", "mobile: "])
     else:
-        span = draw.choice([f"{draw.randint(1900, 2099)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}.{number(2)}", f"{number(2)} {number(2)} {number(2)}", f"{number(5)} {number(5)}", f"{number(4)}-{number(4)}", number(9), f"{number(3)}-{number(10)}"])
+        span = draw.choice([f"{draw.randint(1900, 2099)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}.{number(2)}", f"{number(2)} {number(2)} {number(2)}", f"{number(5)} {number(5)}", " ".join(number(2) for _ in range(draw.randint(4, 6))), f"{number(4)}-{number(4)}", number(9), f"{number(3)}-{number(10)}"])
     text = f"{lead}{span}{draw.choice([' ', '. ', ', '])}{word()} {word()}"
     return text, (len(lead), len(lead) + len(span), kind), int(good)
 
@@ -242,9 +246,22 @@ def trained() -> tuple[dict[str, np.ndarray], dict[str, float]]:
     return trees, thresholds
 
 
+class Taken:
+    """Spans in order of their starts; tells whether one meets any of them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [s[0] for s in spans]
+        self.ends = list(accumulate((s[1] for s in spans), max))  # the furthest end of all up to each
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def select(text: str, base: list[Span], trees: dict[str, np.ndarray], thresholds: dict[str, float]) -> list[Span]:
     """The spans to redact: the base's, and the likeliest candidates that overlap none."""
-    proposed = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)]
+    taken = Taken(base)
+    proposed = [c for c in candidates(text) if not taken.meets(c[0], c[1])]
     if not proposed:
         return base
     scores = boosting.predict(trees, np.array([features(text, *c) for c in proposed], float))
@@ -255,9 +272,14 @@ def select(text: str, base: list[Span], trees: dict[str, np.ndarray], thresholds
         if end > ends[kind]:
             wide.append(((start, end, kind), score))
             ends[kind] = end
+    starts: list[int] = []  # of those kept, which overlap nowhere, so only neighbours need a look
+    ends_: list[int] = []
     kept: list[Span] = []
     for (start, end, kind), _ in sorted(wide, key=lambda p: (-p[1], p[0][0])):
-        if not any(a < end and start < b for a, b, _ in kept):
+        k = bisect_left(starts, end)
+        if not k or ends_[k - 1] <= start:
+            starts.insert(k, start)
+            ends_.insert(k, end)
             kept.append((start, end, kind))
     return sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
