@@ -13,6 +13,8 @@ one; an empty table gives an empty result; extra columns are left aside.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,13 +31,12 @@ FINDINGS, TREES, DEPTH, SEED = 6000, 24, 7, 11
 SECRET = 0.5
 #: Words whose share of a candidate counts as dictionary coverage.
 DICTIONARY = (
-    "about account admin alpha application archive array background base batch beta block body border branch bucket buffer build button cache change channel class client cluster code color column com "
-    "config content control copy count custom data date db default delete demo detail dev device dir document domain download driver edit element email error event example fail field file filter final first "
-    "folder form format function gateway get global group handler header height home host html http https icon id image import index info input instance item job js json key label last layer layout length "
-    "level library link list load local log login main manager master max message metadata method min mode model module name network new node number object option order org output package page panel param "
-    "part path pixel plugin policy pool port prefix primary process product profile project property public query queue read record region release remote report request reset resource response result role "
-    "root route row rule sample schema score script search section select server service session set setting shared size source stack stage start state static status step storage store stream string style sub "
-    "system table tag target task template test text theme thread time title tmp token tool total type unit update upload url user util value version video view web widget width window worker write xml year zone"
+    "account admin application archive array background base batch body buffer build button cache change channel class client cluster code config content control copy count custom data date db "
+    "default delete device document domain download driver edit element email error event example field file filter folder form format function gateway get global group handler header height home "
+    "host html http https icon id image import index info input instance json key label layer layout length level library link list local login main manager master message metadata method mode "
+    "model module name network new node number object option order org output package path policy pool port process product project property public query queue read record region release remote "
+    "report request reset resource response result role root route row schema script search section server service session set setting source start state static status storage store stream string "
+    "style sub system table target template test text title token tool total type unit update upload user util value version video view widget window worker"
 ).split()
 ASSIGNING = r"(?i)(passw(or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer)"
 PLACEHOLDER = r"(?i)(example|dummy|sample|placeholder|changeme|your[_-]|xxx|fake|test|todo|<|\$\{|123456|abcdef)"
@@ -43,51 +44,100 @@ CHECKSUM = r"(?i)(sha-?\d*|md5|checksum|hash|commit|revision|integrity|digest|et
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ|SG\.|npm_|hf_)"
 
 
+#: Running sums are taken in blocks of so many matches, so that no long array is copied for each of its elements.
+TOGETHER = 256
+
+
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(lengths: Column) -> Column:
+    """For each element of an array of numbers the sum of those before it."""
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(s: Column, n: Column) -> Column:
+        return state(s["at"] + n, F.array_append(s["out"], s["at"]))
+
+    def block(s: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(lengths, k * TOGETHER + 1, TOGETHER), state(s["at"], none("int")), one)
+        return named(own, lambda o: state(o["at"], F.array_append(s["out"], o["out"])))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / TOGETHER).cast("int"))
+    return F.flatten(F.aggregate(blocks, state(F.lit(0), none("array<int>")), block, lambda s: s["out"]))
+
+
+SPAN = "struct<start:int,value:string,before:string,after:string>"
+#: A match has ten characters or more, so so many of them with what lies between fill AROUND.
+NEIGHBOURS = 4
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, value>> of the pattern's matches in text: code points from 0.
+    """array<SPAN> of the pattern's matches in text, with AROUND characters on either side; code points from 0.
 
-    The matches come in order, and each begins where its text is first met after the one before: an earlier occurrence
-    would have been matched itself.
+    Matches and the pieces between them make up the text in turn, so starts are running sums of their lengths, and what
+    is around a match is in the pieces and matches next to it: a text is never searched once for each match. A group, if
+    one is asked for, must end its match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,value:string>>)").alias("out"))
 
-    def step(state: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, state["at"])
-        value = match if not group else F.regexp_extract(match, pattern, group)
-        inner = at - 1 if not group else at - 1 + F.char_length(match) - F.char_length(value)
-        return F.struct((at + F.char_length(match)).alias("at"), F.array_append(state["out"], F.struct(inner.alias("start"), value.alias("value"))).alias("out"))
+    def placed(found: Column, pieces: Column, ends: Column) -> Column:
+        def at(match: Column, i: Column) -> Column:
+            last = lambda part: F.coalesce(F.right(part, F.lit(AROUND)), F.lit(""))
+            first = lambda part: F.coalesce(F.left(part, F.lit(AROUND)), F.lit(""))
+            left = [last(part) for k in range(NEIGHBOURS, 0, -1) for part in (F.get(found, i - k), F.get(pieces, i - k + 1))]
+            right = [first(part) for k in range(1, NEIGHBOURS + 1) for part in (F.get(pieces, i + k), F.get(found, i + k))]
+            value = match if not group else F.regexp_extract(match, pattern, group)
+
+            def span(v: Column) -> Column:
+                lead = F.left(match, F.char_length(match) - F.char_length(v))
+                return F.struct((F.get(ends, i + 1) - F.char_length(v)).cast("int").alias("start"), v.alias("value"), F.right(F.concat(*left, lead), F.lit(AROUND)).alias("before"), F.left(F.concat(*right), F.lit(AROUND)).alias("after"))
+
+            return named(value, span)
+
+        return F.transform(found, at)
 
-    return F.aggregate(found, start, step, lambda s: s["out"])
+    def of(found: Column, pieces: Column) -> Column:
+        # one piece more than matches; the sum before the piece that follows a match is where the match ends
+        lengths = F.transform(pieces, lambda piece, i: F.char_length(piece) + F.coalesce(F.char_length(F.get(found, i)), F.lit(0)))
+        return named(lengths, lambda n: named(running_sums(n), lambda ends: placed(found, pieces, ends)))
 
+    both = named(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: named(F.split(text, pattern), lambda pieces: of(found, pieces)))
+    return F.when(text.rlike(pattern), both).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
-def _without_signs(start: Column, value: Column) -> Column:
+
+def _without_signs(s: Column) -> Column:
     """A span without its leading signs, which may be its own or of what stands before it."""
-    kept = F.regexp_replace(value, "^[-=_/+]++", "")
-    return F.struct((start + F.char_length(value) - F.char_length(kept)).alias("start"), kept.alias("value"))
+    kept = F.regexp_replace(s["value"], "^[-=_/+]++", "")
+    signs = F.char_length(s["value"]) - F.char_length(kept)
+    return F.struct((s["start"] + signs).alias("start"), kept.alias("value"), F.right(F.concat(s["before"], F.left(s["value"], signs)), F.lit(AROUND)).alias("before"), s["after"].alias("after"))
+
+
+def _is_run(s: Column) -> Column:
+    """Whether an assigned value is a run as well, with or without the sign that assigns it: what parts values ends runs too."""
+    return s["value"].rlike(f"^{RUN}$") & s["value"].rlike("[A-Za-z0-9]") & (s["before"].rlike(r"(?:^|[^A-Za-z0-9+/_=-])$") | (s["before"].rlike(r"[^A-Za-z0-9+/_=-]=$") & ~s["value"].rlike("^[-=_/+]")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, value, before, after and path of each candidate in docs (doc_id, text, source)."""
     text = F.col("__text")
+    path = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text_of().alias("__text"), path.alias("path")).where(text.rlike(RUN) | text.rlike(ASSIGNED))
     runs = F.filter(spans(text, RUN), lambda s: s["value"].rlike("[A-Za-z0-9]"))  # a line of signs only is no key
-    bare = F.transform(runs, lambda s: _without_signs(s["start"], s["value"]))
-    bare = F.filter(bare, lambda s: s["value"].rlike(RUN))
-    trimmed = F.filter(spans(text, ASSIGNED, 1), lambda s: F.char_length(s["value"]) > 0)
-    rows = docs.select("doc_id", text_of().alias("__text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"))
-    one = F.explode(F.array_distinct(F.concat(runs, bare, trimmed)))
-    some = rows.where(text.rlike(RUN) | text.rlike(ASSIGNED)).select("doc_id", "__text", "path", one.alias("c"))
-    start, end = F.col("c.start"), F.col("c.start") + F.char_length("c.value")
-    before = F.substring(text, F.greatest(F.lit(1), start - AROUND + 1), F.least(F.lit(AROUND), start))
-    return some.select("doc_id", start.alias("start"), end.alias("end"), F.col("c.value").alias("value"), before.alias("before"), F.substring(text, end + 1, F.lit(AROUND)).alias("after"), "path")
-
-
-def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    assigned = F.filter(spans(text, ASSIGNED, 1), lambda s: ~_is_run(s))
+    bare = lambda found: F.transform(F.filter(found, lambda s: s["value"].rlike("^[-=_/+]")), _without_signs)
+    one = named(runs, lambda found: F.concat(found, F.filter(bare(found), lambda s: s["value"].rlike(RUN)), assigned))
+    some = rows.select("doc_id", "path", F.explode(one).alias("c"))
+    return some.select("doc_id", F.col("c.start").alias("start"), (F.col("c.start") + F.char_length("c.value")).alias("end"), "c.value", "c.before", "c.after", "path")
+
+
+def features(rows: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> tuple[DataFrame, list[str]]:
     """rows (value, before, after, path) with a numeric column for each feature, and their names."""
     value, before, after, path = (F.coalesce(F.col(c), F.lit("")) for c in ("value", "before", "after", "path"))
     length = F.greatest(F.lit(1), F.char_length(value))
     count = lambda pattern: F.regexp_count(value, F.lit(pattern))
-    words = "(?:" + "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))) + ")"
+    words = "(?:" + "|".join(sorted((w for w in dictionary if len(w) > 2), key=lambda w: (-len(w), w))) + ")"
     made = {
         "f_length": length,
         "f_class_changes": count("[a-z](?=[0-9A-Z])|[0-9](?=[A-Za-z])|[A-Z](?=[0-9])") / length,
