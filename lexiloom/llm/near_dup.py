@@ -39,8 +39,11 @@ MINIMA = BANDS * ROWS
 BITS = 4
 #: How far below the threshold an estimate may lie for a pair to be confirmed: five standard errors.
 SLACK = 5 * (SIMILAR * (1 - SIMILAR) / MINIMA) ** 0.5 / (1 - 2.0**-BITS) + 0.01
-#: Open members of a bucket, and members, that meet in one group.
-OPEN_BLOCK, BLOCK = 256, 1024
+#: Open members of a bucket, and members, whose signatures meet in one group, and those whose texts do.
+OPEN_BLOCK, BLOCK = 4096, 4096
+OPEN_TEXTS, TEXTS = 256, 1024
+#: Followers that are compared with one copy of their leader's text.
+FOLLOWERS = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,30 +167,40 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar, with their texts from texts (doc_id, text)."""
+    """The pairs (a, b), a written table, whose full shingle sets are similar, with their texts from texts (doc_id, text).
+
+    The followers b of a leader a are dealt into blocks of about FOLLOWERS; a block gets the leader's text once and is
+    read in order, the leader first.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b", 1 << 19):
-            # a text that pairs share is cut into shingles once a slice
-            a, b = batch.column("text_a").dictionary_encode(), batch.column("text_b")
-            of_a, of_b = each_set(a.dictionary, words), each_set(b, words)
-            good = [similar(of_a[k], own) for k, own in zip(a.indices.to_pylist(), of_b, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        leader, key = np.zeros(0, np.uint64), None
+        for batch in slices(batches, "text", 1 << 19):
+            a, b = [], []
+            for one, block, other, own in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b")), each_set(batch.column("text"), words), strict=True):
+                if other is None:
+                    leader, key = own, (one, block)
+                elif key == (one, block) and similar(leader, own):
+                    a.append(one)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("blocks"))
+    of_a = sized.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+    of_b = pairs.join(sized, "a").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
+    both = of_a.unionByName(of_b).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def groups(rows: DataFrame, answer, schema: str) -> DataFrame:
-    """answer(table) for each group (key, ub, xb) of rows, from partitions sorted by group; a group is bounded."""
+def groups(rows: DataFrame, by: list[str], answer, schema: str) -> DataFrame:
+    """answer(table) for each group of rows, from partitions sorted by group; a group is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None  # the group that may go on in the next batch
         for batch in batches:
             part = pa.Table.from_batches([batch])
             kept = part if kept is None else pa.concat_tables([kept, part])
-            keys = np.stack([kept.column(c).to_numpy() for c in ("key", "ub", "xb")])
+            keys = np.stack([kept.column(c).to_numpy() for c in by])
             cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
             for at, to in zip([0, *cuts[:-1]], cuts, strict=False):
                 yield from answer(kept.slice(at, to - at)).to_batches()
@@ -196,7 +209,7 @@ def groups(rows: DataFrame, answer, schema: str) -> DataFrame:
         if kept is not None and len(kept):
             yield from answer(kept).to_batches()
 
-    return rows.repartition("key", "ub", "xb").sortWithinPartitions("key", "ub", "xb").mapInArrow(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,9 +233,20 @@ def open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def promising(group: pa.Table) -> pa.Table:
-    """The rows of a group that have a partner."""
-    u, x, can, _ = open_pairs(group)
-    return group.take(pa.array(np.sort(np.concatenate((u[can.any(axis=1)], x[can.any(axis=0)])))))
+    """The rows of a group that have a partner, dealt anew with their texts' blocks: ut and xt join the group's key."""
+    side = group.column("side").to_numpy()
+    u, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    rows, ut, xt = [], [], []
+    for i in range(0, len(u), OPEN_TEXTS):
+        for j in range(0, len(x), TEXTS):
+            part = np.concatenate((u[i : i + OPEN_TEXTS], x[j : j + TEXTS]))
+            a, b, can, _ = open_pairs(group.take(pa.array(part)))
+            found = np.sort(np.concatenate((a[can.any(axis=1)], b[can.any(axis=0)])))
+            rows.append(part[found])
+            ut.append(np.full(len(found), i // OPEN_TEXTS, np.int32))
+            xt.append(np.full(len(found), j // TEXTS, np.int32))
+    taken = group.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+    return taken.append_column("ut", pa.array(np.concatenate(ut) if rows else [], pa.int32())).append_column("xt", pa.array(np.concatenate(xt) if rows else [], pa.int32()))
 
 
 def links_in(words: int):
@@ -267,9 +291,9 @@ def cross_links(members: DataFrame, component: DataFrame, classes: DataFrame, te
     as_member = F.transform(every("ubs"), lambda k: F.struct(k.alias("ub"), own("xbs").alias("xb"), F.lit(1).alias("side")))
     as_open = F.when(F.col("open"), F.transform(every("xbs"), lambda k: F.struct(own("ubs").alias("ub"), k.alias("xb"), F.lit(0).alias("side")))).otherwise(F.expr("cast(array() as array<struct<ub:int,xb:int,side:int>>)"))
     dealt = rows.withColumn("at", F.explode(F.concat(as_member, as_open))).select("key", "at.ub", "at.xb", "at.side", "open", "rep", "component", "n", "bits", "bands")
-    found = groups(dealt, promising, MEMBER)
+    found = groups(dealt, ["key", "ub", "xb"], promising, MEMBER + ", ut int, xt int")
     with_text = found.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    return groups(with_text, links_in(words), "a long, b long")
+    return groups(with_text, ["key", "ub", "xb", "ut", "xt"], links_in(words), "a long, b long")
 
 
 def linked(docs: DataFrame, words: int) -> DataFrame:

@@ -98,6 +98,18 @@ def test_partition_filters_merge_losslessly(spark):
     assert {(r.fp, r.n) for r in exact_dedup.repeated(parts, 4).collect()} == {(f, n) for f, n in want.items() if n > 1}
 
 
+def test_filters_part_level_by_level(spark, monkeypatch):
+    """Three levels give what one gives, and filters stay large although there are thousands of blocks."""
+    prints = spark.range(0, 60_000).select(F.xxhash64(F.col("id") % 45_000).alias("fp")).repartition(9)
+    monkeypatch.setattr(exact_dedup, "STEP", 4)
+    monkeypatch.setattr(exact_dedup, "MERGED", 3)
+    filters = exact_dedup.all_filters(prints, 11)
+    found = {(r.fp, r.n) for r in exact_dedup.repeated(filters, 11).collect()}
+    assert found == {(r.fp, r["count"]) for r in prints.groupBy("fp").count().where("count > 1").collect()}
+    first = exact_dedup.partition_filters(prints, 4).selectExpr("avg(length(filter)) n").first().n
+    assert first > 8 * 60_000 / 9 / 16 * 0.8  # eight bytes a slot
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_mix(spark, edge, empty, sf):
     rows = mixing.mix(table(spark, f"/root/testdata/{sf}", "documents")).collect()
@@ -184,13 +196,47 @@ def test_near_duplicates_in_one_hot_bucket(spark, monkeypatch):
         for _ in range(draw.choice([1, 3, 5, 8])):
             own[draw.randrange(60)] = f"z{draw.randrange(9)}"
         rows.append((i, " ".join(own)))
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
-    monkeypatch.setattr(near_dup, "OPEN_BLOCK", 8)
+    for name, size in {"BLOCK": 32, "OPEN_BLOCK": 16, "TEXTS": 8, "OPEN_TEXTS": 4, "FOLLOWERS": 4}.items():
+        monkeypatch.setattr(near_dup, name, size)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.linked(docs, 2).collect()}
     assert got == brute_classes(dict(rows), 2)
 
 
+def test_near_duplicates_in_a_large_hot_bucket(spark):
+    """Thousands of members, of which many stay in classes of their own, against the products of all incidence rows."""
+    draw = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(6000):
+        own = list(base)
+        for k in draw.integers(0, 40, draw.choice([2, 4, 6])):
+            own[k] = f"z{draw.integers(0, 40)}"
+        rows.append((i, " ".join(own)))
+    sets = [set(zip(t.split()[:-1], t.split()[1:], strict=True)) for _, t in rows]
+    number: dict = {}
+    held = np.zeros((len(rows), len(set().union(*sets))), np.float32)
+    for i, own in enumerate(sets):
+        held[i, [number.setdefault(x, len(number)) for x in own]] = 1
+    size = held.sum(axis=1)
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for at in range(0, len(rows), 500):
+        shared = held[at : at + 500] @ held.T
+        for i, j in np.argwhere(100 * shared >= 80 * (size[at : at + 500, None] + size[None] - shared)).tolist():
+            a, b = root(at + i), root(j)
+            up[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in near_dup.linked(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert len({root(i) for i in up}) > 100
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
 def test_near_duplicates_of_odd_rows(edge, empty):
     found = {(r.doc_id, r.component_id) for r in near_dup.linked(edge, 2).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (10, 10), (8, 8), (None, None)} <= found
