@@ -3,6 +3,9 @@
 A stable key alone decides the shard: the key seeds a 64-bit linear congruential generator, and the generator's jumps
 name the shard without a ring table. When shards are appended, rows move only into the new ones.
 
+Slots are numbered over ranges of rows that are ordered by the key's hash, the key, size and checksum. Equal rows are counted
+first and dealt out again in chunks, so a key that a third of all rows share takes as many tasks as any other rows.
+
 Defined results: a null key is a key like any other; repeated rows share a shard and take a slot each; null texts have
 size 16 and crc32 0; an empty table gives an empty result; extra columns are left aside (internal columns have names
 that start with two underscores).
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, text_of
+from .common import cut, table, text_of
 
 #: Multiplier of the generator, as published with the algorithm.
 MULTIPLIER = 2862933555777941757
@@ -22,8 +25,8 @@ LOW = 0xFFFFFFFF
 SHARDS = 40
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-#: Slots are numbered in blocks of about so many rows.
-BLOCK_ROWS = 1 << 14
+#: Equal rows are dealt out in chunks of so many.
+CHUNK = 1 << 14
 
 
 def key_halves(key: Column) -> tuple[Column, Column]:
@@ -69,20 +72,25 @@ def jump(high: Column, low: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards)), start, step, last)
 
 
-def numbered(df: DataFrame, shard: str, order: list[str], high: str) -> DataFrame:
-    """df with slot: a gapless number from 0 in each shard, by `order`, of which `high` (32 uniform bits) is the first.
+def numbered(df: DataFrame, shard: str, order: list[str]) -> DataFrame:
+    """df with slot: a gapless number from 0 in each shard, by `order`; rows of df are equal where order's columns are.
 
-    A shard is numbered in blocks of its leading bits, so that no task takes a whole shard; the blocks' offsets are
-    running sums over their counts. The slots do not depend on the number of blocks.
+    A shard is numbered in ranges of its order, whose offsets are running sums over their counts, so that no task takes a
+    whole shard. Slots do not depend on the ranges.
     """
-    shards = SHARDS
-    bits = max(0, (df.count() // (shards * BLOCK_ROWS)).bit_length())
-    blocked = df.withColumn("__block", F.shiftright(F.col(high), 32 - bits).cast("int"))
-    counts = blocked.groupBy(shard, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(shard).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(shard, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = F.row_number().over(W.partitionBy(shard, "__block").orderBy(*order)) - 1
-    return blocked.withColumn("__at", within).join(offsets, [shard, "__block"]).withColumn("slot", (F.col("__at") + F.col("__offset")).cast("long")).drop("__block", "__at", "__offset")
+    columns = df.columns
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    # written, since rows and offsets must come from the same ranges
+    parts = cut(counted.repartitionByRange(shard, *order).withColumn("__part", F.spark_partition_id()))
+    before = W.partitionBy(shard).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = parts.groupBy(shard, "__part").agg(F.sum("__n").alias("__all"))  # one row for each range and shard in it
+    offsets = sizes.select(shard, "__part", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__offset"))
+    upto = W.partitionBy(shard, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0))).join(offsets, [shard, "__part"]).withColumn("__first", F.col("__before") + F.col("__offset"))
+    one = placed.where("__n = 1").select(*columns, F.col("__first").cast("long").alias("slot"))
+    chunks = placed.where("__n > 1").withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long"))))
+    many = chunks.repartition("__first", "__chunk").withColumn("__k", F.explode(F.sequence("__chunk", F.least(F.col("__chunk") + CHUNK, F.col("__n")) - 1)))
+    return one.unionByName(many.select(*columns, (F.col("__first") + F.col("__k")).cast("long").alias("slot")))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,7 +98,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text:
     high, low = key_halves(F.col(key))
     keyed = docs.select(key, (F.octet_length(text_of(text)) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text_of(text).cast("binary")).alias("text_crc32"), high.alias("__high"), low.alias("__low"))
     placed = keyed.withColumn("__to", jump(F.col("__high"), F.col("__low"), shards)).select("*", "__to.shard", "__to.grown_shard")
-    return numbered(placed, "shard", ["__high", "__low", key, "size", "text_crc32"], "__high").select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
+    rows = placed.select(key, "size", "text_crc32", "__high", "__low", "shard", "grown_shard")
+    return numbered(rows, "shard", ["__high", "__low", key, "size", "text_crc32"]).select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,11 +48,24 @@ def test_sharding_matches_the_published_loop(spark, edge, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
-def test_slots_do_not_depend_on_blocks(spark, monkeypatch):
+def test_slots_do_not_depend_on_ranges(spark, monkeypatch):
     ids = spark.range(0, 2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     one = {(r.doc_id, r.slot) for r in sharding.shard_rows(ids).collect()}
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", 4)
-    assert one == {(r.doc_id, r.slot) for r in sharding.shard_rows(ids).collect()}
+    assert one == {(r.doc_id, r.slot) for r in sharding.shard_rows(ids.repartition(13)).collect()}
+    by_shard: dict = {}
+    for r in sharding.shard_rows(ids).collect():
+        by_shard.setdefault(r.shard, []).append((int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:16], 16), r.slot))
+    assert all([slot for _, slot in sorted(own)] == list(range(len(own))) for own in by_shard.values())
+
+
+def test_slots_of_a_hot_key(spark, monkeypatch):
+    """A third of all rows have no id; many of these are equal."""
+    monkeypatch.setattr(sharding, "CHUNK", 16)
+    docs = spark.range(0, 3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    rows = sharding.shard_rows(docs).collect()
+    assert len(rows) == 3000 and len({(r.shard, r.slot) for r in rows}) == 3000
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
 @pytest.mark.parametrize("lead", [0, 4, 20])
