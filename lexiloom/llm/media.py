@@ -5,12 +5,15 @@ parses the RIFF index, decodes each intra frame losslessly and cuts the frames i
 difference stands out from those around it.
 
 Defined results: a null or empty text is one frame of 255; equal texts give equal files; repeated rows are stored one by
-one; a null media value gives no clips; an empty table gives an empty result; extra columns are left aside.
+one; a null media value gives no clips; a file that cannot be read (no AVI, broken frames, another coding) gives one row
+without a clip that tells the reason, and no other file is the worse for it; frames of several sizes are compared by the
+shares of their histograms; an empty table gives an empty result; extra columns are left aside.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,15 +37,25 @@ def encode_texts(texts: list[bytes]) -> list[bytes]:
     return files
 
 
-def decode_files(files: list[bytes]) -> list[tuple[np.ndarray, float]]:
-    """Samples and frame rate of each file; the frames of all are decoded together."""
+def decode_files(files: list[bytes]) -> list[tuple[list[np.ndarray], float]]:
+    """Frames and frame rate of each file; the frames of all are decoded together."""
     read = [avi.read_avi(f) for f in files]
     samples = avi.decode_frames([f for frames, _ in read for f in frames])
-    ends = np.cumsum([len(frames) for frames, _ in read])
-    return [(own, rate) for own, (_, rate) in zip(np.split(samples, ends[:-1]), read, strict=True)] if read else []
+    ends = np.cumsum([0, *(len(frames) for frames, _ in read)]).tolist()
+    return [(samples[a:b], rate) for a, b, (_, rate) in zip(ends[:-1], ends[1:], read, strict=True)]
 
 
-def clips_of(samples: np.ndarray, rate: float) -> list[tuple[int, float, float, int, float]]:
+def decode_any(files: list[bytes]) -> list[tuple[list[np.ndarray], float, str | None]]:
+    """Frames, frame rate and the reason why there are none, of each file."""
+    try:
+        return [(*f, None) for f in decode_files(files)]
+    except (ValueError, IndexError, KeyError, struct.error, ZeroDivisionError) as error:  # what broken files make of their own lengths and numbers
+        if len(files) == 1:
+            return [([], 0.0, f"{type(error).__name__}: {error}")]
+        return [found for f in files for found in decode_any([f])]
+
+
+def clips_of(samples: list[np.ndarray], rate: float) -> list[tuple[int, float, float, int, float]]:
     """(clip, start_s, end_s, frames, mean difference) of a file's shots."""
     return [(k, a / rate, b / rate, b - a, d) for k, (a, b, d) in enumerate(avi.shots(samples))] if len(samples) else []
 
@@ -58,18 +71,23 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
 
+CLIP = "doc_id long, clip int, start_s double, end_s double, frames int, difference double, reason string"
+
+
 def clips(media: DataFrame) -> DataFrame:
-    """A row for each clip of media (doc_id, media): clip, start_s, end_s, frames, difference."""
+    """CLIP: a row for each clip of media (doc_id, media), or one with the reason why a file has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 1 << 20):
             have = [(i, m) for i, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None]
-            rows = [(i, *clip) for (i, _), (samples, rate) in zip(have, decode_files([m for _, m in have]), strict=True) for clip in clips_of(samples, rate)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "clip", "start_s", "end_s", "frames", "difference"])
+            rows = []
+            for (i, _), (samples, rate, reason) in zip(have, decode_any([m for _, m in have]), strict=True):
+                rows += [(i, *clip, None) for clip in clips_of(samples, rate)] or [(i, None, None, None, None, None, reason or "no frames")]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in CLIP.split(", ")])
 
-    return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, frames int, difference double")
+    return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, CLIP)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -84,8 +102,8 @@ def digests(docs: DataFrame) -> DataFrame:
             files = encode_texts(texts)
             rows = []
             for doc_id, text, file, (samples, rate) in zip(batch.column("doc_id").to_pylist(), texts, files, decode_files(files), strict=True):
-                payload = samples.tobytes()
-                feature = f"{samples.shape[2]}x{samples.shape[1]}@{rate:g};" + ";".join(f"{a:.2f}-{b:.2f}:{d:.4f}" for _, a, b, _, d in clips_of(samples, rate))
+                payload = b"".join(frame.tobytes() for frame in samples)
+                feature = f"{samples[0].shape[1]}x{samples[0].shape[0]}@{rate:g};" + ";".join(f"{a:.2f}-{b:.2f}:{d:.4f}" for _, a, b, _, d in clips_of(samples, rate))
                 rows.append((doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -345,7 +345,7 @@ def test_avi_parts():
     frames = avi.encode_frames(samples)
     file = avi.write_avi(frames)
     back, rate = avi.read_avi(file)
-    assert back == frames and rate == 25 and (avi.decode_frames(back) == samples).all()
+    assert back == frames and rate == 25 and (np.array(avi.decode_frames(back)) == samples).all()
     without = bytearray(file[: file.rindex(b"idx1")])
     assert avi.read_avi(bytes(without))[0] == frames  # by the movie's chunks
     assert [s[:2] for s in avi.shots(samples)] == [(0, 3), (3, 7)]
@@ -353,6 +353,97 @@ def test_avi_parts():
         avi.read_avi(b"RIFFxxxxWAVE")
 
 
+def baseline(planes, sampling, width, height, restart=0):
+    """A baseline JPEG, coded block by block: planes of whole blocks, quantizers of 2, codes of four and nine bits."""
+    segment = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    out = b"\xff\xd8" + segment(0xDB, b"\0" + bytes([2] * 64))
+    out += segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling)))
+    out += segment(0xC4, b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, b"\x10" + bytes([0] * 8 + [256 - 1] + [0] * 7) + bytes(range(255)))
+    out += segment(0xDD, restart.to_bytes(2, "big")) + segment(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + b"\0\x3f\0")
+    across, down = planes[0].shape[1] // 8 // sampling[0][0], planes[0].shape[0] // 8 // sampling[0][1]
+    cosines = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    order = []
+    for d in range(15):
+        diagonal = [(r, d - r) for r in range(8) if 0 <= d - r < 8]
+        order += diagonal if d % 2 else diagonal[::-1]
+    bits, before = "", [0] * len(planes)
+
+    def number(v):
+        s = int(abs(v)).bit_length()
+        return s, format(v if v > 0 else v + (1 << s) - 1, f"0{s}b") if s else ""
+
+    def flush(bits):
+        padded = bits + "1" * (-len(bits) % 8)
+        return int("1" + padded, 2).to_bytes(len(padded) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\0") if padded else b""
+
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, before = "", [0] * len(planes)
+        for p, (plane, (h, v)) in enumerate(zip(planes, sampling, strict=True)):
+            for k in range(h * v):
+                y, x = (unit // across * v + k // h) * 8, (unit % across * h + k % h) * 8
+                freq = np.round(cosines @ (plane[y : y + 8, x : x + 8] - 128.0) @ cosines.T / 2).astype(int)
+                flat = [int(freq[r, c]) for r, c in order]
+                s, extra = number(flat[0] - before[p])
+                before[p] = flat[0]
+                bits += format(s, "04b") + extra
+                run = 0
+                for value in flat[1:]:
+                    if not value:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + format(0xF0, "09b"), run - 16
+                    s, extra = number(value)
+                    bits, run = bits + format(run << 4 | s, "09b") + extra, 0
+                if run:
+                    bits += format(0, "09b")
+    return out + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("sampling", "restart"), [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_baseline_frames(sampling, restart):
+    draw = np.random.default_rng(3)
+    smooth = lambda rows, columns: np.clip(np.cumsum(draw.integers(-6, 7, (rows, columns)), axis=1) + 128, 0, 255).astype(float)
+    h, v = sampling[0]
+    planes = [smooth(16 * v, 24 * h), *(smooth(16, 24) for _ in sampling[1:])]
+    width, height = 24 * h - 3, 16 * v - 5
+    (found,) = avi.decode_frames([baseline(planes, sampling, width, height, restart)])
+    assert found.shape == (height, width)
+    assert np.abs(found - planes[0][:height, :width]).mean() < 1.2
+
+
+def test_clips_of_files_that_others_write(spark):
+    draw = np.random.default_rng(6)
+    dark, bright = (np.clip(draw.normal(m, 4, (16, 16)), 0, 255) for m in (40, 210))
+    camera = avi.write_avi([baseline([dark], [(1, 1)], 16, 16)] * 12 + [baseline([bright], [(1, 1)], 16, 16)] * 9)
+    small, large = avi.encode_frames(np.full((3, 24, 24), 7, np.uint8)), [baseline([dark], [(1, 1)], 16, 16)] * 2
+    cut_short = bytearray(camera)
+    at = camera.index(b"\xff\xda")
+    cut_short[at + 12 : at + 30] = b"\x55" * 18
+    files = [(1, camera), (2, b"not a film"), (3, avi.write_avi([*small, *large])), (4, None), (5, avi.write_avi([])), (6, camera[:200]), (7, bytes(cut_short)), (8, b""), (9, avi.write_avi(small))]
+    found: dict = {}
+    for r in media.clips(spark.createDataFrame(files, "doc_id long, media binary").coalesce(1)).orderBy("clip").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert [(r.start_s, r.end_s, r.frames) for r in found[1]] == [(0, 12 / 25, 12), (12 / 25, 21 / 25, 9)]
+    assert sum(r.frames for r in found[3]) == 5 and found[9][0].frames == 3
+    assert 4 not in found
+    for i in (2, 5, 6, 8):
+        assert [(r.clip, bool(r.reason)) for r in found[i]] == [(None, True)]
+    assert 7 in found
+
+
+def test_shots_take_little_memory():
+    import tracemalloc
+
+    frames = np.random.default_rng(1).integers(0, 256, (20_000, 24, 24), dtype=np.uint8)
+    tracemalloc.start()
+    avi.shots(frames)
+    assert tracemalloc.get_traced_memory()[1] < 4 * frames.nbytes
+    tracemalloc.stop()
+
+
 PAGE = '<html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="home ad-free"><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use</div><div class=main-column><h1>Title %d &amp; more</h1><p>Text   of\n page %d <b>bold</b><p>next<br>line &eacute; %s<ul><li>one %d<li>two</ul><div class=tail>Thanks for reading</div></div><aside>side</aside><form><p>mail</p></form><div id="comments"><p>first!</p></div><footer>&copy;</footer></body></html>'
 
 
