@@ -36,14 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexiloom"
 
 
+#: Folders that this process has written, in order.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables have been cut so far, for discard."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, start: int, end: int) -> None:
+    """Deletes the tables that were cut as number start to end; nothing that is still to be read may depend on them."""
+    for path in _WRITTEN[start:end]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(column: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

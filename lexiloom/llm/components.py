@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, tables_written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = cut(small.unionByName(down.select("v", F.col("m").alias("u"))).where("v != u").distinct())
+        discard(now.sparkSession, tables_written() - 2, tables_written() - 1)  # the pass before
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
@@ -36,6 +37,7 @@ def roots(pointers: DataFrame) -> DataFrame:
     while True:
         further = now.select(F.col("node").alias("component"), F.col("component").alias("__next"))
         jumped = cut(now.join(further, "component", "left").select("node", F.coalesce("__next", "component").alias("component"), F.col("__next").isNotNull().alias("moved")))
+        discard(now.sparkSession, tables_written() - 2, tables_written() - 1)
         now = jumped.select("node", "component")
         if not jumped.where("moved").limit(1).count():
             return now

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sieve, cut, slices, table
+from .common import Sieve, cut, discard, slices, table, tables_written
 from .components import components, roots
 
 SIMILAR = 0.8
@@ -303,6 +303,7 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     classes = cut(
         usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     )
+    begun = tables_written()
     placed = classes.select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(placed.join(shared, "key").select("key", "rep", "leader", "m"))
@@ -319,7 +320,8 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     ends = cross_links(members, component, classes, texts, words).join(component.toDF("a", "of_a"), "a", "left").join(component.toDF("b", "of_b"), "b", "left")
     merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
     moved = component.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
-    component = moved.unionByName(merged.join(moved, "node", "left_anti"))
+    component = cut(moved.unionByName(merged.join(moved, "node", "left_anti")))
+    discard(docs.sparkSession, begun, tables_written() - 1)  # all but signatures, classes and components
 
     several = classes.where("copies > 1").select("set_hash", "rep")
     rows = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
