@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -93,13 +92,15 @@ def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
     return leader_weights(z, n)
 
 
-def train_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+def train_fold(rows: pa.Table) -> pa.Table:
     """Of labelled texts (turn, doc_id, text, label, own): the weights of those that are not the fold's own, and the margins and labels of those that are."""
-    pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
-    rows, labels, own = vectors(pdf["text"]), pdf["label"].to_numpy(float), pdf["own"].to_numpy(bool)
-    weights = leader([r for r, o in zip(rows, own, strict=True) if not o], labels[~own])
-    margins = np.array([weights[i] @ v for (i, v), o in zip(rows, own, strict=True) if o])
-    return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "margins": [margins.tolist()], "labels": [labels[own].tolist()]})
+    rows = rows.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+    held = vectors(text.as_py() for chunk in rows.column("text").chunks for text in chunk)
+    labels, own = rows.column("label").to_numpy().astype(float), rows.column("own").to_numpy()
+    weights = leader([r for r, o in zip(held, own, strict=True) if not o], labels[~own])
+    margins = [float(weights[i] @ v) for (i, v), o in zip(held, own, strict=True) if o]
+    kinds = {"weights": pa.binary(), "margins": pa.list_(pa.float64()), "labels": pa.list_(pa.float64())}
+    return pa.table({c: pa.array([v], kinds[c]) for c, v in (("weights", weights.astype(np.float32).tobytes()), ("margins", margins), ("labels", labels[own].tolist()))})
 
 
 def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit("chosen"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("turn", turn)
     every = rows.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).withColumn("own", F.pmod("turn", F.lit(FOLDS)) == F.col("fold"))
-    found = every.groupBy("fold").applyInPandas(train_fold, "weights binary, margins array<double>, labels array<double>").collect()
+    found = every.groupBy("fold").applyInArrow(train_fold, "weights binary, margins array<double>, labels array<double>").collect()
     if not found:
         return np.zeros(DIMENSIONS + 1, np.float32)
     weights = sum(np.frombuffer(r["weights"], np.float32) for r in found) / np.float32(len(found))
