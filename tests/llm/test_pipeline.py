@@ -36,8 +36,20 @@ def test_stages(spark, data):
 
 
 def test_empty_and_odd_rows(spark, data, edge, empty):
+    """Null and shared ids: rows are told apart, equal ones are copies, and what differs stays."""
+    quality, exact, near, mix, pack = (f for _, f in cp.STAGES)
+    assert exact(spark, edge, data).where("doc_id = 8").count() == 1
+    odd = spark.createDataFrame([(1, "a b c d e f g"), (1, "one two three four five six"), (None, "null one here is long enough"), (None, "null two is another text here"), (3, "a b c d e f g"), (None, None), (9, "")], "doc_id long, text string")
+    odd = odd.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(1 as long) n_chars")
+    few = cut(exact(spark, odd, data))
+    assert sorted((r.doc_id or 0, r.text or "") for r in few.collect()) == [(0, "null one here is long enough"), (0, "null two is another text here"), (1, "one two three four five six"), (3, "a b c d e f g"), (9, "")]
+    assert sorted(r.text for r in near(spark, few, data).collect()) == sorted(r.text for r in few.collect())
     for docs in (edge, empty):
-        for _, stage in cp.STAGES:
-            docs = cut(stage(spark, docs, data))
-        if "sequence_id" in docs.columns:
-            docs.count()
+        n = docs.count()
+        for _, stage in cp.STAGES[:-1]:
+            made = cut(stage(spark, docs, data))
+            assert made.columns == docs.columns and made.count() <= 3 * docs.count()
+            docs = made
+        packed = cut(pack(spark, docs, data))
+        assert packed.where("piece = 0").count() == docs.count()
+        assert n or not packed.count()
