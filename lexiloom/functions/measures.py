@@ -74,6 +74,11 @@ def term_coherence(freq: Column, length: Column, words_freq: Column) -> Column:
     return F.when(freq == 0, F.lit(0.0)).otherwise(F.log10(freq) * dice(freq, length, words_freq))
 
 
+def coherence_over_log(freq: Column, coherence: Column) -> Column:
+    """Dice as term coherence over the logarithm of the frequency: null where a term occurs once."""
+    return F.when(freq != 1, F.try_divide(coherence, F.log10(freq)))
+
+
 def tf_idf(freq: Column, docs_with: Column, docs: Column) -> Column:
     """Without a logarithm: frequency times documents over documents with the term plus one."""
     return freq * docs / (docs_with + 1)

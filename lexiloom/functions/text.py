@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +108,36 @@ def in_context(text: Column, start: Column, end: Column, width: int = 20) -> Col
 def meets_span(start: Column, end: Column, from_: Column, to: Column) -> Column:
     """Whether an annotation starts within [from, to) or ends within (from, to]; one that encloses the span does not meet it."""
     return ((start >= from_) & (start < to)) | ((end > from_) & (end <= to))
+
+
+#: Running sums are taken in blocks of so many numbers, so that no long array is copied for each of its elements.
+TOGETHER = 256
+
+
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """For each element of an array of numbers, which is not empty, the sum of those before it."""
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(s: Column, n: Column) -> Column:
+        return state(s["at"] + n, F.array_append(s["out"], s["at"]))
+
+    def block(s: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(numbers, k * TOGETHER + 1, TOGETHER), state(s["at"], none("int")), one)
+        return named(own, lambda o: state(o["at"], F.array_append(s["out"], o["out"])))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / TOGETHER).cast("int"))
+    return F.flatten(F.aggregate(blocks, state(F.lit(0), none("array<int>")), block, lambda s: s["out"]))
+
+
+def placed_tokens(text: Column) -> Column:
+    """array<struct<start, word>> of a text's tokens and what lies between them, in code points from 0."""
+    pieces = F.regexp_extract_all(text, F.lit(TOKEN + r"|[^\p{L}\p{N},]+"), F.lit(0))
+    none = F.expr("cast(array() as array<struct<start:int,word:string>>)")
+    placed = named(pieces, lambda p: F.when(F.size(p) > 0, F.arrays_zip(running_sums(F.transform(p, F.char_length)).alias("start"), p.alias("word"))).otherwise(none))
+    return placed

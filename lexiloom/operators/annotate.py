@@ -7,10 +7,9 @@ from another annotator, does as well.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import SENTENCE_END, TOKEN, rule_lemma, rule_tag
+from lexiloom.functions.text import SENTENCE_END, TOKEN, placed_tokens, rule_lemma, rule_tag
 
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,16 +29,15 @@ def tokens(annotated: DataFrame) -> DataFrame:
     return one.select("doc_id", "sent_id", "tok_idx", "t.word", "t.tag", "t.lemma")
 
 
-def token_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tok, start, end, word): tokens with their place in the text, in code points.
+def token_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *kept: str) -> DataFrame:
+    """(doc_id, tok, start, end, word, kept columns): tokens with their place in the text, in code points.
 
-    The text is cut into tokens and what lies between, and places are running sums of lengths.
+    The text is cut into tokens and what lies between, and places are running sums of lengths within the row.
     """
-    cut = F.regexp_extract_all(F.col(text), F.lit(TOKEN + r"|[^\p{L}\p{N},]+"), F.lit(0))
-    pieces = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(cut).alias("tok", "word"))
-    upto = W.partitionBy("doc_id").orderBy("tok").rowsBetween(W.unboundedPreceding, 0)
-    placed = pieces.withColumn("end", F.sum(F.char_length("word")).over(upto).cast("long"))
-    return placed.where(F.col("word").rlike(r"^[\p{L}\p{N},]")).select("doc_id", "tok", (F.col("end") - F.char_length("word")).alias("start"), "end", "word")
+    one = docs.select(F.col(doc_id).alias("doc_id"), *kept, F.posexplode(placed_tokens(F.col(text))).alias("tok", "t"))
+    words = one.where(F.col("t.word").rlike(r"^[\p{L}\p{N},]"))
+    start = F.col("t.start").cast("long")
+    return words.select("doc_id", "tok", start.alias("start"), (start + F.char_length("t.word")).alias("end"), "t.word", *kept)
 
 
 def normalized(annotated: DataFrame, column: str = "lemmas") -> DataFrame:
@@ -78,3 +76,10 @@ def corpus_stats(annotated: DataFrame, concepts: DataFrame) -> DataFrame:
     kinds: dict[str, Column] = {"concepts": F.lit(True), "disc": F.col("is_disc"), "unigrams": F.size("term") == 1}
     counts = [f(k, c) for k, c in kinds.items() for f in (lambda k, c: F.count_if(c).alias(k), lambda k, c: F.count_distinct(F.when(c, F.col("term"))).alias(f"{k}_types"))]
     return base.crossJoin(concepts.agg(*counts))
+
+
+def count_concepts(concepts: DataFrame, discontinuous: bool = True, doc_frequency: bool = False) -> DataFrame:
+    """(term, freq) of concepts (doc_id, term, is_disc): occurrences, or documents, with discontinuous ones or without."""
+    some = concepts if discontinuous else concepts.where(~F.col("is_disc"))
+    rows = some.select("doc_id", "term").distinct() if doc_frequency else some
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.measures import bridge_strength, pair_pmi
+from lexiloom.functions.text import ngrams_of, subsequences_of
 
 #: The three filters on tag sequences, for contiguous candidates and for coordinated ones.
 FILTERS = {"unsilo": "([na]|(ns)|(vn))+n", "simple": "[an]+n", "liberal": "[navrds]*n"}
@@ -51,6 +52,18 @@ def contiguous_counts(annotated: DataFrame, tag_filter: str, min_n: int = 1, max
     return per_doc.groupBy("term").agg(F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("docs")).select("term", F.size("term").alias("n"), "freq", "docs")
 
 
+def documents(candidates: DataFrame) -> int:
+    """How many documents hold a candidate."""
+    return candidates.agg(F.count_distinct("doc_id")).first()[0]
+
+
+def skips_that_are_concepts(concepts: DataFrame) -> DataFrame:
+    """(term): choices of a concept's words with a gap, and so no run of it, that are concepts themselves."""
+    parts = F.flatten(F.array(*[subsequences_of(F.col("term"), n) for n in range(2, 5)]))
+    chosen = concepts.where(F.size("term").between(3, 5)).select(F.explode(F.array_except(parts, ngrams_of(F.col("term"), 1, 5))).alias("term"))
+    return chosen.distinct().join(concepts.select("term").distinct(), "term", "left_semi")
+
+
 def bridges(pairs: DataFrame, model: DataFrame, total: DataFrame, least_strength: float = 1, least_freq: int = 1, factor: float = 1) -> DataFrame:
     """(a, b, freq, strength) of the lemma pairs (a, b) that the model knows as bigrams and that are strong enough.
 
@@ -148,6 +161,11 @@ def pairs_within(lemmas: Column) -> Column:
     )
 
 
+def neighbours(lemmas: Column) -> Column:
+    """array<struct<i, j>> of all neighbours."""
+    return F.transform(F.sequence(F.lit(0), F.size(lemmas) - 2), lambda i: F.struct(i.cast("int").alias("i"), (i + 1).cast("int").alias("j")))
+
+
 GROUP = re.compile("(.)((?:,[^,]+)*),?c(.)")
 
 

@@ -32,6 +32,20 @@ def ranks_of(values: DataFrame, columns: list[str]) -> DataFrame:
     return within.join(F.broadcast(first), ["measure", "part"]).select("term", "measure", (F.col("at") + F.col("before")).cast("int").alias("rank"))
 
 
+def sums_before(rows: DataFrame, order: list[Column], columns: dict[str, Column]) -> DataFrame:
+    """rows with, under each name of columns, the sum of that column over all rows before in the order, which must be total.
+
+    Rows are dealt by range; offsets are running sums over the ranges' totals, of which there are few.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    whole = parts.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in columns.items()])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = whole.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in columns])
+    within = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = parts.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in columns.items()}).join(F.broadcast(offsets), "__part")
+    return summed.select(*rows.columns, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in columns])
+
+
 def ranked(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """values (term, ...) with a rank from 1 by falling value, ties by term; nulls come last."""
     return values.join(ranks_of(values, [value]).select("term", F.col("rank").alias(name)), "term")
@@ -93,3 +107,14 @@ def matched(terms: DataFrame, verifier: DataFrame) -> DataFrame:
 def accept(final: DataFrame, verified: DataFrame) -> DataFrame:
     """(term): what the filters leave and what a term list verifies."""
     return final.select("term").union(verified.select("term")).distinct()
+
+
+def with_bridge_strength(disc: DataFrame, votes: DataFrame, known: DataFrame) -> DataFrame:
+    """Discontinuous candidates (..., positions, term) with the vote of their type (0 if it has none) and the strength of the bridge over their first gap.
+
+    known: (a, b, freq, strength), as candidates.bridges gives them; null where the bridge is none of them.
+    """
+    at = F.array_position(F.transform(F.sequence(F.lit(0), F.size("positions") - 2), lambda i: F.get("positions", i + 1) - F.get("positions", i) > 1), True).cast("int")
+    ends = disc.withColumns({"a": F.get("term", at - 1), "b": F.get("term", at)})
+    scored = ends.join(votes.select("term", "vote"), "term", "left").join(known.select("a", "b", "strength"), ["a", "b"], "left")
+    return scored.select(*disc.columns, F.coalesce("vote", F.lit(0.0)).alias("vote"), "strength")

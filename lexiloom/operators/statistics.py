@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ranking import sums_before
+
 QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -51,8 +52,7 @@ def mann_whitney_u(df: DataFrame, value: str, flag: str) -> DataFrame:
     Equal values are added up first; the running sum runs over distinct values.
     """
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(flag)).alias("a"), F.count_if(~F.col(flag)).alias("b"))
-    below = F.coalesce(F.sum("b").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return v.withColumn("below", below).agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    return sums_before(v, [F.col("v")], {"below": F.col("b")}).agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
 
 
 def common_language_effect(u: DataFrame) -> DataFrame:
@@ -96,3 +96,20 @@ def tukey_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
 def long_form(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     """(ids, measure, value): a row for each value column."""
     return df.unpivot([F.col(c) for c in ids], [F.col(c) for c in values], "measure", "value")
+
+
+def values_where(df: DataFrame, value: str, flag: str, allowed) -> DataFrame:
+    """(value): one column's values in the rows whose flag has the allowed value."""
+    return df.where(F.col(flag) == F.lit(allowed)).select(value)
+
+
+def effect_from_t(t: Column, n1: Column, n2: Column) -> Column:
+    """The common-language effect of a t statistic and two group sizes: the normal chance of d over the root of two.
+
+    The normal distribution function is Abramowitz and Stegun's 7.1.26, good to 1.5e-7.
+    """
+    z = t * F.sqrt(1 / n1 + 1 / n2) / F.sqrt(F.lit(2.0))
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    k = 1 / (1 + 0.3275911 * x)
+    error = 1 - k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-x * x)
+    return (1 + F.signum(z) * error) / 2

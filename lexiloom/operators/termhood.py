@@ -94,10 +94,10 @@ def unithood(model: DataFrame, total: DataFrame, min_freq: int = 1, factor: floa
     )
 
 
-def metrics(types: DataFrame, model: DataFrame, total: DataFrame, other: DataFrame, other_total: DataFrame, docs: int | None = None, threshold: float = 2) -> DataFrame:
+def metrics(types: DataFrame, model: DataFrame, total: DataFrame, other: DataFrame, other_total: DataFrame, docs: int, threshold: float = 2) -> DataFrame:
     """One wide row for each type (term, n, freq, docs): all six measures that rankers use.
 
-    docs: documents in the corpus; by default those with a candidate, for which types must hold doc_ids (see rankings).
+    docs: documents with a candidate (see candidates.documents).
     """
     nested = nested_frequencies(types, threshold).select("term", "rect_freq", "c_value")
     sums = word_sums(types, model, total, other, other_total)

@@ -80,12 +80,12 @@ def _sums(terms: str, with_reference: bool) -> str:
 
 
 RMODEL = f"{REFERENCE}, {_model(1, 1, 'rmodel', 'rruns', 'rtok_w')}"
-METRICS = f"""{TARGET}, {RMODEL}, {_model(5)}, {CANDIDATES}, own AS (SELECT * FROM types WHERE freq >= {MIN_FREQ}), {_levels('own')}, {_sums('own', True)},
+METRICS = f"""{TARGET}, {RMODEL}, {_model(5)}, {CANDIDATES}, {_levels()}, {_sums('types', True)},
 metrics AS (SELECT o.term, o.n::INTEGER AS n, o.freq, o.docs, round(v.c_value, 6) AS c_value, v.rect_freq,
   round(o.freq * (SELECT count(DISTINCT doc_id) FROM found) / (o.docs + 1)::DOUBLE, 6) AS tf_idf, round(s.glossex, 6) AS glossex,
   round((ln((coalesce(m.freq, 0) + 1.0) / ({N} + 1)) - s.word_logs) / (o.n - 1), 6) AS pmi_nl,
   round(CASE WHEN coalesce(m.freq, 0) = 0 THEN 0.0 ELSE log10(m.freq) * o.n * m.freq / s.words_freq END, 6) AS term_coherence
-  FROM own o JOIN nested v USING (term) JOIN sums s USING (term) LEFT JOIN model m ON m.term = o.term)"""
+  FROM types o JOIN nested v USING (term) JOIN sums s USING (term) LEFT JOIN model m ON m.term = o.term)"""
 VOTED = f"""{METRICS}, ranks AS (SELECT *, {", ".join(f"row_number() OVER (ORDER BY {r} DESC NULLS LAST, term)::INTEGER AS rank_{r}" for r in RANKERS)} FROM metrics),
 voted AS (SELECT *, round({" + ".join(f"1.0::DOUBLE / rank_{r}" for r in RANKERS)}, 9) AS vote FROM ranks)"""
 _PREDICATES = [f"c_value >= {THRESHOLD}", f"rect_freq >= {MIN_FREQ}", f"glossex >= {LEAST_GLOSSEX}", f"NOT list_has_any(string_split(term, ' '), [{', '.join(repr(w) for w in BLACKLIST)}])"]
@@ -192,6 +192,11 @@ SELECT a, b, freq, round(strength, 6) AS strength FROM s WHERE strength > 1 AND
 l AS (SELECT DISTINCT term FROM bruns WHERE n = 2)
 SELECT term, freq, CASE WHEN term IN (SELECT term FROM c) AND term IN (SELECT term FROM l) THEN 'both' WHEN term IN (SELECT term FROM c) THEN 'only_candidates' WHEN term IN (SELECT term FROM l) THEN 'only_list' ELSE 'neither' END AS kind FROM model WHERE n = 2""",
     "curate_docs": f"WITH {TARGET}, {LIST}, {_runs('runs', 'tok_w', 2, 5)} SELECT doc_id, count(DISTINCT term) AS terms FROM runs WHERE term IN (SELECT term FROM lst) GROUP BY doc_id HAVING count(DISTINCT term) > 2",
+    "concept_counts": f"WITH {TARGET}, {_found()} SELECT term, count(DISTINCT doc_id) AS freq FROM found GROUP BY term",
+    "concept_skips": f"""WITH {TARGET}, {CANDIDATES}, w AS (SELECT string_split(term, ' ') AS l FROM types WHERE n BETWEEN 3 AND 5), m AS (SELECT l, list_filter(range(1, 6), lambda i: i <= len(l)) AS r, unnest(range(1, 32)) AS mask FROM w),
+p AS (SELECT l, list_filter(r, lambda i: (mask >> (i - 1)) & 1 = 1) AS ix FROM m WHERE mask < (1 << len(l))), t AS (SELECT l, array_to_string(list_transform(ix, lambda i: l[i]), ' ') AS term FROM p WHERE len(ix) BETWEEN 2 AND 4)
+SELECT DISTINCT term FROM t WHERE term IN (SELECT term FROM types) AND NOT contains(' ' || array_to_string(l, ' ') || ' ', ' ' || term || ' ')""",
+    "dice_over_log": f"WITH {UNITHOOD} SELECT term, CASE WHEN freq > 1 THEN round(2.0 * freq / (freq_a + freq_b), 6) END AS dice FROM uni",
     "docs_by_candidates": f"WITH {TARGET}, {_found()} SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id",
     "welch_t": f"WITH {_LABELLED}, m AS (SELECT flag, count(*) AS n, avg(v) AS mu, var_samp(v) AS s FROM lab GROUP BY flag), j AS (SELECT a.n AS n1, a.mu AS m1, a.s / a.n AS e1, b.n AS n2, b.mu AS m2, b.s / b.n AS e2 FROM m a, m b WHERE a.flag AND NOT b.flag) SELECT round((m1 - m2) / sqrt(e1 + e2), 6) AS t, round((e1 + e2) ** 2 / (e1 ** 2 / (n1 - 1) + e2 ** 2 / (n2 - 1)), 6) AS df FROM j",
     "mwu_u": f"WITH {_LABELLED}, r AS (SELECT flag, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM lab) SELECT round(sum(r) FILTER (flag) - count(*) FILTER (flag) * (count(*) FILTER (flag) + 1) / 2, 6) AS u, count(*) FILTER (flag) AS n1, count(*) FILTER (NOT flag) AS n2 FROM r",

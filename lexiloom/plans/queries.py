@@ -44,13 +44,18 @@ def reference(spark: SparkSession, d: str) -> DataFrame:
     return annotate.sentences(table(spark, d, "conversations"), "conv_id")
 
 
-def model(spark: SparkSession, d: str, max_n: int = 5) -> DataFrame:
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """The target's sentences, written once where a query reads them more than once."""
+    return written(target(spark, d))
+
+
+def model(spark: SparkSession, d: str, max_n: int = 5, sents: DataFrame | None = None) -> DataFrame:
     """The target's n-gram model, written once since measures join it many times."""
-    return written(ngrams.ngram_counts(target(spark, d), max_n, MIN_FREQ))
+    return written(ngrams.ngram_counts(target(spark, d) if sents is None else sents, max_n, MIN_FREQ))
 
 
-def types(spark: SparkSession, d: str, min_n: int = 2) -> DataFrame:
-    return written(candidates.contiguous_counts(target(spark, d), FILTER, min_n))
+def types(spark: SparkSession, d: str, min_n: int = 2, sents: DataFrame | None = None) -> DataFrame:
+    return written(candidates.contiguous_counts(target(spark, d) if sents is None else sents, FILTER, min_n))
 
 
 def term_list(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +63,9 @@ def term_list(spark: SparkSession, d: str) -> DataFrame:
     return bench.select(F.explode(ngrams_of(F.col("lemmas"), 2, 5)).alias("term")).distinct()
 
 
-def gold_candidates(spark: SparkSession, d: str) -> DataFrame:
+def gold_candidates(spark: SparkSession, d: str, sents: DataFrame | None = None) -> DataFrame:
     good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    return candidates.contiguous(annotate.sentences(english(spark, d).join(good, "doc_id", "left_semi")), FILTER, 2)
+    return candidates.contiguous((target(spark, d) if sents is None else sents).join(good, "doc_id", "left_semi"), FILTER, 2)
 
 
 def sentences(spark, d):
@@ -104,11 +109,11 @@ def _unithood(*columns: str):
     return query
 
 
-def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    own = types(spark, d).where(F.col("freq") >= MIN_FREQ)
-    ref = ngrams.ngram_counts(reference(spark, d), 1)
-    m = model(spark, d)
-    docs = candidates.contiguous(target(spark, d), FILTER, 2).select(F.count_distinct("doc_id")).first()[0]
+def _metrics(spark: SparkSession, d: str, sents: DataFrame | None = None) -> DataFrame:
+    sents = annotated(spark, d) if sents is None else sents
+    own, m = types(spark, d, sents=sents), model(spark, d, sents=sents)
+    ref = written(ngrams.ngram_counts(reference(spark, d), 1))
+    docs = candidates.documents(candidates.contiguous(sents, FILTER, 2))
     found = termhood.metrics(own, m, ngrams.unigram_total(m), ref, ngrams.unigram_total(ref), docs, THRESHOLD)
     return written(found.select("term", "n", "freq", "docs", *[(F.round(c, 6) if c != "rect_freq" else F.col(c)).alias(c) for c in RANKERS]))
 
@@ -219,18 +224,21 @@ def matcher(spark, d):
 
 
 def accept(spark, d):
-    final = _metrics(spark, d).where(ranking.combined(ranking.production_filter(THRESHOLD, MIN_FREQ)))
-    verified = types(spark, d).select("term").join(term_list(spark, d), "term", "left_semi")
-    found = candidates.accepted(candidates.contiguous(target(spark, d), FILTER, 2), ranking.accept(final, verified))
+    sents = annotated(spark, d)
+    scored = _metrics(spark, d, sents)
+    final = scored.where(ranking.combined(ranking.production_filter(THRESHOLD, MIN_FREQ)))
+    verified = scored.select("term").join(term_list(spark, d), "term", "left_semi")
+    found = candidates.accepted(candidates.contiguous(sents, FILTER, 2), ranking.accept(final, verified))
     return joined(candidates.type_counts(found))
 
 
-def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    return termhood.nested_frequencies(types(spark, d), THRESHOLD, min_n=2).where(F.col("c_value") >= THRESHOLD).where(F.col("freq") >= MIN_FREQ)
+def _predicted(spark: SparkSession, d: str, sents: DataFrame | None = None) -> DataFrame:
+    return termhood.nested_frequencies(types(spark, d, sents=sents), THRESHOLD, min_n=2).where(F.col("c_value") >= THRESHOLD).where(F.col("freq") >= MIN_FREQ)
 
 
 def eval_types(spark, d):
-    return joined(evaluation.report(_predicted(spark, d), gold_candidates(spark, d), ["term"]))
+    sents = annotated(spark, d)
+    return joined(evaluation.report(_predicted(spark, d, sents), gold_candidates(spark, d, sents), ["term"]))
 
 
 def _spans(found: DataFrame) -> DataFrame:
@@ -239,46 +247,56 @@ def _spans(found: DataFrame) -> DataFrame:
 
 def eval_corpus(spark, d):
     labelled = table(spark, d, "labels").where("quality is not null").select("doc_id").distinct()
-    found = candidates.contiguous(target(spark, d), FILTER, 2).join(labelled, "doc_id", "left_semi")
-    predicted = candidates.accepted(found, _predicted(spark, d))
-    return joined(evaluation.corpus_report(_spans(predicted), _spans(gold_candidates(spark, d)), ["sent_id", "start", "n"]))
+    sents = annotated(spark, d)
+    found = candidates.contiguous(sents.join(labelled, "doc_id", "left_semi"), FILTER, 2)
+    predicted = candidates.accepted(found, _predicted(spark, d, sents))
+    return joined(evaluation.corpus_report(_spans(predicted), _spans(gold_candidates(spark, d, sents)), ["sent_id", "start", "n"]))
 
 
 def precision_at_k(spark, d):
-    return joined(evaluation.precision_at(ranking.ranked(_metrics(spark, d), "c_value"), gold_candidates(spark, d), [10, 100, 1000]))
+    sents = annotated(spark, d)
+    return joined(evaluation.precision_at(ranking.ranked(_metrics(spark, d, sents), "c_value"), gold_candidates(spark, d, sents), [10, 100, 1000]))
 
 
 def error_analysis(spark, d):
-    gold = written(gold_candidates(spark, d))
-    found = evaluation.error_analysis(_predicted(spark, d).select("term"), gold, ["term"], gold.select("term"), term_list(spark, d), candidates.type_counts(gold), 4, MIN_FREQ)
+    sents = annotated(spark, d)
+    gold = written(gold_candidates(spark, d, sents))
+    found = evaluation.error_analysis(_predicted(spark, d, sents).select("term"), gold, ["term"], gold.select("term"), term_list(spark, d), candidates.type_counts(gold), 4, MIN_FREQ)
     return joined(found)
 
 
-def _bridges(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
-    m = model(spark, d, 2)
+def _bridges(spark: SparkSession, d: str, pairs: DataFrame, sents: DataFrame) -> DataFrame:
+    m = model(spark, d, 2, sents)
     return candidates.bridges(pairs, m, ngrams.unigram_total(m))
 
 
 def bridges(spark, d):
-    found = candidates.contiguous(target(spark, d), FILTER, 3).select(F.col("term").alias("lemmas"))
-    return joined(_bridges(spark, d, candidates.pair_lemmas(found, candidates.pairs_within(F.col("lemmas")))))
+    sents = annotated(spark, d)
+    found = candidates.contiguous(sents, FILTER, 3).select(F.col("term").alias("lemmas"))
+    return joined(_bridges(spark, d, candidates.pair_lemmas(found, candidates.pairs_within(F.col("lemmas"))), sents))
+
 
+def _disc(found: DataFrame, *more) -> DataFrame:
+    return found.select("doc_id", "sent_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.array_join("term", " ").alias("term"), "tags", *more)
 
-def _disc(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "sent_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.array_join("term", " ").alias("term"), "tags")
+
+def _coordinated(spark: SparkSession, d: str, sents: DataFrame) -> DataFrame:
+    found = written(candidates.coordinations(sents, FILTER))
+    known = written(_bridges(spark, d, candidates.pair_lemmas(found, F.col("pairs")), sents))
+    return candidates.coordinated(found, known, FILTER)
 
 
 def coord_dcs(spark, d):
-    found = written(candidates.coordinations(target(spark, d), FILTER))
-    known = written(_bridges(spark, d, candidates.pair_lemmas(found, F.col("pairs"))))
-    return _disc(candidates.coordinated(found, known, FILTER))
+    return _disc(_coordinated(spark, d, annotated(spark, d)))
 
 
 def hypernym_dcs(spark, d):
-    annotated = target(spark, d)
-    found = candidates.contiguous(annotated, FILTER, 3)
-    known = written(_bridges(spark, d, candidates.pair_lemmas(found.select(F.col("term").alias("lemmas")), candidates.pairs_within(F.col("lemmas")))))
-    return _disc(candidates.hypernyms(found, annotated, known, FILTER))
+    """Within contiguous and coordinated candidates."""
+    sents = annotated(spark, d)
+    coordinated = written(_coordinated(spark, d, sents))
+    found = written(candidates.contiguous(sents, FILTER, 3).unionByName(coordinated.where(F.size("term") >= 3)))
+    known = written(_bridges(spark, d, candidates.pair_lemmas(found.select(F.col("term").alias("lemmas")), candidates.pairs_within(F.col("lemmas"))), sents))
+    return _disc(candidates.hypernyms(found, sents, known, FILTER))
 
 
 def extraction_run(spark, d):
@@ -310,8 +328,8 @@ def annotations_at(spark, d):
 
 
 def kwic(spark, d):
-    docs = english(spark, d)
-    found = annotate.token_spans(docs.where(F.col("text").contains(KEYWORD))).where(F.col("word") == KEYWORD).join(docs, "doc_id")
+    docs = english(spark, d).where(F.col("text").contains(KEYWORD))
+    found = annotate.token_spans(docs, "doc_id", "text", "text").where(F.col("word") == KEYWORD)
     return found.select("doc_id", "start", in_context(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int")).alias("context"))
 
 
@@ -340,6 +358,45 @@ def curate_docs(spark, d):
     return held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms")).where("terms > 2")
 
 
+def _concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Contiguous and coordinated candidates as concepts."""
+    sents = annotated(spark, d)
+    both = candidates.contiguous(sents, FILTER, 2).withColumn("is_disc", F.lit(False)).unionByName(_coordinated(spark, d, sents).withColumn("is_disc", F.lit(True)))
+    return both.select("doc_id", "term", "is_disc")
+
+
+def concept_counts(spark, d):
+    """Contiguous concepts by the documents that hold them."""
+    return joined(annotate.count_concepts(_concepts(spark, d), discontinuous=False, doc_frequency=True))
+
+
+def concept_skips(spark, d):
+    """Choices with a gap from concepts that are concepts themselves."""
+    return joined(candidates.skips_that_are_concepts(types(spark, d)))
+
+
+def dice_over_log(spark, d):
+    m = model(spark, d, 2)
+    found = termhood.unithood(m, ngrams.unigram_total(m))
+    return joined(found.select("term", measures.coherence_over_log(F.col("freq"), F.col("term_coherence")).alias("dice")))
+
+
+def effect_from_t(spark, d):
+    both = _labelled(spark, d)
+    sizes = both.agg(F.count_if("flag").alias("n1"), F.count_if(~F.col("flag")).alias("n2"))
+    return joined(statistics.welch_t(both, "value", "flag").crossJoin(F.broadcast(sizes)).select(statistics.effect_from_t(F.col("t"), F.col("n1"), F.col("n2")).alias("cles")))
+
+
+def dc_ranking(spark, d):
+    """Coordinated candidates with their type's vote and their bridge's strength."""
+    sents = annotated(spark, d)
+    found = written(_coordinated(spark, d, sents))
+    votes = ranking.vote(_metrics(spark, d, sents), RANKERS)
+    ends = candidates.pair_lemmas(found.select(F.col("term").alias("lemmas")), candidates.neighbours(F.col("lemmas")))
+    scored = ranking.with_bridge_strength(found, votes, _bridges(spark, d, ends, sents))
+    return _disc(scored, F.round("vote", 6).alias("vote"), F.round("strength", 6).alias("strength"))
+
+
 def docs_by_candidates(spark, d):
     return candidates.contiguous(target(spark, d), FILTER, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -378,7 +435,7 @@ QUERIES = {
     for f in (
         sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
-        skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
+        skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )
 } | {
     "contingency": _unithood("ab", "a_nb", "na_b", "na_nb"),

@@ -263,3 +263,50 @@ def test_more_small_operators(spark):
     ranks = spark.createDataFrame([(["a"], 1), (["b"], 2)], "term array<string>, rank int")
     running = evaluation.running_precision(ranks, values.select("term"), 2).orderBy("rank").collect()
     assert [r.precision for r in running] == [1.0, 0.5]
+
+
+def test_token_spans_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "cc dd"), (2, ""), (3, None), (4, "é, 😀 x" + " y" * 600)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.start, r.end, r.word) for r in annotate.token_spans(docs).collect())
+    assert found[:4] == [(1, 0, 2, "aa"), (1, 0, 2, "cc"), (1, 3, 5, "bb"), (1, 3, 5, "dd")]
+    assert found[4:7] == [(4, 0, 1, "é"), (4, 1, 2, ","), (4, 5, 6, "x")] and found[-1] == (4, 1205, 1206, "y")
+
+
+def test_sums_before(spark):
+    from lexiloom.operators import ranking
+
+    rows = spark.range(0, 500).select(((F.col("id") * 37) % 500).alias("v"), (F.col("id") % 5).alias("w")).repartition(6)
+    got = {r.v: r.s for r in ranking.sums_before(rows, [F.col("v")], {"s": F.col("w")}).collect()}
+    at = 0
+    for v, w in sorted((r.v, r.w) for r in rows.collect()):
+        assert got[v] == at
+        at += w
+
+
+def test_effect_from_t(spark):
+    import math
+
+    from lexiloom.operators import statistics
+
+    rows = [(t, 40, 70) for t in (-5.0, -0.3, 0.0, 1.7, 86.845)]
+    df = spark.createDataFrame(rows, "t double, a int, b int")
+    got = [r.c for r in df.select("t", statistics.effect_from_t(F.col("t"), F.col("a"), F.col("b")).alias("c")).orderBy("t").collect()]
+    want = [(1 + math.erf(t * math.sqrt(1 / a + 1 / b) / 2)) / 2 for t, a, b in rows]
+    assert all(abs(x - y) < 1e-6 for x, y in zip(got, want, strict=True))
+
+
+def test_small_concept_operators(spark):
+    from lexiloom.operators import candidates, ranking, statistics
+
+    rows = [(1, ["a", "b"], False), (1, ["a", "b"], False), (2, ["a", "b"], True), (2, ["a", "x", "b"], False)]
+    concepts = spark.createDataFrame(rows, "doc_id long, term array<string>, is_disc boolean")
+    counts = lambda **k: sorted((" ".join(r.term), r.freq) for r in annotate.count_concepts(concepts, **k).collect())
+    assert counts() == [("a b", 3), ("a x b", 1)]
+    assert counts(discontinuous=False) == [("a b", 2), ("a x b", 1)]
+    assert counts(doc_frequency=True) == [("a b", 2), ("a x b", 1)]
+    assert [r.term for r in candidates.skips_that_are_concepts(concepts).collect()] == [["a", "b"]]
+    assert statistics.values_where(concepts, "doc_id", "is_disc", True).collect() == [(2,)]
+    disc = spark.createDataFrame([([3, 4, 7], ["p", "q", "r"]), ([1, 3], ["s", "t"])], "positions array<int>, term array<string>")
+    votes = spark.createDataFrame([(["p", "q", "r"], 1.5)], "term array<string>, vote double")
+    known = spark.createDataFrame([("q", "r", 4, 2.5)], "a string, b string, freq int, strength double")
+    assert sorted((r.vote, r.strength) for r in ranking.with_bridge_strength(disc, votes, known).collect()) == [(0.0, None), (1.5, 2.5)]

@@ -58,6 +58,15 @@ def test_inline(spark):
     assert found == [[(6, 8), (15, 20)], [(13, 20)]]
 
 
+def test_vertical_blanks_and_nesting(spark):
+    """Glue after glue takes one blank, terms nest, files end with or without a line break, and what is not closed is left out."""
+    body = "<doc>\n<s>\nA\ta\tDT\n<term>\n<term>\nbig\tb\tJJ\n</term>\ncat\tc\tNN\n<g/>\n<g/>\n</term>\n.\t.\tSENT\n</s>\n<s>\n<term>\nDogs\td\tNNS\n</s>\n</doc>"
+    c = corpora.vertical_tables(spark.createDataFrame([("x_1", body), ("y_1", "<doc>\n</doc>\n")], "doc_id string, text string"))
+    assert rows(c["documents"]) == [("x_1", "A big cat. Dogs"), ("y_1", "")]
+    assert rows(c["sentences"]) == [("x_1", 0, 10), ("x_1", 11, 15)]
+    assert sorted(tuple(r.spans[0]) for r in c["concepts"].collect()) == [(2, 5), (2, 9)]
+
+
 def test_vertical(spark, tmp_path):
     body = "<doc>\n<s>\n<term>\nT\tt\tNN\n<term>\ncell\tcell\tNN\n</term>\n</term>\n<g/>\n.\t.\tSENT\n</s>\n</doc>\n"
     put(tmp_path, "x_1.vert", body)
