@@ -14,7 +14,7 @@ from lexiloom.functions import measures
 from lexiloom.functions.text import in_context, meets_span, ngrams_of, subsequences_of
 from lexiloom.operators import annotate, candidates, evaluation, ngrams, ranking, statistics, termhood
 from lexiloom.plans import extraction
-from lexiloom.sources.tables import table, written
+from lexiloom.sources.tables import spread, table, written
 
 FILTER, MIN_FREQ, THRESHOLD = "simple", 2, 2.0
 RANKERS = ["c_value", "rect_freq", "tf_idf", "glossex", "pmi_nl", "term_coherence"]
@@ -33,7 +33,7 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    return spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
 def target(spark: SparkSession, d: str) -> DataFrame:
