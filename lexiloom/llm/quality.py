@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,22 @@ def leader_weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def vectors(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Indices and values of each text, with the intercept's last."""
-    hashes = Hashes()
-    found = []
+    """Indices and values of each text, with the intercept's last.
+
+    They are parts of two long arrays, so that memory goes back to the system as a whole and a worker keeps none of it.
+    """
+    hashes, ends = Hashes(), [0]
+    index, values = np.empty(1 << 23, np.int32), np.empty(1 << 24, np.float16)
     for text in texts:
-        index, values = features(text, hashes)
-        found.append((np.append(index, DIMENSIONS).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
-    return found
+        own, weights = features(text, hashes)
+        start, end = ends[-1], ends[-1] + len(own) + 1
+        for held in (index, values):
+            if end > len(held):
+                held.resize(max(end, 2 * len(held)), refcheck=False)
+        index[start : end - 1], index[end - 1] = own, DIMENSIONS
+        values[start : end - 1], values[end - 1] = weights, 1.0
+        ends.append(end)
+    return [(index[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
@@ -82,6 +92,7 @@ def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for _ in range(EPOCHS):
         for (index, values), label in zip(rows, labels, strict=True):
+            values = values.astype(float)
             own_z, own_n = z[index], n[index]
             w = leader_weights(own_z, own_n)
             p = 1 / (1 + np.exp(-np.clip(w @ values, -35, 35)))
@@ -94,9 +105,10 @@ def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
 
 def train_fold(rows: pa.Table) -> pa.Table:
     """Of labelled texts (turn, doc_id, text, label, own): the weights of those that are not the fold's own, and the margins and labels of those that are."""
-    rows = rows.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
-    held = vectors(text.as_py() for chunk in rows.column("text").chunks for text in chunk)
-    labels, own = rows.column("label").to_numpy().astype(float), rows.column("own").to_numpy()
+    order = pc.sort_indices(rows.select(["turn", "doc_id"]), [("turn", "ascending"), ("doc_id", "ascending")]).to_pylist()
+    texts = rows.column("text")
+    held = vectors(texts[i].as_py() for i in order)
+    labels, own = rows.column("label").to_numpy().astype(float)[order], rows.column("own").to_numpy()[order]
     weights = leader([r for r, o in zip(held, own, strict=True) if not o], labels[~own])
     margins = [float(weights[i] @ v) for (i, v), o in zip(held, own, strict=True) if o]
     kinds = {"weights": pa.binary(), "margins": pa.list_(pa.float64()), "labels": pa.list_(pa.float64())}
