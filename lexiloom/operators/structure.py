@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import tag_letter
+
+#: Fixed value: brackets around a single token, which go.
+SINGLE = r"\(+(#?.)\)+"
 #: Patterns of coordinated tag sequences, tried in this order.
 COLLAPSERS = (".c..", "..c.", "[^,c]+.c.", ".c.[^,c]+", "[^,c]+.c.[^,c]+", "([^,c]+,)+.+,?c.[^,c]*", "[^,c]*.c.(,[^,c]+)+", "[^c]+c[^c]+c[^c]+")
 
@@ -51,6 +57,32 @@ def bracket_strings(constituents: DataFrame) -> DataFrame:
     return constituents.groupBy("doc_id").applyInPandas(run, "doc_id string, node_id int, structure string, unlabelled string")
 
 
+def marked_structures(constituents: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, node_id, structure, unlabelled): bracket strings of all nodes above tokens, whose leaves are tag letters, with # before tokens in marked (doc_id, start, end).
+
+    Labels end before their first hyphen. Without labels, nodes right above an empty token are left out, and brackets
+    around a single token go.
+    """
+    some = marked.select("doc_id", "start", "end").distinct().withColumn("__mark", F.lit("#"))
+    joined = constituents.join(some, ["doc_id", "start", "end"], "left")
+    leaf = F.concat(F.coalesce("__mark", F.lit("")), tag_letter(F.coalesce("label", F.lit(""))))
+    label = F.split_part(F.coalesce("label", F.lit("")), F.lit("-"), F.lit(1))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        below: dict[int, list[int]] = {}
+        for r in pdf[pdf.parent_id.notna()].sort_values(["parent_id", "child_ord"]).itertuples():
+            below.setdefault(int(r.parent_id), []).append(r.node_id)
+        full = dict(zip(pdf.node_id, pdf.leaf, strict=True))
+        bare, names = dict(full), dict(zip(pdf.node_id, pdf.label, strict=True))
+        hollow = {n for n, own in below.items() if any(c not in below and full[c].endswith("Ø") for c in own)}
+        for n in sorted(below, reverse=True):  # children have larger numbers than their parents
+            full[n] = f"({names[n]} {' '.join(full[c] for c in below[n])})"
+            bare[n] = re.sub(SINGLE, r"\1", f"({' '.join(bare[c] for c in below[n] if c not in hollow)})")
+        return pd.DataFrame([(key[0], n, full[n], bare[n]) for n in sorted(below)], columns=["doc_id", "node_id", "structure", "unlabelled"])
+
+    return joined.select("doc_id", "node_id", "parent_id", "child_ord", label.alias("label"), leaf.alias("leaf")).groupBy("doc_id").applyInPandas(run, "doc_id string, node_id int, structure string, unlabelled string")
+
+
 def subset_terms(terms: DataFrame, words: list[str]) -> DataFrame:
     """Terms that hold all the words."""
     return terms.where(F.size(F.array_except(F.array(*[F.lit(w) for w in words]), F.col("term"))) == 0)

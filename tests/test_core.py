@@ -310,3 +310,12 @@ def test_small_concept_operators(spark):
     votes = spark.createDataFrame([(["p", "q", "r"], 1.5)], "term array<string>, vote double")
     known = spark.createDataFrame([("q", "r", 4, 2.5)], "a string, b string, freq int, strength double")
     assert sorted((r.vote, r.strength) for r in ranking.with_bridge_strength(disc, votes, known).collect()) == [(0.0, None), (1.5, 2.5)]
+
+
+def test_gold_selection_reports_what_it_leaves_out(spark):
+    rows = [(["a", "b"], "nn", False, True), (["a"], "n", False, True), (["c", "d"], "vn", False, True), (["e", "f"], "nn", True, True), (["g", "h"], "nn", False, False), (["i", "j"], None, False, True), (["k", "l"], "nn", False, None)]
+    concepts = spark.createDataFrame(rows, "term array<string>, tags string, is_disc boolean, bounded boolean")
+    assert tuple(evaluation.gold_report(concepts, disc=False, tag_pattern="n+").first()) == (2, 2, 2)
+    assert tuple(evaluation.gold_report(concepts).first()) == (5, 2, 0)
+    assert tuple(evaluation.gold_report(concepts.limit(0)).first()) == (0, 0, 0)
+    assert {tuple(r.term) for r in evaluation.gold_terms(concepts, disc=False, tag_pattern="n+").collect()} == {("a", "b")}

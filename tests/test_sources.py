@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import merged_spans
@@ -53,11 +54,46 @@ def test_inline(spark):
     texts = spark.createDataFrame([("a", XML)], "doc_id string, text string")
     c = corpora.inline_corpus(texts)
     assert rows(c["sentences"]) == [("a", 0, 5), ("a", 6, 20)]
+    text = c["documents"].first().text
+    assert [text[r[1] : r[2]] for r in rows(c["tokens"])] == ["Title", "NK", "and", "T", "cells"] and len(text) == 20
     assert ("a", 15, 20, "NNS") in rows(c["tokens"])
     found = sorted([tuple(s) for s in r.spans] for r in c["concepts"].collect())
     assert found == [[(6, 8), (15, 20)], [(13, 20)]]
 
 
+def test_leaves_meet_tokens():
+    """Leaves that join or split tokens, a full stop that is missing, a leaf without a word, and words that differ."""
+    tokens = [("ab", 0, 2, "NN"), ("c", 3, 4, "NN"), ("pre-x", 5, 10, "JJ"), ("end", 11, 14, "NN")]
+    none = lambda at: [(at, at, "-NONE-")]
+    found = corpora.leaf_tokens(["abc", "pre", "-", "x", ".", "", "end", "."], tokens)
+    assert found == [[(0, 2, "NN"), (3, 4, "NN")], none(5), none(5), [(5, 10, "JJ")], none(11), none(11), [(11, 14, "NN")], none(14)]
+    assert corpora.leaf_tokens([], tokens) == [] and corpora.leaf_tokens(["."], []) == [none(0)]
+    for wrong in (["abd"], ["abc", "z"], ["abcpre-xend", "more"]):
+        with pytest.raises(ValueError):
+            corpora.leaf_tokens(wrong, tokens)
+
+
+def test_treebank_of_inline_corpus(spark):
+    tree = (
+        "<set><sentence><tok cat='NN'>Title</tok></sentence>"
+        "<sentence><cons cat='NP-SBJ'><cons cat='NP'><tok cat='NN'>NK</tok><cons cat='ADJP'/></cons><tok cat='CC'>and</tok>"
+        "<cons cat='NP'><tok cat='NN'>T</tok> <tok cat='NNS'>cells</tok></cons></cons><tok cat='.'>.</tok></sentence></set>"
+    )
+    c = corpora.inline_corpus(spark.createDataFrame([("a", XML), ("b", XML)], "doc_id string, text string"))
+    got = corpora.treebank_trees(spark.createDataFrame([("a", tree)], "doc_id string, text string"), c)
+    nodes = {r.node_id: r for r in got.collect()}
+    assert [(r.label, r.start, r.end) for _, r in sorted(nodes.items())] == [
+        ("sentence", 0, 5), ("NN", 0, 5), ("sentence", 6, 20), ("NP-SBJ", 6, 20), ("NP", 6, 9), ("NN", 6, 8), ("ADJP", 9, 9),
+        ("-NONE-", 9, 9), ("CC", 9, 12), ("NP", 13, 20), ("NN", 13, 14), ("NNS", 15, 20), ("-NONE-", 20, 20),
+    ]
+    assert [nodes[n].parent_id for n in (2, 3, 4, 12)] == [None, 2, 3, 2]
+    marked = spark.createDataFrame([("a", 6, 8), ("a", 15, 20), ("b", 13, 14)], "doc_id string, start int, end int")
+    strings = {r.node_id: (r.structure, r.unlabelled) for r in structure.marked_structures(got, marked).collect()}
+    assert strings[0] == ("(sentence n)", "n")
+    assert strings[3] == ("(NP (NP #n (ADJP Ø)) c (NP n #n))", "(#n c (n #n))")
+    assert set(strings) == {0, 2, 3, 4, 6, 9}
+
+
 def test_vertical_blanks_and_nesting(spark):
     """Glue after glue takes one blank, terms nest, files end with or without a line break, and what is not closed is left out."""
     body = "<doc>\n<s>\nA\ta\tDT\n<term>\n<term>\nbig\tb\tJJ\n</term>\ncat\tc\tNN\n<g/>\n<g/>\n</term>\n.\t.\tSENT\n</s>\n<s>\n<term>\nDogs\td\tNNS\n</s>\n</doc>"
