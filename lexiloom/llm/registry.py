@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, extraction, media, mixing, near_dup, packing, pii, quality, secrets, sharding
+from . import exact_dedup, extraction, language, media, middle, mixing, near_dup, packing, pii, quality, resampling, secrets, sharding
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_pivotal_mix": mixing.op8_pivotal_mix,
         "op9_quality": quality.op9_quality,
         "op10_personal_data": pii.op10_personal_data,
+        "op11_language": language.op11_language,
+        "op12_fill_in_middle": middle.op12_fill_in_middle,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": sharding.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op3_jump_sharding": sharding.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op12_fill_in_middle": middle.OP12_SQL}

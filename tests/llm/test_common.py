@@ -30,4 +30,4 @@ def test_slices_keep_all_rows():
 def test_registry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert all(isinstance(sql, str) for sql in registry.oracle_sql().values())
-    assert sorted(int(q[2:].split("_")[0]) for q in registry.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.queries()) == list(range(1, 14))
