@@ -69,12 +69,38 @@ def ngrams_of(tokens: Column, least: int = 1, most: int = 5) -> Column:
     return F.flatten(F.array(*[of_length(n) for n in range(least, most + 1)]))
 
 
-def subsequences_of(tokens: Column, length: int, most: int = 5) -> Column:
-    """All order-keeping choices of `length` elements of an array of `most` at most, contiguous ones included."""
-    from itertools import combinations
+def _counted(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last; none if last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))
 
-    picks = [F.when(F.size(tokens) > max(p), F.array(*[F.get(tokens, i) for i in p])) for p in combinations(range(most), length)]
-    return F.filter(F.array(*picks), lambda a: a.isNotNull())
+
+def subsequences_of(tokens: Column, length: int) -> Column:
+    """All order-keeping choices of `length` elements of an array, contiguous ones included, in the order of their places."""
+    last = F.size(tokens) - 1
+    places = F.transform(_counted(F.lit(0), last), lambda i: F.array(i))
+    for _ in range(length - 1):
+        places = F.flatten(F.transform(places, lambda p: F.transform(_counted(F.element_at(p, -1) + 1, last), lambda j: F.array_append(p, j))))
+    return F.transform(places, lambda p: F.transform(p, lambda i: F.get(tokens, i)))
+
+
+#: Longest array whose choices are listed: there are two to the power of its length.
+MOST_CHOSEN = 16
+
+
+def parts_of(tokens: Column, least: int = 1, choices: bool = False) -> Column:
+    """The distinct proper runs of an array of any length, of `least` elements or more; with choices, all order-keeping choices.
+
+    Choices of arrays of more than MOST_CHOSEN elements are an error.
+    """
+    size = F.size(tokens)
+    if not choices:
+        runs = lambda n: F.transform(_counted(F.lit(1), size - n + 1), lambda i: F.slice(tokens, i, n))
+        return F.array_distinct(F.flatten(F.transform(_counted(F.lit(least), size - 1), runs)))
+    bit = lambda mask, i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
+    masks = _counted(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 2)
+    some = F.filter(masks, lambda m: F.bit_count(m) >= least)
+    found = F.array_distinct(F.transform(some, lambda m: F.filter(tokens, lambda _, i: bit(m, i))))
+    return F.when(size <= MOST_CHOSEN, found).otherwise(F.raise_error(F.lit(f"choices of more than {MOST_CHOSEN} elements")))
 
 
 def tag_sequence(tags: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.measures import bridge_strength, pair_pmi
-from lexiloom.functions.text import ngrams_of, subsequences_of
+from lexiloom.functions.text import parts_of
 
 #: The three filters on tag sequences, for contiguous candidates and for coordinated ones.
 FILTERS = {"unsilo": "([na]|(ns)|(vn))+n", "simple": "[an]+n", "liberal": "[navrds]*n"}
@@ -59,8 +59,8 @@ def documents(candidates: DataFrame) -> int:
 
 def skips_that_are_concepts(concepts: DataFrame) -> DataFrame:
     """(term): choices of a concept's words with a gap, and so no run of it, that are concepts themselves."""
-    parts = F.flatten(F.array(*[subsequences_of(F.col("term"), n) for n in range(2, 5)]))
-    chosen = concepts.where(F.size("term").between(3, 5)).select(F.explode(F.array_except(parts, ngrams_of(F.col("term"), 1, 5))).alias("term"))
+    gapped = F.array_except(parts_of(F.col("term"), 2, choices=True), parts_of(F.col("term"), 2))
+    chosen = concepts.where(F.size("term") >= 3).select(F.explode(gapped).alias("term"))
     return chosen.distinct().join(concepts.select("term").distinct(), "term", "left_semi")
 
 

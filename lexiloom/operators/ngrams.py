@@ -99,13 +99,14 @@ def skip_aware(model: DataFrame, skipgrams: DataFrame, compat_weights: bool = Fa
     Each pattern counts once. compat_weights: a pattern counts once for each order in which its gaps can be put in one
     by one, which is the number of ways that a recursive sum meets it.
     """
-    one = skipgrams.withColumn("weight", insertion_orders(F.col("pattern"))) if compat_weights else skipgrams.withColumn("weight", F.lit(1))
+    longest = skipgrams.agg(F.max(F.size("pattern"))).first()[0] or 3 if compat_weights else 0
+    one = skipgrams.withColumn("weight", insertion_orders(F.col("pattern"), longest) if compat_weights else F.lit(1))
     added = one.groupBy("words").agg(F.sum(F.col("freq") * F.col("weight")).alias("skips"))
     joined = model.join(added, model["term"] == added["words"], "left")
     return joined.select("term", "n", "freq", (F.col("freq") + F.coalesce("skips", F.lit(0))).alias("skip_freq"))
 
 
-def insertion_orders(pattern: Column, max_n: int = 5) -> Column:
+def insertion_orders(pattern: Column, max_n: int) -> Column:
     """In how many ways a pattern of up to max_n tokens is reached from its words by adding gaps, any number at a step."""
     shape = F.array_join(F.transform(pattern, lambda t: F.when(t == GAP, "_").otherwise("w")), "")
     weights = {}

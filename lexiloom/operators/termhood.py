@@ -2,69 +2,87 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import measures
-from lexiloom.functions.text import ngrams_of
+from lexiloom.functions.text import parts_of
 from lexiloom.sources.tables import written
 
 
-def nested_frequencies(types: DataFrame, threshold: float = 2, max_n: int = 5, min_n: int = 1) -> DataFrame:
-    """(term, n, freq, rect_freq, c_value) of types (term, n, freq), from the longest down.
+def nested_in(types: DataFrame, min_n: int = 1, choices: bool = False) -> DataFrame:
+    """(sub, n, super): for each type of types (id, term, n) the ids of the longer types that hold it, once each.
+
+    A type holds its runs; with choices it holds every order-keeping choice of its words, the lattice that
+    discontinuous types nest in. n is the length of the smaller one.
+    """
+    parts = types.where(F.col("n") > min_n).select(F.col("id").alias("super"), F.explode(parts_of(F.col("term"), min_n, choices)).alias("term"))
+    return parts.join(types.select("term", F.col("id").alias("sub"), "n"), "term").select("sub", "n", "super")
+
+
+def nested_frequencies(types: DataFrame, threshold: float = 2, min_n: int = 1, choices: bool = False) -> DataFrame:
+    """types (term, n, freq, ...) of min_n words or more with rect_freq and c_value, from the longest down, whatever its length.
 
     rect_freq is freq less the rect_freq of all longer types that hold the term. c_value discounts, over the longer types
     that were accepted, the mean of those of their own discounted frequencies that are above zero; a type is accepted from the
-    threshold on. A part that a type holds twice counts once. Each level is one join with the parts of longer types; it
-    is written, so lineage stays short.
+    threshold on. A part that a type holds twice counts once. choices: whether types nest as order-keeping choices of
+    words, as discontinuous ones do, and not as runs only.
+
+    Who holds whom is found once, for all lengths, and kept by length as pairs of ids; a level joins its pairs with what the
+    longer levels gave, and its result is written, so lineage stays short.
     """
-    levels = []
-    for n in range(max_n, min_n - 1, -1):
-        own = types.where(F.col("n") == n).select("term", "n", "freq")
+    kept = [c for c in types.columns if c not in ("rect_freq", "c_value")]
+    numbered = written(types.where(F.col("n") >= min_n).select(*kept, F.monotonically_increasing_id().alias("id")), by="n")
+    lengths = sorted((r.n for r in numbered.select("n").distinct().collect()), reverse=True)  # one row for each length
+    pairs = written(nested_in(numbered, min_n, choices), by="n") if len(lengths) > 1 else None
+    levels: list[DataFrame] = []
+    for n in lengths:
+        own = numbered.where(F.col("n") == n)
         if levels:
-            longer = levels[0]
-            for level in levels[1:]:
-                longer = longer.unionByName(level)
-            parts = longer.select(F.explode(F.array_distinct(ngrams_of(F.col("term"), n, n))).alias("term"), "rect_freq", "own_freq", "taken")
-            above = parts.groupBy("term").agg(
+            above = pairs.where(F.col("n") == n).join(reduce(DataFrame.unionByName, levels).select(F.col("id").alias("super"), "rect_freq", "own_freq", "taken"), "super")
+            sums = above.groupBy(F.col("sub").alias("id")).agg(
                 F.sum("rect_freq").alias("nested"),
                 F.sum(F.when(F.col("taken"), F.col("own_freq"))).alias("nested_taken"),
                 F.avg(F.when(F.col("taken") & (F.col("own_freq") > 0), F.col("own_freq"))).alias("mean_taken"),
                 F.max("taken").alias("any_taken"),
             )
-            own = own.join(above, "term", "left")
+            own = own.join(sums, "id", "left")
         else:
             own = own.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("nested", "long"), ("nested_taken", "long"), ("mean_taken", "double"), ("any_taken", "boolean"))])
         discounted = F.when(F.coalesce("any_taken", F.lit(False)), F.col("freq") - F.coalesce("mean_taken", F.lit(0.0))).otherwise(F.col("freq"))
         c_value = F.log2(F.lit(float(n))) * discounted
         level = own.select(
-            "term",
-            "n",
-            "freq",
+            *kept,
+            "id",
             (F.col("freq") - F.coalesce("nested", F.lit(0))).alias("rect_freq"),
             c_value.alias("c_value"),
             (F.col("freq") - F.coalesce("nested_taken", F.lit(0))).alias("own_freq"),
             (c_value >= threshold).alias("taken"),
         )
-        levels.append(written(level) if n > min_n else level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("term", "n", "freq", "rect_freq", "c_value")
+        levels.append(written(level) if n > lengths[-1] else level)
+    if not levels:
+        return types.where("false").select(*kept, F.lit(0).cast("long").alias("rect_freq"), F.lit(0.0).alias("c_value"))
+    return reduce(DataFrame.unionByName, levels).select(*kept, "rect_freq", "c_value")
 
 
 def word_sums(terms: DataFrame, model: DataFrame, total: DataFrame, other: DataFrame | None = None, other_total: DataFrame | None = None) -> DataFrame:
-    """(term, words_freq, word_logs, glossex): over a term's words, repeated ones each time, the sum of frequencies, of log
-    probabilities, and with other the mean log weirdness. Words that a model lacks count 0."""
+    """terms (term, ...) with words_freq, word_logs and glossex: over a term's words, repeated ones each time, the sum of frequencies,
+    of log probabilities, and with other the mean log weirdness. Words that a model lacks count 0. Terms are distinct.
+
+    A term's own columns travel with its words, so that grouping the words again gives whole rows.
+    """
     words = model.where("n = 1").select(F.get("term", F.lit(0)).alias("word"), F.col("freq").alias("f"))
-    one = terms.select("term", F.explode("term").alias("word")).join(words, "word", "left").crossJoin(F.broadcast(total.select(F.col("total").alias("t"))))
+    whole = F.struct(*terms.columns)
+    one = terms.select(whole.alias("__row"), F.explode("term").alias("word")).join(words, "word", "left").crossJoin(F.broadcast(total.select(F.col("total").alias("t"))))
     f = F.coalesce("f", F.lit(0))
     sums = [F.sum(f).alias("words_freq"), F.sum(F.ln(measures.probability(f, F.col("t")))).alias("word_logs")]
     if other is not None:
         theirs = other.where("n = 1").select(F.get("term", F.lit(0)).alias("word"), F.col("freq").alias("g"))
         one = one.join(theirs, "word", "left").crossJoin(F.broadcast(other_total.select(F.col("total").alias("u"))))
         sums.append(F.avg(F.ln(measures.weirdness(f, F.coalesce("g", F.lit(0)), F.col("t"), F.col("u")))).alias("glossex"))
-    return one.groupBy("term").agg(*sums)
+    return one.groupBy(F.col("__row.term").alias("__term")).agg(F.first("__row").alias("__row"), *sums).select("__row.*", *[c for c in ("words_freq", "word_logs", *(["glossex"] if other is not None else []))])
 
 
 def unithood(model: DataFrame, total: DataFrame, min_freq: int = 1, factor: float = 2) -> DataFrame:
@@ -94,15 +112,15 @@ def unithood(model: DataFrame, total: DataFrame, min_freq: int = 1, factor: floa
     )
 
 
-def metrics(types: DataFrame, model: DataFrame, total: DataFrame, other: DataFrame, other_total: DataFrame, docs: int, threshold: float = 2) -> DataFrame:
-    """One wide row for each type (term, n, freq, docs): all six measures that rankers use.
+def metrics(types: DataFrame, model: DataFrame, total: DataFrame, other: DataFrame, other_total: DataFrame, docs: int, threshold: float = 2, choices: bool = False) -> DataFrame:
+    """One wide row for each type (term, n, freq, docs): all six measures that rankers use. Types may be of any length.
 
-    docs: documents with a candidate (see candidates.documents).
+    docs: documents with a candidate (see candidates.documents). choices: see nested_frequencies. Nested frequencies
+    and the model's count are carried along, and a type's words are looked up and summed without a join back.
     """
-    nested = nested_frequencies(types, threshold).select("term", "rect_freq", "c_value")
-    sums = word_sums(types, model, total, other, other_total)
     freq = model.select("term", F.col("freq").alias("model_freq"))
-    joined = types.join(nested, "term").join(sums, "term").join(freq, "term", "left").crossJoin(F.broadcast(total))
+    nested = nested_frequencies(types.select("term", "n", "freq", "docs").join(freq, "term", "left"), threshold, choices=choices)
+    joined = word_sums(nested, model, total, other, other_total).crossJoin(F.broadcast(total))
     f = F.coalesce("model_freq", F.lit(0))
     return joined.select(
         "term",

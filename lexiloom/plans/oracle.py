@@ -40,34 +40,33 @@ LIST = f"{BENCH}, {_runs('bruns', 'btok_w', 2, 5)}, lst AS (SELECT DISTINCT term
 
 
 def _model(most: int, least_freq: int = MIN_FREQ, name: str = "model", runs: str = "runs", words: str = "tok_w") -> str:
-    return f"{_runs(runs, words, 1, most)}, {name} AS (SELECT term, n, count(*) AS freq FROM {runs} GROUP BY term, n HAVING count(*) >= {least_freq})"
+    return f"{_runs(runs, words, 1, most)}, {name} AS MATERIALIZED (SELECT term, n, count(*) AS freq FROM {runs} GROUP BY term, n HAVING count(*) >= {least_freq})"
 
 
 def _found(tag_filter: str = "simple", least: int = 2) -> str:
-    return f"{_runs('cruns', 'tok_w', least, 5)}, found AS (SELECT * FROM cruns WHERE regexp_full_match(tags, '{FILTERS[tag_filter]}'))"
+    return f"{_runs('cruns', 'tok_w', least, 5)}, found AS MATERIALIZED (SELECT * FROM cruns WHERE regexp_full_match(tags, '{FILTERS[tag_filter]}'))"
 
 
-TYPES = "types AS (SELECT term, n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM found GROUP BY term, n)"
+TYPES = "types AS MATERIALIZED (SELECT term, n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM found GROUP BY term, n)"
 CANDIDATES = f"{_found()}, {TYPES}"
 N = "(SELECT coalesce(sum(freq), 0) FROM model WHERE n = 1)"
 RN = "(SELECT coalesce(sum(freq), 0) FROM rmodel WHERE n = 1)"
 
 
-def _levels(types: str = "types") -> str:
-    """nested(term, n, freq, rect_freq, c_value), one level for each length from five to two."""
-    out = []
+def _levels(choices: bool = False) -> str:
+    """nested(term, n, freq, rect_freq, c_value), one level for each length from five to two; who holds whom is listed once."""
+    parts = (
+        "SELECT DISTINCT term AS super, array_to_string(list_transform(list_filter(range(1, 6), lambda i: i <= n AND (mask >> (i - 1)) & 1 = 1), lambda i: l[i]), ' ') AS sub FROM (SELECT term, n, string_split(term, ' ') AS l, unnest(range(1, (1 << n) - 1)) AS mask FROM types)"
+        if choices
+        else "SELECT DISTINCT term AS super, array_to_string(list_slice(l, i, i + k - 1), ' ') AS sub FROM (SELECT term, n, string_split(term, ' ') AS l, unnest(range(1, 5)) AS i FROM types), range(2, 5) z(k) WHERE k < n AND i + k - 1 <= n"
+    )
+    out = [f"edges AS MATERIALIZED (SELECT super, sub, t.n FROM ({parts}) JOIN types t ON t.term = sub)"]
     for n in range(5, 1, -1):
-        if n == 5:
-            out.append(f"s5 AS (SELECT '' AS sub, 0 AS nested, 0 AS nt, 0.0 AS mt, false AS taken WHERE false)")
-        else:
-            longer = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(5, n, -1))
-            out.append(
-                f"""s{n} AS (SELECT sub, sum(rf) AS nested, sum(own) FILTER (taken) AS nt, avg(own) FILTER (taken AND own > 0) AS mt, bool_or(taken) AS taken FROM (
-  SELECT DISTINCT term, rf, own, taken, array_to_string(list_slice(l, i, i + {n - 1}), ' ') AS sub
-  FROM (SELECT *, string_split(term, ' ') AS l, unnest(generate_series(1, n - {n - 1})) AS i FROM ({longer}))) GROUP BY sub)"""
-            )
+        longer = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(5, n, -1))
+        sums = f"""SELECT sub, sum(rf) AS nested, sum(own) FILTER (taken) AS nt, avg(own) FILTER (taken AND own > 0) AS mt, bool_or(taken) AS taken FROM edges JOIN ({longer}) x ON x.term = super WHERE edges.n = {n} GROUP BY sub"""
+        out.append(f"s{n} AS ({sums if longer else "SELECT '' AS sub, 0 AS nested, 0 AS nt, 0.0 AS mt, false AS taken WHERE false"})")
         c = f"log2({n}) * CASE WHEN coalesce(s.taken, false) THEN t.freq - coalesce(mt, 0.0) ELSE t.freq END"
-        out.append(f"v{n} AS (SELECT t.term, t.n, t.freq, t.freq - coalesce(nested, 0) AS rf, t.freq - coalesce(nt, 0) AS own, {c} AS c, {c} >= {THRESHOLD} AS taken FROM {types} t LEFT JOIN s{n} s ON t.term = s.sub WHERE t.n = {n})")
+        out.append(f"v{n} AS MATERIALIZED (SELECT t.term, t.n, t.freq, t.freq - coalesce(nested, 0) AS rf, t.freq - coalesce(nt, 0) AS own, {c} AS c, {c} >= {THRESHOLD} AS taken FROM types t LEFT JOIN s{n} s ON t.term = s.sub WHERE t.n = {n})")
     union = " UNION ALL ".join(f"SELECT term, n, freq, rf::BIGINT AS rect_freq, c AS c_value FROM v{n}" for n in range(5, 1, -1))
     return ", ".join([*out, f"nested AS ({union})"])
 
@@ -81,7 +80,7 @@ def _sums(terms: str, with_reference: bool) -> str:
 
 RMODEL = f"{REFERENCE}, {_model(1, 1, 'rmodel', 'rruns', 'rtok_w')}"
 METRICS = f"""{TARGET}, {RMODEL}, {_model(5)}, {CANDIDATES}, {_levels()}, {_sums('types', True)},
-metrics AS (SELECT o.term, o.n::INTEGER AS n, o.freq, o.docs, round(v.c_value, 6) AS c_value, v.rect_freq,
+metrics AS MATERIALIZED (SELECT o.term, o.n::INTEGER AS n, o.freq, o.docs, round(v.c_value, 6) AS c_value, v.rect_freq,
   round(o.freq * (SELECT count(DISTINCT doc_id) FROM found) / (o.docs + 1)::DOUBLE, 6) AS tf_idf, round(s.glossex, 6) AS glossex,
   round((ln((coalesce(m.freq, 0) + 1.0) / ({N} + 1)) - s.word_logs) / (o.n - 1), 6) AS pmi_nl,
   round(CASE WHEN coalesce(m.freq, 0) = 0 THEN 0.0 ELSE log10(m.freq) * o.n * m.freq / s.words_freq END, 6) AS term_coherence
@@ -151,6 +150,7 @@ ORACLE = {
     "doc_freq": f"WITH {TARGET}, {_found(least=1)}, {TYPES} SELECT term, docs FROM types",
     "rect_freq": f"WITH {TARGET}, {CANDIDATES}, {_levels()} SELECT term, n::INTEGER AS n, freq, rect_freq FROM nested",
     "c_value": f"WITH {TARGET}, {CANDIDATES}, {_levels()} SELECT term, n::INTEGER AS n, freq, round(c_value, 6) AS c_value FROM nested",
+    "c_value_skips": f"WITH {TARGET}, {CANDIDATES}, {_levels(choices=True)} SELECT term, n::INTEGER AS n, freq, rect_freq, round(c_value, 6) AS c_value FROM nested",
     "metrics": f"WITH {METRICS} SELECT * FROM metrics",
     "rank_vote": f"WITH {VOTED} SELECT * REPLACE (round(vote, 6) AS vote) FROM voted",
     "topk": f"WITH {VOTED} SELECT term, round(vote, 6) AS vote, rank FROM (SELECT term, vote, row_number() OVER (ORDER BY vote DESC, term)::INTEGER AS rank FROM voted) WHERE rank <= 100",

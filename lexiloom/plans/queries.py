@@ -8,6 +8,7 @@ between engines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import measures
@@ -125,13 +126,8 @@ def metrics(spark, d):
 def _sums(spark: SparkSession, d: str, with_reference: bool = False):
     m = model(spark, d)
     total = ngrams.unigram_total(m)
-    terms = m.where("n > 1")
-    if with_reference:
-        ref = ngrams.ngram_counts(reference(spark, d), 1)
-        sums = termhood.word_sums(terms, m, total, ref, ngrams.unigram_total(ref))
-    else:
-        sums = termhood.word_sums(terms, m, total)
-    return terms.join(sums, "term").crossJoin(F.broadcast(total))
+    ref = ngrams.ngram_counts(reference(spark, d), 1) if with_reference else None
+    return termhood.word_sums(m.where("n > 1"), m, total, ref, ngrams.unigram_total(ref) if with_reference else None).crossJoin(F.broadcast(total))
 
 
 def pmi_nl(spark, d):
@@ -186,6 +182,11 @@ def _nested(column: str):
     return query
 
 
+def c_value_skips(spark, d):
+    """Frequencies where types nest as choices of words with gaps too."""
+    return joined(termhood.nested_frequencies(types(spark, d).select("term", "n", "freq"), THRESHOLD, min_n=2, choices=True))
+
+
 def _voted(spark: SparkSession, d: str) -> DataFrame:
     return ranking.vote(_metrics(spark, d), RANKERS).withColumn("vote", F.round("vote", 9))
 
@@ -196,8 +197,9 @@ def rank_vote(spark, d):
 
 def topk(spark, d):
     """The report of the hundred terms with most votes."""
-    found = ranking.keep_n_highest(ranking.ranked(_voted(spark, d), "vote"), 100)
-    return joined(found, "term", "vote", "rank")
+    best = _voted(spark, d).orderBy(F.col("vote").desc(), F.array_join("term", " ")).limit(100)
+    place = F.row_number().over(W.orderBy(F.col("vote").desc(), F.array_join("term", " "))).alias("rank")  # a hundred rows
+    return joined(best.select("term", "vote", place))
 
 
 def keep_proportion(spark, d):
@@ -433,7 +435,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        c_value_skips, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )

@@ -27,16 +27,18 @@ def own_folder(application: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a local one in local
-    mode and one in the warehouse on a cluster."""
+    mode. A cluster must name one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         folder = own_folder(context.applicationId)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexiloom"
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here. by: a column of few values, one folder for each."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
