@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import pyarrow as pa
@@ -28,16 +30,34 @@ def own_dir(application: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local session gets a
-    folder of its own, and a cluster one in its warehouse."""
+    folder of its own; a cluster must name one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         folder = own_dir(context.applicationId)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexiloom"
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
 
-#: Folders that this process has written, in order.
-_WRITTEN: list[str] = []
+#: The folders that the innermost tables_of block of this thread has written.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def tables_of() -> Iterator[list[str]]:
+    """The folders that cut writes within the block, in order, as a list; what is left in it at the end goes to the block around.
+
+    Each thread has its own blocks, so that calls side by side do not see each other's tables.
+    """
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+        if (outer := _OWN.get()) is not None:
+            outer.extend(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,18 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_written() -> int:
-    """How many tables have been cut so far, for discard."""
-    return len(_WRITTEN)
-
-
-def discard(spark: SparkSession, start: int, end: int) -> None:
-    """Deletes the tables that were cut as number start to end; nothing that is still to be read may depend on them."""
-    for path in _WRITTEN[start:end]:
+def discard(spark: SparkSession, written: list[str], kept: int = 0) -> None:
+    """Deletes all tables of a block but the last `kept`; nothing that is still to be read may depend on them."""
+    gone = written[: len(written) - kept]
+    del written[: len(gone)]
+    for path in gone:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

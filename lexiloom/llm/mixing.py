@@ -89,7 +89,7 @@ def meeting(level: int, last: bool, columns: list[str]) -> Callable:
     """The rounding of one block; on the last level what is left open goes to the nearer end."""
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("doc_id", "descending")])
+        group = group.sort_by([("size", "descending"), ("doc_id", "descending"), ("__copy", "ascending")])
         seed = f"{SEED}/{level}/{key[0].as_py()}/{key[1].as_py()}"
         p = pivot(group.column("p").to_numpy(), group.column("size").to_numpy(), seed)
         if last:
@@ -99,16 +99,26 @@ def meeting(level: int, last: bool, columns: list[str]) -> Callable:
     return meet
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with __copy, which numbers equal ones; they are counted first, so that none meet in one task."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__copy"))
+
+
+def dealt(rows: DataFrame, level: int) -> DataFrame:
+    """rows with the __block in which each meets others of its source."""
+    sized = F.greatest(F.lit(1), F.col("n_sized"))
+    blocks = F.ceil(sized / F.lit(float(BLOCK) ** (level + 1)))
+    return rows.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "size", "__copy"), F.greatest(F.lit(1), blocks).cast("long")))
+
+
 def round_copies(rows: DataFrame) -> DataFrame:
     """rows (source, doc_id, size, n_sized, base, p, ...) with p rounded to 0 or 1: a tree of blocks, the same for any partitioning."""
     most = rows.agg(F.max("n_sized")).first()[0] or 0
+    columns, rows = rows.columns, told_apart(rows)
     decided, level, undecided = [], 0, rows
     while True:
         parts, last = -(-most // BLOCK), most <= BLOCK
-
-        own = F.ceil(F.greatest(F.lit(1), F.col("n_sized")) / BLOCK) if level == 0 else F.greatest(F.lit(1), F.ceil(F.col("n_sized") / F.lit(float(BLOCK) ** (level + 1))))
-        blocked = undecided.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "size"), own.cast("long")))
-        met = cut(blocked.groupBy("source", "__block").applyInArrow(meeting(level, last, rows.columns), rows.schema))
+        met = cut(dealt(undecided, level).groupBy("source", "__block").applyInArrow(meeting(level, last, rows.columns), rows.schema))
         if last:
             decided.append(met)
             break
@@ -118,7 +128,7 @@ def round_copies(rows: DataFrame) -> DataFrame:
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select(*columns)
 
 
 def heavy_first(key: tuple, group: pa.Table) -> pa.Table:

@@ -20,7 +20,6 @@ and its component_id is null; an empty table gives an empty result; extra column
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sieve, cut, discard, slices, table, tables_written
+from .common import Sieve, cut, discard, slices, table, tables_of
 from .components import components, roots
 
 SIMILAR = 0.8
@@ -93,7 +92,6 @@ def each_set(texts: pa.Array, words: int, max_bytes: int = 1 << 18) -> list[np.n
     return found
 
 
-@lru_cache(1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     draws = np.random.default_rng(8).integers(0, 1 << 63, (2, MINIMA), dtype=np.uint64)
     return draws[0] * np.uint64(2) + np.uint64(1), draws[1]
@@ -303,25 +301,25 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     classes = cut(
         usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     )
-    begun = tables_written()
-    placed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = cut(placed.join(shared, "key").select("key", "rep", "leader", "m"))
-    ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
-    some = Sieve(ids, "doc_id").passed(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    texts = cut(some.join(ids, "doc_id", "left_semi"))
-
-    # each document and the leader it shares most buckets with
-    often = members.where("rep != leader").groupBy("rep", "leader").count()
-    best = often.groupBy("rep").agg(F.max(F.struct("count", (-F.col("leader")).alias("leader"))).alias("top"))
-    tried = cut(best.select((-F.col("top.leader")).alias("a"), F.col("rep").alias("b")))
-    component = roots(confirmed(tried, texts, words).groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component")))
-
-    ends = cross_links(members, component, classes, texts, words).join(component.toDF("a", "of_a"), "a", "left").join(component.toDF("b", "of_b"), "b", "left")
-    merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
-    moved = component.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
-    component = cut(moved.unionByName(merged.join(moved, "node", "left_anti")))
-    discard(docs.sparkSession, begun, tables_written() - 1)  # all but signatures, classes and components
+    with tables_of() as written:
+        placed = classes.select("rep", F.explode("bands").alias("key"))
+        shared = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = cut(placed.join(shared, "key").select("key", "rep", "leader", "m"))
+        ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
+        some = Sieve(ids, "doc_id").passed(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+        texts = cut(some.join(ids, "doc_id", "left_semi"))
+
+        # each document and the leader it shares most buckets with
+        often = members.where("rep != leader").groupBy("rep", "leader").count()
+        best = often.groupBy("rep").agg(F.max(F.struct("count", (-F.col("leader")).alias("leader"))).alias("top"))
+        tried = cut(best.select((-F.col("top.leader")).alias("a"), F.col("rep").alias("b")))
+        component = roots(confirmed(tried, texts, words).groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component")))
+
+        ends = cross_links(members, component, classes, texts, words).join(component.toDF("a", "of_a"), "a", "left").join(component.toDF("b", "of_b"), "b", "left")
+        merged = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        moved = component.join(merged.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+        component = cut(moved.unionByName(merged.join(moved, "node", "left_anti")))
+        discard(docs.sparkSession, written, kept=1)  # all but signatures, classes and components
 
     several = classes.where("copies > 1").select("set_hash", "rep")
     rows = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))

@@ -104,6 +104,11 @@ def packing(level: int, rule: str, capacities: tuple[int, ...], weights: tuple[f
     return pack
 
 
+def dealt(pieces: DataFrame, level: int, parts: int) -> DataFrame:
+    """pieces, a written table, with the __block of each; equal rows are told apart by their place, so that they spread as others do."""
+    return pieces.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
+
+
 def pack_pieces(pieces: DataFrame, rule: str = "norm", capacities: tuple[int, ...] = (LENGTH, MOST_DOCUMENTS, MOST_COST), weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """pieces with sequence_id and offset."""
     out, level = [], 1
@@ -114,8 +119,7 @@ def pack_pieces(pieces: DataFrame, rule: str = "norm", capacities: tuple[int, ..
     n = rest.count()
     while True:
         parts = max(1, -(-n // BLOCK))
-        blocked = rest.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(parts)))
-        packed = cut(blocked.groupBy("__block").applyInArrow(packing(level, rule, capacities, weights), PACKED))
+        packed = cut(dealt(rest, level, parts).groupBy("__block").applyInArrow(packing(level, rule, capacities, weights), PACKED))
         if parts == 1:
             out.append(packed.select(*out[0].columns))
             break

@@ -893,3 +893,62 @@ def test_secrets_are_whole(spark):
     assert 3 not in found
     scanned = [(r.doc_id, r.value) for r in secrets.scan(docs).where("is_secret").collect()]
     assert (0, f"{jwt}.{jwt}") in scanned and any(i == 1 for i, _ in scanned)
+
+
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    """30,000 equal rows do not meet in one group."""
+    ids = spark.range(30_000)
+    pieces = ids.selectExpr("1L doc_id", "0 piece", "0L start", "700L length", "5L ids_crc32")
+    most = [r["count"] for r in packing.dealt(pieces, 1, 4).groupBy("__block").count().collect()]
+    assert len(most) == 4 and max(most) < 9_000
+    packed = packing.pack_pieces(pieces)
+    assert packed.select("sequence_id").distinct().count() == 15_000 and packed.agg(F.max("offset")).first()[0] == 700
+    rows = ids.selectExpr("cast(null as long) doc_id", "5L size", "'a' source", "30000L n_sized", "0.5D p")
+    most = [r["count"] for r in mixing.dealt(mixing.told_apart(rows), 0).groupBy("__block").count().collect()]
+    assert len(most) == 8 and max(most) < 5_000
+    docs = ids.selectExpr("cast(null as long) doc_id", "'one two three' text", "'a' source").unionByName(ids.selectExpr("id doc_id", "'one two' text", "'b' source"))
+    found = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in found)
+    one = mixing.mix(docs).groupBy("doc_id", "copies").count().collect()
+    assert set(one) == set(mixing.mix(docs.repartition(7)).groupBy("doc_id", "copies").count().collect())
+
+
+def test_three_at_once(spark, data):
+    """Runs side by side in threads of one driver do not delete each other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = table(spark, data, "documents")
+    want = set(near_dup.linked(docs, 2).collect())
+    with ThreadPoolExecutor(3) as pool:
+        for found in pool.map(lambda _: set(near_dup.linked(docs, 2).collect()), range(3)):
+            assert found == want
+
+
+ELSEWHERE = """
+import os, sys
+repository, folder, data, *names = sys.argv[1:]
+sys.path.insert(0, repository)
+from pyspark.sql import SparkSession
+b = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
+spark = b.config("spark.checkpoint.dir", folder + "/shared").config("spark.local.dir", folder + "/local").config("spark.sql.warehouse.dir", folder + "/warehouse").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+import __spark_entry__
+queries = __spark_entry__.queries()
+for name in names or [n for n in queries if n == "pipeline" or n.startswith("op")]:
+    print("ROWS", name, queries[name](spark, data).count(), flush=True)
+"""
+
+
+def test_workers_need_no_copy_of_the_package(data, tmp_path):
+    """The driver alone has the package on its path: it starts in another folder, and workers get no path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import __spark_entry__
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", ELSEWHERE, str(Path(__spark_entry__.__file__).parent), str(tmp_path), data], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    rows = {line.split()[1] for line in run.stdout.splitlines() if line.startswith("ROWS")}
+    assert rows == {n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")}, run.stderr[-2000:]
