@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import exact_dedup, mixing, near_dup, packing, quality
-from lexiloom.llm.common import Sieve, cut, discard, table, tables_written, text_of, without
+from lexiloom.llm.common import Sieve, cut, discard, table, tables_of, text_of, without
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE = 5
@@ -34,7 +34,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier takes as good; it learns from the labels of rows that are not held out."""
     weights = quality.quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, "__score").where(F.col("__score") >= quality.GOOD).drop("__score")
+    name = next(c for c in ("__score", *(f"__score{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
+    return quality.score(docs, weights, name).where(F.col(name) >= quality.GOOD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,9 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, first = table(spark, sf_dir, "documents"), tables_written()
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        discard(spark, first, tables_written() - 1)  # the next stage needs this one's output alone
-        first = tables_written() - 1
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with tables_of() as written:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+            discard(spark, written, kept=1)  # the next stage needs this one's output alone
+        return STAGES[-1][1](spark, docs, sf_dir)
