@@ -69,7 +69,7 @@ def ngrams_of(tokens: Column, least: int = 1, most: int = 5) -> Column:
     return F.flatten(F.array(*[of_length(n) for n in range(least, most + 1)]))
 
 
-def _counted(first: Column, last: Column) -> Column:
+def counted(first: Column, last: Column) -> Column:
     """The whole numbers from first to last; none if last is smaller."""
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))
 
@@ -77,9 +77,9 @@ def _counted(first: Column, last: Column) -> Column:
 def subsequences_of(tokens: Column, length: int) -> Column:
     """All order-keeping choices of `length` elements of an array, contiguous ones included, in the order of their places."""
     last = F.size(tokens) - 1
-    places = F.transform(_counted(F.lit(0), last), lambda i: F.array(i))
+    places = F.transform(counted(F.lit(0), last), lambda i: F.array(i))
     for _ in range(length - 1):
-        places = F.flatten(F.transform(places, lambda p: F.transform(_counted(F.element_at(p, -1) + 1, last), lambda j: F.array_append(p, j))))
+        places = F.flatten(F.transform(places, lambda p: F.transform(counted(F.element_at(p, -1) + 1, last), lambda j: F.array_append(p, j))))
     return F.transform(places, lambda p: F.transform(p, lambda i: F.get(tokens, i)))
 
 
@@ -94,15 +94,29 @@ def parts_of(tokens: Column, least: int = 1, choices: bool = False) -> Column:
     """
     size = F.size(tokens)
     if not choices:
-        runs = lambda n: F.transform(_counted(F.lit(1), size - n + 1), lambda i: F.slice(tokens, i, n))
-        return F.array_distinct(F.flatten(F.transform(_counted(F.lit(least), size - 1), runs)))
+        runs = lambda n: F.transform(counted(F.lit(1), size - n + 1), lambda i: F.slice(tokens, i, n))
+        return F.array_distinct(F.flatten(F.transform(counted(F.lit(least), size - 1), runs)))
     bit = lambda mask, i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
-    masks = _counted(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 2)
+    masks = counted(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 2)
     some = F.filter(masks, lambda m: F.bit_count(m) >= least)
     found = F.array_distinct(F.transform(some, lambda m: F.filter(tokens, lambda _, i: bit(m, i))))
     return F.when(size <= MOST_CHOSEN, found).otherwise(F.raise_error(F.lit(f"choices of more than {MOST_CHOSEN} elements")))
 
 
+def found_in(text: Column, pattern: str) -> Column:
+    """array<struct<start, text>>: the matches of a pattern, none of which is empty, with their places in code points from 0."""
+    none = F.expr("cast(array() as array<struct<start:int,text:string>>)")
+
+    def placed(p: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            start, hit = s["at"] + F.char_length(F.get(p["gaps"], k)), F.get(p["hits"], k)
+            return F.struct((start + F.char_length(hit)).alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), hit.alias("text"))).alias("out"))
+
+        return F.aggregate(counted(F.lit(0), F.size(p["hits"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    return named(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), placed)
+
+
 def tag_sequence(tags: Column) -> Column:
     return F.array_join(tags, "")
 

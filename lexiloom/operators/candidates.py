@@ -6,24 +6,19 @@ neighbours is contiguous and any step of more than one is a gap. The type of a c
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import reduce
-from itertools import product
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.measures import bridge_strength, pair_pmi
-from lexiloom.functions.text import parts_of
+from lexiloom.functions.text import counted, found_in, named, parts_of
 
 #: The three filters on tag sequences, for contiguous candidates and for coordinated ones.
 FILTERS = {"unsilo": "([na]|(ns)|(vn))+n", "simple": "[an]+n", "liberal": "[navrds]*n"}
 COORDINATED = {"unsilo": ("navs", "[navs]+n"), "simple": ("an", "[an]+n"), "liberal": ("navrds", "[navrds]+n")}
 #: Longest sentence searched for coordinations, and longest coordination.
 MOST_TOKENS, MOST_MATCH = 100, 14
-POSITION = "doc_id long, sent_id int, positions array<int>, term array<string>, tags string"
 
 
 def contiguous(annotated: DataFrame, tag_filter: str, min_n: int = 1, max_n: int = 5) -> DataFrame:
@@ -77,80 +72,96 @@ def bridges(pairs: DataFrame, model: DataFrame, total: DataFrame, least_strength
     return known.select("a", "b", "freq", strength.alias("strength")).where((F.col("strength") > least_strength) & (F.col("freq") >= least_freq))
 
 
-def paths(start: int, bridged: dict[int, list[int]], tags: str) -> Iterator[list[int]]:
-    """All ways from start: over any bridge, or to the next token; a way ends before a coordination, a comma or the end."""
-    open_ = [[start]]
-    while open_:
-        way = open_.pop()
-        last = way[-1]
-        open_ += [[*way, to] for to in bridged.get(last, ())]
-        if last + 1 >= len(tags) or tags[last + 1] in "c,":
-            yield way
-        else:
-            open_.append([*way, last + 1])
+def ways(start: Column, length: Column, edge: Callable[[Column, Column], Column], ends: Callable[[Column], Column]) -> Column:
+    """array<array<int>>: all ways from token `start` over edges, each of which leads to a later token, to a token where ways end.
 
+    Tokens are taken in order, and each gathers the ways of those that lead to it, so that only ways that exist are listed.
+    """
+    tokens = counted(start, length - 1)
+    none = F.expr("cast(array() as array<array<array<int>>>)")
+
+    def step(reached: Column, j: Column) -> Column:
+        before = F.filter(counted(start, j - 1), lambda i: edge(i, j))
+        longer = F.flatten(F.transform(before, lambda i: F.transform(F.get(reached, i - start), lambda w: F.array_append(w, j))))
+        return F.array_append(reached, F.when(j == start, F.array(F.array(j))).otherwise(longer))
+
+    gathered = F.aggregate(tokens, none, step)
+    return named(gathered, lambda g: F.flatten(F.transform(F.filter(tokens, ends), lambda j: F.get(g, j - start))))
+
+
+def letter(tags: Column, i: Column) -> Column:
+    return F.substring(tags, i + 1, F.lit(1))
+
+
+def ways_in(tags: Column, bridged: Column, start: Column, end: Column) -> Column:
+    """Ways from a token over any bridge (i, j) of bridged, or to the next token; one ends before a coordination, a comma or the end."""
+    stops = lambda i: (i + 1 >= end) | letter(tags, i + 1).isin("c", ",")
+    edge = lambda i, j: F.array_contains(bridged, F.struct(i.alias("i"), j.alias("j"))) | ((j == i + 1) & ~stops(i))
+    return ways(start, F.char_length(tags), edge, stops)
+
+
+def chunks(way: Column) -> Column:
+    """array<struct<s, e>>: the runs of neighbours of a way."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+
+    def step(out: Column, i: Column) -> Column:
+        last = F.element_at(out, -1)
+        grown = F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(last["s"].alias("s"), i.alias("e")))
+        return F.when((F.size(out) > 0) & (F.get(out, F.size(out) - 1)["e"] == i - 1), grown).otherwise(F.array_append(out, F.struct(i.alias("s"), i.alias("e"))))
+
+    return F.aggregate(way, none, step)
 
-def chunks(way: list[int]) -> list[list[int]]:
-    """Runs of neighbours."""
-    return reduce(lambda out, i: [*out[:-1], [*out[-1], i]] if out and i == out[-1][-1] + 1 else [*out, [i]], way, [])
 
+def bridges_itself(parts: Column, lemmas: Column, first: Column) -> Column:
+    """Whether a gap between parts repeats all words of the part before or after it. lemmas: those from token `first` on."""
+    words = lambda s, e: F.slice(lemmas, s - first + 1, F.greatest(F.lit(0), e - s + 1))
 
-def bridges_itself(parts: list[list[int]], lemmas: list[str]) -> bool:
-    """Whether a gap repeats all words of the chunk before or after it."""
-    for one, other in zip(parts[:-1], parts[1:], strict=True):
-        gap = set(lemmas[one[-1] + 1 : other[0]])
-        if set(lemmas[i] for i in one) <= gap or set(lemmas[i] for i in other) <= gap:
-            return True
-    return False
+    def repeats(k: Column) -> Column:
+        one, other = F.get(parts, k), F.get(parts, k + 1)
+        gap = words(one["e"] + 1, other["s"] - 1)
+        return (F.size(F.array_except(words(one["s"], one["e"]), gap)) == 0) | (F.size(F.array_except(words(other["s"], other["e"]), gap)) == 0)
 
+    return F.exists(counted(F.lit(0), F.size(parts) - 2), repeats)
 
-def discontinuous(ways, lemmas: list[str], tags: str, allowed) -> set[tuple[int, ...]]:
-    """The ways with a gap whose tags are allowed and that do not bridge their own words."""
-    found = set()
-    for way in ways:
-        parts = chunks(way)
-        if len(parts) > 1 and allowed("".join(tags[i] for i in way)) and not bridges_itself(parts, lemmas):
-            found.add(tuple(way))
-    return found
+
+def discontinuous(found: DataFrame, pattern: str) -> DataFrame:
+    """Candidates from found (doc_id, sent_id, at, term, tags, lemmas, first), one row a way: those with a gap whose tags match and that do not bridge their own words."""
+    parted = found.where(F.col("tags").rlike(pattern)).withColumn("parts", chunks(F.col("at"))).where(F.size("parts") > 1)
+    legal = parted.where(~bridges_itself(F.col("parts"), F.col("lemmas"), F.col("first")))
+    return legal.select("doc_id", "sent_id", F.col("at").alias("positions"), "term", "tags").distinct()
 
 
 def with_bridges(rows: DataFrame, pairs: Column, known: DataFrame) -> DataFrame:
-    """rows with bridged: array<struct<i, j>> of the pairs (i, j) of token numbers whose lemmas are a known bridge.
+    """rows (lemmas, ...) with bridged: array<struct<i, j>> of the pairs (i, j) of token numbers whose lemmas are a known bridge; rows without one are left out.
 
-    rows (doc_id, sent_id, first, lemmas, ...): lemmas from token `first` on; a row is named by its first four columns.
+    Rows are distinct, and travel with their pairs.
     """
-    key = ["doc_id", "sent_id", "first", "lemmas"]
-    asked = rows.select(*key, F.explode(pairs).alias("p")).select(*key, "p", F.get("lemmas", F.col("p.i")).alias("a"), F.get("lemmas", F.col("p.j")).alias("b"))
-    held = asked.join(known.select("a", "b"), ["a", "b"], "left_semi").groupBy(*key).agg(F.collect_set("p").alias("bridged"))
-    return rows.join(held, key)
+    asked = rows.select(F.struct(*rows.columns).alias("row"), F.explode(pairs).alias("p")).select("row", "p", F.get("row.lemmas", F.col("p.i")).alias("a"), F.get("row.lemmas", F.col("p.j")).alias("b"))
+    held = asked.join(known.select("a", "b"), ["a", "b"], "left_semi")
+    return held.groupBy("row").agg(F.collect_set("p").alias("bridged")).select("row.*", "bridged")
+
+
+def along(way: Column, values: Column) -> Column:
+    return F.transform(way, lambda i: F.get(values, i))
 
 
 def hypernyms(candidates: DataFrame, annotated: DataFrame, known: DataFrame, tag_filter: str) -> DataFrame:
-    """Discontinuous candidates within candidates of three tokens or more: tokens between two that are bridged drop out.
+    """Discontinuous candidates within candidates of three tokens or more, of any length: tokens between two that are bridged drop out.
 
-    candidates may be discontinuous themselves. known: the result of bridges over pairs_within.
+    candidates may be discontinuous themselves; only of these are the sentences looked up. known: the result of bridges over pairs_within.
     """
-    pattern = re.compile(FILTERS[tag_filter])
     rows = candidates.where(F.size("term") >= 3).select("doc_id", "sent_id", F.get("positions", F.lit(0)).alias("first"), F.col("term").alias("lemmas"), "positions", "tags").distinct()
-    whole = annotated.select("doc_id", "sent_id", F.col("lemmas").alias("sentence"))
-    asked = with_bridges(rows, pairs_within(F.col("lemmas")), known).join(whole, ["doc_id", "sent_id"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                lemmas, positions = list(r.lemmas), list(r.positions)
-                bridged: dict[int, list[int]] = {}
-                for p in r.bridged:
-                    bridged.setdefault(p["i"], []).append(p["j"])
-                for way in paths(0, bridged, r.tags):
-                    at = [positions[i] for i in way]
-                    parts = chunks(at)
-                    if len(parts) > 1 and pattern.match("".join(r.tags[i] for i in way)) and not bridges_itself(parts, list(r.sentence)):
-                        out.append((r.doc_id, r.sent_id, at, [lemmas[i] for i in way], "".join(r.tags[i] for i in way)))
-            yield pd.DataFrame(out, columns=["doc_id", "sent_id", "positions", "term", "tags"])
-
-    return asked.mapInPandas(run, POSITION).distinct()
+    asked = with_bridges(rows, pairs_within(F.col("lemmas")), known)
+    last = F.element_at("positions", -1)
+    whole = last - F.col("first") + 1 == F.size("positions")
+    near = asked.where(whole).withColumn("span", F.col("lemmas"))
+    sentences = annotated.select("doc_id", "sent_id", F.col("lemmas").alias("sentence"))
+    far = asked.where(~whole).join(sentences, ["doc_id", "sent_id"]).withColumn("span", F.slice("sentence", F.col("first") + 1, last - F.col("first") + 1)).select(*near.columns)
+    one = near.unionByName(far).select("*", F.explode(ways_in(F.col("tags"), F.col("bridged"), F.lit(0), F.char_length("tags"))).alias("way"))
+    placed = one.select(
+        "doc_id", "sent_id", "first", "span", along(F.col("way"), F.col("positions")).alias("at"), along(F.col("way"), F.col("lemmas")).alias("term"), F.array_join(F.transform("way", lambda i: letter(F.col("tags"), i)), "").alias("tags")
+    )
+    return discontinuous(placed.withColumnRenamed("span", "lemmas"), f"^(?:{FILTERS[tag_filter]})")
 
 
 def pairs_within(lemmas: Column) -> Column:
@@ -166,24 +177,31 @@ def neighbours(lemmas: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(lemmas) - 2), lambda i: F.struct(i.cast("int").alias("i"), (i + 1).cast("int").alias("j")))
 
 
-GROUP = re.compile("(.)((?:,[^,]+)*),?c(.)")
+#: Fixed value: a coordination's first member, its listed ones and its last.
+GROUP = "(.)((?:,[^,]+)*),?c(.)"
+
 
+def coordination_pairs(tags: Column, plural_first: Column) -> Column:
+    """array<struct<i, j>>: pairs of tokens that a coordination may join: what stands before it with its later members, and its earlier members with what follows.
 
-def coordination_pairs(tags: str, plural_first: list[bool]) -> set[tuple[int, int]]:
-    """Pairs of tokens that a coordination may join: what stands before it with its later members, and its earlier members with what follows."""
-    found = set()
-    for m in GROUP.finditer(tags):
-        first, last = m.start(1), m.start(3)
-        listed = [i for i in range(m.start(2), m.end(2)) if tags[i] != ","]
-        stop = tags.find("c", last + 1)
-        after = list(range(last + 1, len(tags))) if stop < 0 else [*range(last + 1, stop), stop + 1]
-        stop = tags.rfind("c", 0, first)
-        before = list(range(first)) if stop < 0 else [*range(stop + 1, first), stop - 1]
-        if not plural_first[first]:
-            found.update(product([first], after))
-        found.update(product(before, [last, *listed]))
-        found.update(product(listed, after))
-    return found
+    A first member that plural_first (array<boolean>) marks joins nothing that follows.
+    """
+    size = F.char_length(tags)
+    pairs = lambda a, b: F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))))
+
+    def joins(g: Column) -> Column:
+        first, last = g["start"], g["start"] + F.char_length(g["text"]) - 1
+        comma = (F.char_length(g["text"]) > 3) & (letter(tags, last - 2) == ",")
+        listed = F.filter(counted(first + 1, last - 2 - comma.cast("int")), lambda i: letter(tags, i) != ",")
+        next_ = F.call_function("locate", F.lit("c"), tags, last + 2) - 1  # -1 if there is none
+        after = F.when(next_ < 0, counted(last + 1, size - 1)).otherwise(F.array_append(counted(last + 1, next_ - 1), next_ + 1))
+        back = F.call_function("locate", F.lit("c"), F.reverse(F.substring(tags, F.lit(1), first)))
+        stop = first - back
+        before = F.when(back == 0, counted(F.lit(0), first - 1)).otherwise(F.array_append(counted(stop + 1, first - 1), stop - 1))
+        of_first = F.when(F.get(plural_first, first), F.expr("cast(array() as array<struct<i:int,j:int>>)")).otherwise(pairs(F.array(first), after))
+        return F.concat(of_first, pairs(before, F.concat(F.array(last), listed)), pairs(listed, after))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found_in(tags, GROUP), joins))))
 
 
 def coordination_pattern(letters: str) -> str:
@@ -193,46 +211,28 @@ def coordination_pattern(letters: str) -> str:
 
 def coordinations(annotated: DataFrame, tag_filter: str) -> DataFrame:
     """(doc_id, sent_id, first, lemmas, tags, pairs) of each coordination in sentences that are not too long."""
-    pattern = re.compile(coordination_pattern(COORDINATED[tag_filter][0]))
-    rows = annotated.where((F.size("words") <= MOST_TOKENS) & F.array_contains("tags", "c")).select("doc_id", "sent_id", "words", "lemmas", F.array_join("tags", "").alias("tags"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                for m in pattern.finditer(r.tags):
-                    if m.end() - m.start() <= MOST_MATCH:
-                        plural = [r.tags[i] == "n" and r.words[i] != r.lemmas[i] for i in range(m.start(), m.end())]
-                        pairs = [{"i": i, "j": j} for i, j in sorted(coordination_pairs(m[0], plural))]
-                        out.append((r.doc_id, r.sent_id, m.start(), list(r.lemmas[m.start() : m.end()]), m[0], pairs))
-            yield pd.DataFrame(out, columns=["doc_id", "sent_id", "first", "lemmas", "tags", "pairs"])
-
-    return rows.mapInPandas(run, "doc_id long, sent_id int, first int, lemmas array<string>, tags string, pairs array<struct<i:int,j:int>>")
+    pattern = coordination_pattern(COORDINATED[tag_filter][0])
+    rows = annotated.where((F.size("words") <= MOST_TOKENS) & F.array_contains("tags", "c")).select("doc_id", "sent_id", "words", "lemmas", F.explode(found_in(F.array_join("tags", ""), pattern)).alias("m"))
+    some = rows.where(F.char_length("m.text") <= MOST_MATCH)
+    own = lambda c: F.slice(c, F.col("m.start") + 1, F.char_length("m.text"))
+    placed = some.select("doc_id", "sent_id", F.col("m.start").alias("first"), own("words").alias("words"), own("lemmas").alias("lemmas"), F.col("m.text").alias("tags"))
+    plural = F.transform("words", lambda w, i: (w != F.get("lemmas", i)) & (letter(F.col("tags"), i) == "n"))
+    return placed.select("doc_id", "sent_id", "first", "lemmas", "tags", coordination_pairs(F.col("tags"), plural).alias("pairs"))
 
 
 def coordinated(found: DataFrame, known: DataFrame, tag_filter: str) -> DataFrame:
     """Discontinuous candidates of coordinations: ways over the known bridges through every coordination of four tokens or more within."""
     letters, concept = COORDINATED[tag_filter]
-    whole, allowed = re.compile(coordination_pattern(letters)), re.compile(concept)
-    asked = with_bridges(found, F.col("pairs"), known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                bridged: dict[int, list[int]] = {}
-                for p in r.bridged:
-                    bridged.setdefault(p["i"], []).append(p["j"])
-                lemmas, tags, kept = list(r.lemmas), r.tags, set()
-                for start in range(len(tags) - 3):
-                    for end in range(start + 4, len(tags) + 1):
-                        if whole.fullmatch(tags, start, end):
-                            ways = (w for w in paths(start, bridged, tags[:end]))
-                            kept |= discontinuous(ways, lemmas, tags, allowed.fullmatch)
-                out += [(r.doc_id, r.sent_id, [r.first + i for i in way], [lemmas[i] for i in way], "".join(tags[i] for i in way)) for way in sorted(kept)]
-            yield pd.DataFrame(out, columns=["doc_id", "sent_id", "positions", "term", "tags"])
-
-    return asked.mapInPandas(run, POSITION).distinct()
+    whole = f"^(?:{coordination_pattern(letters)})$"
+    asked = with_bridges(found.distinct(), F.col("pairs"), known)
+    tags, size = F.col("tags"), F.char_length("tags")
+    within = F.flatten(F.transform(counted(F.lit(0), size - 4), lambda s: F.transform(counted(s + 4, size), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+    part = asked.select("*", F.explode(F.filter(within, lambda p: F.substring(tags, p["s"] + 1, p["e"] - p["s"]).rlike(whole))).alias("c"))
+    one = part.select("doc_id", "sent_id", "first", "lemmas", "tags", F.explode(ways_in(tags, F.col("bridged"), F.col("c.s"), F.col("c.e"))).alias("way"))
+    placed = one.select(
+        "doc_id", "sent_id", "first", "lemmas", F.transform("way", lambda i: i + F.col("first")).alias("at"), along(F.col("way"), F.col("lemmas")).alias("term"), F.array_join(F.transform("way", lambda i: letter(tags, i)), "").alias("tags")
+    )
+    return discontinuous(placed, f"^(?:{concept})$")
 
 
 def pair_lemmas(rows: DataFrame, pairs: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.functions.text import SENTENCE_END, TAG_RULES, TOKEN
-from lexiloom.operators.candidates import FILTERS
+from lexiloom.operators.candidates import COORDINATED, FILTERS, GROUP, coordination_pattern
 from lexiloom.operators.ranking import BLACKLIST, LEAST_GLOSSEX
 from lexiloom.plans.queries import KEYWORD, MIN_FREQ, RANKERS, SPAN, THRESHOLD
 
@@ -119,6 +119,74 @@ def _span_pieces(where: str) -> str:
 placed AS (SELECT *, (sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM pieces), spans AS (SELECT doc_id, e - length(word) AS start, e AS "end", word FROM placed WHERE regexp_matches(word, '^[\\p{{L}}\\p{{N}},]'))"""
 
 
+SENT = "sent AS MATERIALIZED (SELECT doc_id, sent_id, list(lemma ORDER BY tok_idx) AS l, list(word ORDER BY tok_idx) AS w, string_agg(tag, '' ORDER BY tok_idx) AS t FROM tok GROUP BY doc_id, sent_id)"
+
+
+def _strong(name: str, pairs: str) -> str:
+    """name(a, b, freq, strength): the lemma pairs that are strong enough as bridges."""
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT a, b, t.freq, ln((t.freq + 1.0) * ({N} + 1) / ((coalesce(x.freq, 0) + 1.0) * (coalesce(y.freq, 0) + 1))) + log10(t.freq) AS strength
+  FROM (SELECT DISTINCT a, b FROM {pairs}) JOIN model t ON t.n = 2 AND t.term = a || ' ' || b LEFT JOIN model x ON x.n = 1 AND x.term = a LEFT JOIN model y ON y.n = 1 AND y.term = b) WHERE strength > 1 AND freq >= 1)"""
+
+
+def _legal(at: str) -> str:
+    """Whether the places of a way have a gap, and none whose words repeat the run before or after it; l: the sentence's lemmas."""
+    run = lambda k, side: f"list_transform(list_filter({at}, lambda x, q: q {side} AND x - q = {at}[{k}] - ({k})), lambda x: l[x + 1])"
+    gap = f"l[{at}[k] + 2 : {at}[k + 1]]"
+    wide = f"{at}[k + 1] - {at}[k] > 1"
+    steps = f"range(1, len({at}))"
+    return f"len(list_filter({steps}, lambda k: {wide})) > 0 AND len(list_filter({steps}, lambda k: {wide} AND (list_has_all({gap}, {run('k', '<= k')}) OR list_has_all({gap}, {run('k + 1', '> k')})))) = 0"
+
+
+def _placed(name: str, source: str, text: str, pattern: str, kept: str) -> str:
+    """name(kept, m, at): the matches of a pattern with their places, as sums of what lies before."""
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda v: length(v))), 0)"
+    return f"""{name} AS (SELECT {kept}, h[k] AS m, ({size("g[1 : k]")} + {size("h[1 : k - 1]")})::INTEGER AS st
+  FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS h, string_split_regex({text}, '{pattern}') AS g FROM {source}), range(1, 101) z(k) WHERE k <= len(h))"""
+
+
+_CO, _CONCEPT = COORDINATED["simple"]
+_PATTERN = coordination_pattern(_CO)
+#: coord(doc_id, sent_id, pos, term, tags): ways over bridges through coordinations, by recursion from each start.
+COORD = f"""{SENT},
+{_placed("cm", "(SELECT * FROM sent WHERE len(l) <= 100 AND contains(t, 'c'))", "t", _PATTERN, "doc_id, sent_id, l, w")},
+co AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, sent_id, l, st AS first, m AS tags, length(m) AS n, l[st + 1 : st + length(m)] AS lem, w[st + 1 : st + length(m)] AS wd FROM cm WHERE length(m) <= 14),
+{_placed("gm", "co", "tags", GROUP, "id, tags, n, lem, wd")},
+gp AS (SELECT id, st AS a, st + length(m) - 1 AS z, substring(tags, st + 1, 1) = 'n' AND wd[st + 1] <> lem[st + 1] AS plural,
+  list_filter(range(st + 1, st + length(m) - 2 - CASE WHEN length(m) > 3 AND substring(m, length(m) - 2, 1) = ',' THEN 1 ELSE 0 END), lambda i: substring(tags, i + 1, 1) <> ',') AS listed,
+  n, instr(substring(tags, st + length(m) + 1), 'c') AS nx, instr(reverse(substring(tags, 1, st)), 'c') AS bk FROM gm),
+gr AS (SELECT id, a, z, plural, listed, CASE WHEN nx = 0 THEN range(z + 1, n) ELSE list_append(range(z + 1, z + nx), z + nx + 1) END AS behind, CASE WHEN bk = 0 THEN range(0, a) ELSE list_append(range(a - bk + 1, a), a - bk - 1) END AS ahead FROM gp),
+pr AS MATERIALIZED (SELECT DISTINCT id, i, j FROM (SELECT id, a AS i, unnest(behind) AS j FROM gr WHERE NOT plural UNION ALL SELECT id, i, unnest(list_append(listed, z)) FROM (SELECT *, unnest(ahead) AS i FROM gr)
+  UNION ALL SELECT id, i, unnest(behind) FROM (SELECT *, unnest(listed) AS i FROM gr))),
+cpairs AS (SELECT lem[i + 1] AS a, lem[j + 1] AS b FROM pr JOIN co USING (id)),
+{_strong("ck", "cpairs")},
+cb AS MATERIALIZED (SELECT id, i, j FROM pr JOIN co USING (id) JOIN ck ON lem[i + 1] = a AND lem[j + 1] = b),
+se AS MATERIALIZED (SELECT co.*, s, e FROM co, range(0, 11) x(s), range(4, 15) y(e) WHERE id IN (SELECT id FROM cb) AND e >= s + 4 AND e <= n AND regexp_full_match(substring(tags, s + 1, e - s), '{_PATTERN}')),
+nx AS MATERIALIZED (SELECT id, s, e, i, j FROM se JOIN cb USING (id) UNION SELECT id, s, e, i, i + 1 FROM se, range(0, 14) x(i) WHERE i >= s AND i + 1 < e AND substring(tags, i + 2, 1) NOT IN ('c', ',')),
+cway(id, s, e, way) AS (SELECT id, s, e, [s] FROM se UNION ALL SELECT w.id, w.s, w.e, list_append(way, j) FROM cway w JOIN nx ON nx.id = w.id AND nx.s = w.s AND nx.e = w.e AND nx.i = way[-1]),
+cdone AS (SELECT doc_id, sent_id, l, list_transform(way, lambda i: i + first) AS pos, array_to_string(list_transform(way, lambda i: lem[i + 1]), ' ') AS term, array_to_string(list_transform(way, lambda i: substring(tags, i + 1, 1)), '') AS wtags
+  FROM cway JOIN se USING (id, s, e) WHERE way[-1] + 1 >= e OR substring(tags, way[-1] + 2, 1) IN ('c', ',')),
+coord AS MATERIALIZED (SELECT DISTINCT doc_id, sent_id, pos, term, wtags AS tags FROM cdone WHERE regexp_full_match(wtags, '{_CONCEPT}') AND {_legal("pos")})"""
+#: hyper(doc_id, sent_id, pos, term, tags): ways over bridges through contiguous and coordinated candidates.
+HYPER = f"""{COORD},
+hc AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT doc_id, sent_id, pos, string_split(term, ' ') AS lem, tags FROM
+  (SELECT doc_id, sent_id, range(tok_idx, tok_idx + n) AS pos, term, tags FROM found UNION ALL SELECT * FROM coord)) WHERE len(lem) >= 3),
+hp AS MATERIALIZED (SELECT id, i, j, lem[i + 1] AS a, lem[j + 1] AS b FROM (SELECT *, unnest(range(i + 2, len(lem))) AS j FROM (SELECT *, unnest(range(0, len(lem) - 2)) AS i FROM hc))),
+{_strong("hk", "hp")},
+hb AS MATERIALIZED (SELECT id, i, j FROM hp JOIN hk USING (a, b)),
+hs AS MATERIALIZED (SELECT * FROM hc WHERE id IN (SELECT id FROM hb)),
+hn AS MATERIALIZED (SELECT * FROM hb UNION SELECT id, i, i + 1 FROM hs, range(0, 14) x(i) WHERE i + 1 < len(lem) AND substring(tags, i + 2, 1) NOT IN ('c', ',')),
+hway(id, way) AS (SELECT id, [0::BIGINT] FROM hs UNION ALL SELECT w.id, list_append(way, j) FROM hway w JOIN hn ON hn.id = w.id AND hn.i = way[-1]),
+hdone AS MATERIALIZED (SELECT DISTINCT doc_id, sent_id, list_transform(way, lambda i: pos[i + 1]) AS pos, array_to_string(list_transform(way, lambda i: lem[i + 1]), ' ') AS term, array_to_string(list_transform(way, lambda i: substring(tags, i + 1, 1)), '') AS wtags
+  FROM hway JOIN hs USING (id) WHERE way[-1] + 1 >= len(lem) OR substring(tags, way[-1] + 2, 1) IN ('c', ',')),
+hgap AS MATERIALIZED (SELECT * FROM hdone WHERE regexp_matches(wtags, '^(?:{FILTERS["simple"]})') AND pos[-1] - pos[1] >= len(pos)),
+hctx AS MATERIALIZED (SELECT hgap.*, l[pos[1] + 1 : pos[-1] + 1] AS l, list_transform(pos, lambda i: i - pos[1]) AS rel FROM hgap JOIN sent USING (doc_id, sent_id)),
+hyper AS MATERIALIZED (SELECT doc_id, sent_id, pos, term, wtags AS tags FROM hctx WHERE {_legal("rel")})"""
+
+
+def _as_disc(source: str, more: str = "") -> str:
+    return f"SELECT doc_id, sent_id::INTEGER AS sent_id, array_to_string(pos, ' ') AS positions, term, tags{more} FROM {source}"
+
+
 _SKIP = [("l1 || ' {*} ' || l3", 2, 3), ("l1 || ' {*} ' || l3 || ' ' || l4", 3, 4), ("l1 || ' ' || l2 || ' {*} ' || l4", 3, 4), ("l1 || ' {*} {*} ' || l4", 2, 4)]
 SKIPGRAMS = "skips AS (SELECT pattern, n_words, count(*) AS freq FROM (" + " UNION ALL ".join(f"SELECT {p} AS pattern, {k}::INTEGER AS n_words FROM tok_w WHERE l{n} IS NOT NULL" for p, k, n in _SKIP) + ") GROUP BY ALL HAVING count(*) >= 5)"
 _LABELLED = "lab AS (SELECT n_chars::DOUBLE AS v, quality = 1 AS flag, lang FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
@@ -181,6 +249,15 @@ SELECT *, {_pr()}, round((tp + fp_accounted) / (tp + fp)::DOUBLE, 6) AS correcte
     "bridges": f"""WITH {TARGET}, {_model(2)}, {_found(least=3)}, w AS (SELECT DISTINCT string_split(term, ' ') AS l FROM found), pairs AS (SELECT DISTINCT l[i] AS a, l[j] AS b FROM w, range(1, 6) x(i), range(1, 6) y(j) WHERE j >= i + 2 AND j <= len(l)),
 s AS (SELECT a, b, t.freq, ln((t.freq + 1.0) * ({N} + 1) / ((coalesce(x.freq, 0) + 1.0) * (coalesce(y.freq, 0) + 1))) + log10(t.freq) AS strength FROM pairs JOIN model t ON t.n = 2 AND t.term = a || ' ' || b LEFT JOIN model x ON x.n = 1 AND x.term = a LEFT JOIN model y ON y.n = 1 AND y.term = b)
 SELECT a, b, freq, round(strength, 6) AS strength FROM s WHERE strength > 1 AND freq >= 1""",
+    "coord_dcs": f"WITH RECURSIVE {TARGET}, {_model(2)}, {COORD} {_as_disc('coord')}",
+    "hypernym_dcs": f"WITH RECURSIVE {TARGET}, {_model(2)}, {_found()}, {HYPER} {_as_disc('hyper')}",
+    "extraction_run": f"""WITH RECURSIVE {METRICS}, {LIST}, {HYPER},
+ever AS (SELECT doc_id, sent_id, range(tok_idx, tok_idx + n) AS pos, term, tags FROM found UNION SELECT * FROM coord UNION SELECT * FROM hyper),
+acc AS (SELECT * FROM ever WHERE term IN (SELECT term FROM metrics WHERE {_HELD} = 4) OR term IN (SELECT term FROM lst)) {_as_disc('acc')}""",
+    "dc_ranking": f"""WITH RECURSIVE {VOTED}, {COORD}, rk AS (SELECT term, {" + ".join(f"1.0::DOUBLE / rank_{r}" for r in RANKERS)} AS raw FROM ranks), dt AS (SELECT *, string_split(term, ' ') AS lem FROM coord),
+de AS (SELECT lem[i] AS a, lem[i + 1] AS b FROM dt, range(1, 14) x(i) WHERE i < len(lem)), {_strong("dk", "de")},
+dg AS (SELECT *, list_filter(range(1, len(pos)), lambda k: pos[k + 1] - pos[k] > 1)[1] AS k FROM dt),
+dr AS (SELECT dg.*, round(coalesce(raw, 0.0), 6) AS vote, round(dk.strength, 6) AS strength FROM dg LEFT JOIN rk USING (term) LEFT JOIN dk ON dk.a = lem[k] AND dk.b = lem[k + 1]) {_as_disc('dr', ', vote, strength')}""",
     "skipgram_counts": f"WITH {TARGET}, {SKIPGRAMS} SELECT * FROM skips",
     "skipgram_freq": f"WITH {TARGET}, {_model(2, 5)}, {SKIPGRAMS}, s AS (SELECT replace(pattern, ' {{*}}', '') AS term, sum(freq) AS f FROM skips WHERE n_words = 2 GROUP BY 1) SELECT term, n::INTEGER AS n, freq, (freq + coalesce(f, 0))::BIGINT AS skip_freq FROM model LEFT JOIN s USING (term) WHERE n = 2",
     "subsequences": f"WITH {TARGET}, {_found(least=3)}, w AS (SELECT string_split(term, ' ') AS l FROM found) SELECT l[i] || ' ' || l[j] AS term, count(*) AS freq FROM w, range(1, 6) x(i), range(1, 6) y(j) WHERE j > i AND j <= len(l) GROUP BY 1",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import measures
-from lexiloom.functions.text import ngrams_of, subsequences_of, tag_letter
+from lexiloom.functions.text import found_in, ngrams_of, subsequences_of, tag_letter
 from lexiloom.operators import annotate, candidates, evaluation, ngrams, ranking, statistics, termhood
 
 
@@ -143,36 +143,74 @@ def plain_paths(prefix, bridged, tags):
     return out + plain_paths([*prefix, last + 1], bridged, tags)
 
 
-def test_paths_match_recursion():
+def test_paths_match_recursion(spark):
     draw = random.Random(4)
-    for _ in range(300):
+    rows = []
+    for k in range(300):
         n = draw.randint(1, 9)
         tags = "".join(draw.choice("aannc,") for _ in range(n))
         bridged = {}
         for i, j in combinations(range(n), 2):
             if draw.random() < 0.15:
                 bridged.setdefault(i, []).append(j)
-        assert sorted(candidates.paths(0, bridged, tags)) == sorted(plain_paths([0], bridged, tags))
+        start, end = (0, n) if k % 2 else (draw.randrange(n), draw.randint(1, n))
+        rows.append((tags, [(i, j) for i, to in bridged.items() for j in to], start, max(start + 1, end)))
+    df = spark.createDataFrame(rows, "tags string, bridged array<struct<i:int,j:int>>, s int, e int")
+    for r in df.withColumn("ways", candidates.ways_in(F.col("tags"), F.col("bridged"), F.col("s"), F.col("e"))).collect():
+        bridged = {}
+        for i, j in r.bridged:
+            bridged.setdefault(i, []).append(j)
+        want = {tuple(w) for w in plain_paths([r.s], bridged, r.tags[: r.e])}
+        assert {tuple(w) for w in r.ways} == want and len(r.ways) == len(want)
+
+
+def test_long_ways_without_listing_all_choices(spark):
+    """A way through sixty tokens and one bridge: two ways, not two to the power of sixty."""
+    tags = "n" * 60
+    row = spark.createDataFrame([(tags, [(3, 50)])], "tags string, bridged array<struct<i:int,j:int>>")
+    got = row.select(candidates.ways_in(F.col("tags"), F.col("bridged"), F.lit(0), F.lit(60)).alias("w")).first().w
+    assert sorted(got) == sorted([list(range(60)), [*range(4), *range(50, 60)]])
 
 
 @pytest.mark.parametrize("letters", ["an", "navs", "navrds"])
-def test_linear_pattern_finds_the_same_spans(letters):
+def test_linear_pattern_finds_the_same_spans(spark, letters):
     plain = re.compile(f"(([{letters}]+,?)+c[{letters}])+[{letters}]*")
-    linear = re.compile(candidates.coordination_pattern(letters))
+    linear = candidates.coordination_pattern(letters)
     draw = random.Random(7)
-    for _ in range(4000):
-        s = "".join(draw.choice("aannc,pc") for _ in range(draw.randint(0, 11)))
-        assert [m.span() for m in plain.finditer(s)] == [m.span() for m in linear.finditer(s)]
-
-
-def test_coordination_pairs():
-    # a c a n: the first joins what follows the last
-    assert candidates.coordination_pairs("acan", [False] * 4) == {(0, 3)}
-    # n n c n: what stands before the first joins the last
-    assert candidates.coordination_pairs("nncn", [False] * 4) == {(0, 3)}
-    assert candidates.coordination_pairs("nncn", [False, True, False, False]) == {(0, 3)}
-    # a,a,can: every member joins what follows
-    assert candidates.coordination_pairs("a,a,can", [False] * 7) == {(0, 6), (2, 6)}
+    texts = ["".join(draw.choice("aannc,pc") for _ in range(draw.randint(0, 11))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", found_in(F.col("t"), linear).alias("m"))
+    for r in df.collect():
+        want = [m.span() for m in plain.finditer(r.t)]
+        assert want == [m.span() for m in re.finditer(linear, r.t)]
+        assert want == [(m.start, m.start + len(m.text)) for m in r.m]
+
+
+def plain_pairs(tags, plural_first):
+    found = set()
+    for m in re.finditer(candidates.GROUP, tags):
+        first, last = m.start(1), m.start(3)
+        listed = [i for i in range(m.start(2), m.end(2)) if tags[i] != ","]
+        stop = tags.find("c", last + 1)
+        after = list(range(last + 1, len(tags))) if stop < 0 else [*range(last + 1, stop), stop + 1]
+        stop = tags.rfind("c", 0, first)
+        before = list(range(first)) if stop < 0 else [*range(stop + 1, first), stop - 1]
+        if not plural_first[first]:
+            found.update((first, j) for j in after)
+        found.update((i, j) for i in before for j in [last, *listed])
+        found.update((i, j) for i in listed for j in after)
+    return found
+
+
+def test_coordination_pairs(spark):
+    cases = {"acan": {(0, 3)}, "nncn": {(0, 3)}, "a,a,can": {(0, 6), (2, 6)}}
+    for tags, want in cases.items():
+        assert plain_pairs(tags, [False] * len(tags)) == want
+    assert plain_pairs("nncn", [False, True, False, False]) == {(0, 3)}
+    draw = random.Random(9)
+    rows = [(t, [draw.random() < 0.2 for _ in t]) for t in [*cases, *("".join(draw.choice("aannc,c") for _ in range(draw.randint(1, 14))) for _ in range(1500))]]
+    df = spark.createDataFrame(rows, "tags string, plural array<boolean>")
+    for r in df.select("*", candidates.coordination_pairs(F.col("tags"), F.col("plural")).alias("pairs")).collect():
+        assert {tuple(p) for p in r.pairs} == plain_pairs(r.tags, r.plural)
 
 
 def known(spark, pairs):
@@ -196,9 +234,14 @@ def test_hypernyms(spark):
     assert sorted(tuple(r.positions) for r in got) == [(0, 2), (0, 2, 3)]
 
 
-def test_illegal_bridges():
-    assert candidates.bridges_itself([[0], [4]], ["t", "x", "and", "t", "line"])
-    assert not candidates.bridges_itself([[0], [3]], ["nk", "and", "t", "cell"])
+def test_illegal_bridges(spark):
+    def illegal(way, lemmas, first=0):
+        at, words = F.array(*[F.lit(i) for i in way]), F.array(*[F.lit(w) for w in lemmas])
+        return one(spark, candidates.bridges_itself(candidates.chunks(at), words, F.lit(first)))
+
+    assert illegal([0, 4], ["t", "x", "and", "t", "line"])
+    assert not illegal([0, 3], ["nk", "and", "t", "cell"])
+    assert illegal([7, 8, 12], ["a", "b", "b", "c", "a", "d"], 7) and not illegal([7, 8, 11], ["a", "b", "b", "c", "d"], 7)
 
 
 def test_streaming_counts(spark, tmp_path):
