@@ -5,7 +5,7 @@ from __future__ import annotations
 from lexiloom.functions.text import SENTENCE_END, TAG_RULES, TOKEN
 from lexiloom.operators.candidates import COORDINATED, FILTERS, GROUP, coordination_pattern
 from lexiloom.operators.ranking import BLACKLIST, LEAST_GLOSSEX
-from lexiloom.plans.queries import KEYWORD, MIN_FREQ, RANKERS, SPAN, THRESHOLD
+from lexiloom.plans.queries import CONFIGURATIONS, KEYWORD, MIN_FREQ, RANKERS, SPAN, THRESHOLD
 
 _TAG = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{t}'" for t, p in TAG_RULES) + " ELSE 'n' END"
 _LEMMA = """CASE WHEN regexp_matches(word, '[^aeiou]ies$') AND length(word) > 4 THEN regexp_replace(word, 'ies$', 'y')
@@ -43,8 +43,8 @@ def _model(most: int, least_freq: int = MIN_FREQ, name: str = "model", runs: str
     return f"{_runs(runs, words, 1, most)}, {name} AS MATERIALIZED (SELECT term, n, count(*) AS freq FROM {runs} GROUP BY term, n HAVING count(*) >= {least_freq})"
 
 
-def _found(tag_filter: str = "simple", least: int = 2) -> str:
-    return f"{_runs('cruns', 'tok_w', least, 5)}, found AS MATERIALIZED (SELECT * FROM cruns WHERE regexp_full_match(tags, '{FILTERS[tag_filter]}'))"
+def _found(tag_filter: str = "simple", least: int = 2, name: str = "found", runs: str = "cruns") -> str:
+    return f"{_runs(runs, 'tok_w', least, 5)}, {name} AS MATERIALIZED (SELECT * FROM {runs} WHERE regexp_full_match(tags, '{FILTERS[tag_filter]}'))"
 
 
 TYPES = "types AS MATERIALIZED (SELECT term, n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM found GROUP BY term, n)"
@@ -192,7 +192,37 @@ SKIPGRAMS = "skips AS (SELECT pattern, n_words, count(*) AS freq FROM (" + " UNI
 _LABELLED = "lab AS (SELECT n_chars::DOUBLE AS v, quality = 1 AS flag, lang FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 _Q = [("q0", 0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1)]
 
+def _side(prefix: str, where: str, types: bool = False) -> str:
+    """The five figures of a part of the results table."""
+    p, g = ("final", "is_gold") if types else ("taken AND is_cand", "is_gold")
+    tp, fp, fn = f"count(*) FILTER ({where} AND {p} AND {g})", f"count(*) FILTER ({where} AND {p} AND NOT {g})", f"count(*) FILTER ({where} AND NOT ({p}) AND {g})"
+    ok = f"count(*) FILTER ({where} AND {p} AND NOT {g} AND fp_ok)"
+    lost = f"count(*) FILTER ({where} AND NOT ({p}) AND {g} AND fn_ok)"
+    ratio = lambda a, b, n: f"round(coalesce(({a}) / nullif({b}, 0)::DOUBLE, 0), 6) AS {prefix}_{n}"
+    return ", ".join([ratio(tp, f"{tp} + {fp}", "prec"), ratio(f"{tp} + {ok}", f"{tp} + {fp}", "corr_prec"), ratio(tp, f"{tp} + {fn}", "recall"), ratio(tp, f"{tp} + {fn} - {lost}", "corr_recall"), f"({tp} + {fp})::BIGINT AS {prefix}_n_concepts"])
+
+
+RESULTS = f"""WITH RECURSIVE {METRICS}, {LIST}, {COORD}, {_found("liberal", 2, "wide", "wruns")},
+conf(freq_threshold, c_value_threshold, glossex_threshold) AS (SELECT a::INTEGER, b::DOUBLE, c::DOUBLE FROM (VALUES {", ".join(str(c) for c in CONFIGURATIONS)}) v(a, b, c)),
+lab AS (SELECT DISTINCT doc_id FROM labels WHERE quality IS NOT NULL), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+inst AS (SELECT doc_id, sent_id, range(tok_idx, tok_idx + n) AS pos, term, tags, false AS d FROM found SEMI JOIN lab USING (doc_id) UNION SELECT doc_id, sent_id, pos, term, tags, true FROM coord SEMI JOIN lab USING (doc_id)),
+gld AS (SELECT doc_id, sent_id, range(tok_idx, tok_idx + n) AS pos, term, tags, false AS d FROM wide SEMI JOIN good USING (doc_id) UNION SELECT doc_id, sent_id, pos, term, tags, true FROM coord SEMI JOIN good USING (doc_id)),
+gcount AS MATERIALIZED (SELECT term, count(*) AS gf FROM gld GROUP BY term),
+both_ AS MATERIALIZED (SELECT coalesce(i.term, g.term) AS term, coalesce(i.tags, g.tags) AS tags, coalesce(i.d, g.d) AS d, i.doc_id IS NOT NULL AS is_cand, g.doc_id IS NOT NULL AS is_gold
+  FROM inst i FULL JOIN gld g ON i.doc_id = g.doc_id AND i.sent_id = g.sent_id AND i.pos = g.pos AND i.d = g.d AND i.term = g.term),
+fin AS (SELECT conf.*, term FROM metrics, conf WHERE c_value >= c_value_threshold AND rect_freq >= freq_threshold AND glossex >= glossex_threshold AND {_PREDICATES[3]}),
+flags AS (SELECT conf.*, b.d, is_cand, is_gold, f.term IS NOT NULL OR b.term IN (SELECT term FROM lst) AS taken, gf IS NOT NULL OR b.term IN (SELECT term FROM lst) AS fp_ok,
+  len(string_split(b.term, ' ')) > 5 OR NOT regexp_matches(b.tags, '^(?:.+n)') OR coalesce(gf, 0) BETWEEN 1 AND conf.freq_threshold - 1 AS fn_ok
+  FROM both_ b CROSS JOIN conf LEFT JOIN fin f ON f.term = b.term AND (f.freq_threshold, f.c_value_threshold, f.glossex_threshold) = (conf.freq_threshold, conf.c_value_threshold, conf.glossex_threshold) LEFT JOIN gcount ON gcount.term = b.term),
+every AS (SELECT term FROM metrics UNION SELECT term FROM gcount),
+tflags AS (SELECT conf.*, f.term IS NOT NULL AS final, gf IS NOT NULL AS is_gold, e.term IN (SELECT term FROM lst) AS fp_ok, len(string_split(e.term, ' ')) > 5 OR coalesce(gf, 0) BETWEEN 1 AND conf.freq_threshold - 1 AS fn_ok
+  FROM every e CROSS JOIN conf LEFT JOIN fin f ON f.term = e.term AND (f.freq_threshold, f.c_value_threshold, f.glossex_threshold) = (conf.freq_threshold, conf.c_value_threshold, conf.glossex_threshold) LEFT JOIN gcount ON gcount.term = e.term),
+one AS (SELECT freq_threshold, c_value_threshold, glossex_threshold, {_side("all", "true")}, {_side("dc", "d")} FROM flags GROUP BY ALL),
+two AS (SELECT freq_threshold, c_value_threshold, glossex_threshold, {_side("types", "true", True)} FROM tflags GROUP BY ALL)
+SELECT * FROM one JOIN two USING (freq_threshold, c_value_threshold, glossex_threshold)"""
+
 ORACLE = {
+    "results_table": RESULTS,
     "sentences": f"WITH {TARGET} SELECT doc_id, sent_id::INTEGER AS sent_id, string_agg(word, ' ' ORDER BY tok_idx) AS words, string_agg(tag, '' ORDER BY tok_idx) AS tags, string_agg(lemma, ' ' ORDER BY tok_idx) AS lemmas FROM tok GROUP BY doc_id, sent_id",
     "tokens": f"WITH {TARGET} SELECT doc_id, sent_id::INTEGER AS sent_id, tok_idx::INTEGER AS tok_idx, word, tag, lemma FROM tok",
     "pos_dist": f"WITH {TARGET} SELECT tag, count(*) AS n, min(word) AS example, round(100 * count(*) / (SELECT count(*) FROM tok)::DOUBLE, 2) AS percent FROM tok GROUP BY tag",

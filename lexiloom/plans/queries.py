@@ -399,6 +399,23 @@ def dc_ranking(spark, d):
     return _disc(scored, F.round("vote", 6).alias("vote"), F.round("strength", 6).alias("strength"))
 
 
+#: (least rectified frequency, least C-value, least mean log weirdness) of the configurations that are compared.
+CONFIGURATIONS = [(1, 2.0, 1.5), (2, 2.0, 1.5), (4, 2.0, 1.5), (2, 4.0, 1.5), (2, 2.0, 0.5), (2, 0.0, -9.0)]
+
+
+def results_table(spark, d):
+    """Configurations side by side: candidates in labelled documents against liberal and coordinated ones in good documents."""
+    labels = table(spark, d, "labels").where("quality is not null")
+    sents = annotated(spark, d)
+    coord = written(_coordinated(spark, d, sents)).withColumn("is_disc", F.lit(True))
+    labelled, good = labels.select("doc_id").distinct(), labels.where("quality = 1").select("doc_id").distinct()
+    within = lambda df, docs: df.join(docs, "doc_id", "left_semi")
+    runs = lambda docs, tag_filter: candidates.contiguous(within(sents, docs), tag_filter, 2).withColumn("is_disc", F.lit(False))
+    instances, gold = runs(labelled, FILTER).unionByName(within(coord, labelled)), runs(good, "liberal").unionByName(within(coord, good))
+    rows = spark.createDataFrame(CONFIGURATIONS, "freq_threshold int, c_value_threshold double, glossex_threshold double")
+    return joined(evaluation.results_table(instances, gold, _metrics(spark, d, sents), term_list(spark, d), rows))
+
+
 def docs_by_candidates(spark, d):
     return candidates.contiguous(target(spark, d), FILTER, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -435,7 +452,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_value_skips, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        c_value_skips, results_table, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )
