@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import SENTENCE_END, TOKEN, placed_tokens, rule_lemma, rule_tag
+from lexiloom.functions.text import SENTENCE_END, TOKEN, named, placed_tokens, rule_lemma, rule_tag, running_sums
 
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,6 +40,18 @@ def token_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *ke
     return words.select("doc_id", "tok", start.alias("start"), (start + F.char_length("t.word")).alias("end"), "t.word", *kept)
 
 
+def pieces(docs: DataFrame, separator: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, piece, start, end): what lies between the separators of a text, in code points, without empty pieces; piece counts all from 0."""
+    parts, between = F.split(F.col(text), separator, -1), F.regexp_extract_all(text, F.lit(separator), F.lit(0))
+
+    def spans(x: Column) -> Column:
+        whole = F.transform(x["parts"], lambda p, i: F.char_length(p) + F.coalesce(F.char_length(F.get(x["between"], i)), F.lit(0)))
+        return F.zip_with(running_sums(whole), x["parts"], lambda at, p: F.struct(at.cast("long").alias("start"), (at + F.char_length(p)).cast("long").alias("end")))
+
+    one = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(named(F.struct(parts.alias("parts"), between.alias("between")), spans)).alias("piece", "s"))
+    return one.select("doc_id", "piece", "s.start", "s.end").where("end > start")
+
+
 def normalized(annotated: DataFrame, column: str = "lemmas") -> DataFrame:
     """One line of text for each sentence, blanks within a token as underscores."""
     return annotated.select("doc_id", "sent_id", F.array_join(F.transform(column, lambda t: F.replace(t, F.lit(" "), F.lit("_"))), " ").alias("line"))

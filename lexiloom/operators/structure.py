@@ -6,10 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tag_letter
+from lexiloom.operators.intervals import nearest_enclosing
 
 #: Fixed value: brackets around a single token, which go.
 SINGLE = r"\(+(#?.)\)+"
@@ -27,14 +27,8 @@ def collapsed(tags: Column, patterns: tuple[str, ...] = COLLAPSERS) -> Column:
 
 
 def enclosing(spans: DataFrame, constituents: DataFrame) -> DataFrame:
-    """spans (doc_id, start, end) with the label and node_id of the nearest constituent that starts at or before and ends at or after; null if none.
-
-    Of several that start at one place the shortest is taken.
-    """
-    inner = constituents.select("doc_id", "node_id", "label", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    held = spans.join(inner, (spans["doc_id"] == inner["doc_id"]) & (F.col("__s") <= F.col("start")) & (F.col("__e") >= F.col("end")), "left").drop(inner["doc_id"])
-    order = W.partitionBy("doc_id", "start", "end").orderBy(F.desc("__s"), "__e", F.desc("node_id"))
-    return held.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r", "__s", "__e")
+    """spans (doc_id, start, end) with the label and node_id of the nearest constituent that encloses them; see intervals.nearest_enclosing."""
+    return nearest_enclosing(spans, constituents)
 
 
 def bracket_strings(constituents: DataFrame) -> DataFrame:

@@ -187,6 +187,17 @@ def _as_disc(source: str, more: str = "") -> str:
     return f"SELECT doc_id, sent_id::INTEGER AS sent_id, array_to_string(pos, ' ') AS positions, term, tags{more} FROM {source}"
 
 
+#: win(doc_id, a, b): places around the keyword.
+_WINDOWS = f"win AS (SELECT doc_id, greatest(0, start - 20) AS a, \"end\" + 20 AS b FROM spans WHERE word = '{KEYWORD}')"
+
+
+def _between(name: str, separator: str) -> str:
+    """name(doc_id, i, a, b): pieces between separators, i from 1, without empty ones."""
+    return f"""{name}_p AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t, x FROM (SELECT doc_id, string_split_regex(text, '{separator}') AS p, regexp_extract_all(text, '{separator}') AS x FROM documents WHERE lang = 'en')),
+{name}_s AS (SELECT doc_id, i, length(t) AS n, (sum(length(t) + coalesce(length(x[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - coalesce(length(x[i]), 0))::BIGINT AS a FROM {name}_p),
+{name} AS (SELECT doc_id, i, a, a + n AS b FROM {name}_s WHERE n > 0)"""
+
+
 _SKIP = [("l1 || ' {*} ' || l3", 2, 3), ("l1 || ' {*} ' || l3 || ' ' || l4", 3, 4), ("l1 || ' ' || l2 || ' {*} ' || l4", 3, 4), ("l1 || ' {*} {*} ' || l4", 2, 4)]
 SKIPGRAMS = "skips AS (SELECT pattern, n_words, count(*) AS freq FROM (" + " UNION ALL ".join(f"SELECT {p} AS pattern, {k}::INTEGER AS n_words FROM tok_w WHERE l{n} IS NOT NULL" for p, k, n in _SKIP) + ") GROUP BY ALL HAVING count(*) >= 5)"
 _LABELLED = "lab AS (SELECT n_chars::DOUBLE AS v, quality = 1 AS flag, lang FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
@@ -292,6 +303,10 @@ dr AS (SELECT dg.*, round(coalesce(raw, 0.0), 6) AS vote, round(dk.strength, 6)
     "skipgram_freq": f"WITH {TARGET}, {_model(2, 5)}, {SKIPGRAMS}, s AS (SELECT replace(pattern, ' {{*}}', '') AS term, sum(freq) AS f FROM skips WHERE n_words = 2 GROUP BY 1) SELECT term, n::INTEGER AS n, freq, (freq + coalesce(f, 0))::BIGINT AS skip_freq FROM model LEFT JOIN s USING (term) WHERE n = 2",
     "subsequences": f"WITH {TARGET}, {_found(least=3)}, w AS (SELECT string_split(term, ' ') AS l FROM found) SELECT l[i] || ' ' || l[j] AS term, count(*) AS freq FROM w, range(1, 6) x(i), range(1, 6) y(j) WHERE j > i AND j <= len(l) GROUP BY 1",
     "annotations_at": f"WITH {_span_pieces('')} SELECT * FROM spans WHERE (start >= {SPAN[0]} AND start < {SPAN[1]}) OR (\"end\" > {SPAN[0]} AND \"end\" <= {SPAN[1]})",
+    "overlaps": f"WITH {_span_pieces('')}, {_WINDOWS} SELECT v.doc_id, v.a AS start, v.b AS \"end\", s.start AS other_start, s.\"end\" AS other_end, word FROM win v JOIN spans s ON s.doc_id = v.doc_id AND s.start < v.b AND s.\"end\" > v.a AND NOT (s.start < v.a AND s.\"end\" > v.b)",
+    "nearest_enclosing": f"""WITH {_span_pieces('')}, {_WINDOWS}, {_between("ln", chr(10))}, {_between("sn", _END)},
+nodes AS (SELECT doc_id, 0 AS node_id, 'document' AS label, 0 AS a, length(text) AS b FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, i, 'line', a, b FROM ln UNION ALL SELECT doc_id, i + 999999, 'sentence', a, b FROM sn)
+SELECT v.doc_id, v.a AS start, v.b AS "end", arg_max(label, (x.a, -x.b, node_id)) AS label, arg_max(node_id, (x.a, -x.b, node_id))::INTEGER AS node_id FROM win v LEFT JOIN nodes x ON x.doc_id = v.doc_id AND x.a <= v.a AND x.b >= v.b GROUP BY v.doc_id, v.a, v.b""",
     "kwic": f"WITH {_span_pieces('')} SELECT doc_id, start, replace(substring(text, greatest(0, start - 20) + 1, start - greatest(0, start - 20)) || '[[' || word || ']]' || substring(text, \"end\" + 1, 20), chr(10), ' ') AS context FROM spans JOIN documents USING (doc_id) WHERE word = '{KEYWORD}'",
     "quantiles": f"SELECT lang, {', '.join(f'round(quantile_cont(n_chars::DOUBLE, {q}), 6) AS {n}' for n, q in _Q)} FROM documents GROUP BY lang",
     "iqr_filter": "WITH q AS (SELECT quantile_cont(n_chars::DOUBLE, 0.25) AS a, quantile_cont(n_chars::DOUBLE, 0.75) AS b FROM documents) SELECT doc_id, n_chars FROM documents, q WHERE n_chars > a - 1.5 * (b - a) AND n_chars < b + 1.5 * (b - a)",

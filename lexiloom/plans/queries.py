@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import measures
-from lexiloom.functions.text import in_context, meets_span, ngrams_of, subsequences_of
-from lexiloom.operators import annotate, candidates, evaluation, ngrams, ranking, statistics, termhood
+from lexiloom.functions.text import SENTENCE_END, in_context, meets_span, ngrams_of, subsequences_of
+from lexiloom.operators import annotate, candidates, evaluation, intervals, ngrams, ranking, statistics, termhood
 from lexiloom.plans import extraction
 from lexiloom.sources.tables import spread, table, written
 
@@ -329,6 +329,28 @@ def annotations_at(spark, d):
     return spans.where(meets_span(F.col("start"), F.col("end"), F.lit(SPAN[0]), F.lit(SPAN[1]))).select("doc_id", "start", "end", "word")
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty code points on either side of each keyword."""
+    docs = english(spark, d).where(F.col("text").contains(KEYWORD))
+    found = annotate.token_spans(docs).where(F.col("word") == KEYWORD)
+    return found.select("doc_id", F.greatest(F.lit(0), F.col("start") - 20).alias("start"), (F.col("end") + 20).alias("end"))
+
+
+def overlaps(spark, d):
+    """Tokens that begin or end within the windows around a keyword."""
+    found = intervals.overlaps(_windows(spark, d), annotate.token_spans(english(spark, d)).select("doc_id", "start", "end", "word"), enclosing=False)
+    return found.select("doc_id", "start", "end", "other_start", "other_end", F.col("other_word").alias("word"))
+
+
+def nearest_enclosing(spark, d):
+    """The sentence, line or document around each window, whichever is nearest."""
+    docs = english(spark, d)
+    node = lambda df, label, base: df.select("doc_id", (F.col("piece") + base).alias("node_id"), F.lit(label).alias("label"), "start", "end")
+    whole = docs.select("doc_id", F.lit(0).alias("node_id"), F.lit("document").alias("label"), F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end"))
+    nodes = whole.unionByName(node(annotate.pieces(docs, "\n"), "line", 1)).unionByName(node(annotate.pieces(docs, SENTENCE_END), "sentence", 1_000_000))
+    return intervals.nearest_enclosing(_windows(spark, d), nodes)
+
+
 def kwic(spark, d):
     docs = english(spark, d).where(F.col("text").contains(KEYWORD))
     found = annotate.token_spans(docs, "doc_id", "text", "text").where(F.col("word") == KEYWORD)
@@ -452,7 +474,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_value_skips, results_table, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        c_value_skips, results_table, overlaps, nearest_enclosing, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )
