@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiloom.functions.text import SENTENCE_END, TAG_RULES, TOKEN
 from lexiloom.operators.candidates import COORDINATED, FILTERS, GROUP, coordination_pattern
 from lexiloom.operators.ranking import BLACKLIST, LEAST_GLOSSEX
+from lexiloom.plans.readers import BROKEN
 from lexiloom.plans.queries import CONFIGURATIONS, KEYWORD, MIN_FREQ, RANKERS, SPAN, THRESHOLD
 
 _TAG = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{t}'" for t, p in TAG_RULES) + " ELSE 'n' END"
@@ -232,7 +233,37 @@ one AS (SELECT freq_threshold, c_value_threshold, glossex_threshold, {_side("all
 two AS (SELECT freq_threshold, c_value_threshold, glossex_threshold, {_side("types", "true", True)} FROM tflags GROUP BY ALL)
 SELECT * FROM one JOIN two USING (freq_threshold, c_value_threshold, glossex_threshold)"""
 
+#: put(id, sent_id, word, tag, a, b, o): tokens with their places, words parted by one sign; o, whether a token precedes. With glue commas lose that sign.
+def _put(glue: bool) -> str:
+    own = "(tag = ',' AND k > 1)::INT" if glue else "0"
+    return f"""put0 AS (SELECT doc_id::VARCHAR AS id, doc_id, sent_id, tok_idx, word, tag, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, tok_idx) AS k FROM tok),
+put AS (SELECT *, a0 + length(word) AS b, a0 AS a FROM (SELECT *, sum(length(word) + 1 - {own}) OVER (PARTITION BY id ORDER BY k) - length(word) - 1 AS a0, {own} AS g FROM put0))"""
+
+
+def _rows(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _row(kind: str, start: str = "a", end: str = "b", pos: str = "NULL", rest: str = "") -> str:
+    return f"SELECT id AS doc_id, '{kind}' AS kind, ({start})::INTEGER AS start, ({end})::INTEGER AS \"end\", {pos} AS pos FROM put {rest}"
+
+
+_SENTENCES = _row("sentence", "min(a)", "max(b)", rest="GROUP BY id, sent_id")
+_WHOLE = f"id::BIGINT % {BROKEN} <> 0"
+_LEMMAS = " || ' ' || ".join(f"(SELECT {_LEMMA} FROM (SELECT lower(w[{i}]) AS word))" for i in (1, 2))
+
 ORACLE = {
+    "reader_slashed": f"WITH {TARGET}, {_put(False)} {_rows(_SENTENCES, _row('token', pos='upper(tag)'))}",
+    "reader_inline": f"WITH {TARGET}, {_put(False)} {_rows(_row('sentence', 'min(a)', 'max(b)', rest=f'WHERE {_WHOLE} GROUP BY id, sent_id'), _row('token', pos='tag', rest=f'WHERE {_WHOLE}'), _row('concept', rest=f'WHERE tag = {chr(39)}n{chr(39)} AND {_WHOLE}'))} UNION ALL SELECT DISTINCT id, 'bad', NULL::INTEGER, NULL::INTEGER, 'ParseError' FROM put WHERE NOT ({_WHOLE})",
+    "reader_vertical": f"WITH {TARGET}, {_put(True)} {_rows(_row('sentence', 'min(a + g)', 'max(b)', rest='GROUP BY id, sent_id'), _row('token', pos='tag'), _row('concept', rest=f'WHERE tag = {chr(39)}n{chr(39)}'))}",
+    "reader_annotations": f"WITH {_span_pieces('')} SELECT doc_id::VARCHAR AS doc_id, 'Token' AS kind, start::INTEGER AS start, \"end\"::INTEGER AS \"end\", {_TAG} AS pos FROM (SELECT doc_id, start, \"end\", lower(word) AS word FROM spans)",
+    "reader_blocks": "SELECT doc_id || '_1' AS doc_id, length(t)::BIGINT AS n, md5(t) AS md5 FROM (SELECT doc_id, '<doc id=\"' || doc_id || '\">' || chr(10) || translate(coalesce(text, ''), '<>', '()') || chr(10) || '</doc>' AS t FROM documents)",
+    "reader_terms": f"""WITH b AS (SELECT * FROM (SELECT item_id, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 6),
+r AS (SELECT item_id, 3 AS line, lower(w[1] || ' ' || w[2]) AS term, lower(w[1] || ' ' || w[2]) AS main FROM b UNION ALL SELECT item_id, 3, {_LEMMAS}, lower(w[1] || ' ' || w[2]) FROM b
+  UNION ALL SELECT item_id, 4, lower(w[3] || ' ' || w[4]), lower(w[1] || ' ' || w[2]) FROM b UNION ALL SELECT item_id, 6, lower(w[5]), lower(w[1] || ' ' || w[2]) FROM b)
+SELECT term, arg_max(main, (item_id, line)) AS main FROM r GROUP BY term""",
+    "corpus_source": f"""WITH {TARGET}, c AS (SELECT doc_id, sum(length(word) + 1)::BIGINT - 1 AS n, count(*)::INTEGER AS tokens, count(DISTINCT sent_id) AS lines FROM tok GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % {BROKEN} <> 0 THEN n END AS n, CASE WHEN doc_id % {BROKEN} <> 0 THEN tokens END AS tokens, CASE WHEN doc_id % {BROKEN} = 0 THEN 'ValueError: line ' || lines || ' holds ''untagged'', which is no word/tag' END AS reason FROM c""",
     "results_table": RESULTS,
     "sentences": f"WITH {TARGET} SELECT doc_id, sent_id::INTEGER AS sent_id, string_agg(word, ' ' ORDER BY tok_idx) AS words, string_agg(tag, '' ORDER BY tok_idx) AS tags, string_agg(lemma, ' ' ORDER BY tok_idx) AS lemmas FROM tok GROUP BY doc_id, sent_id",
     "tokens": f"WITH {TARGET} SELECT doc_id, sent_id::INTEGER AS sent_id, tok_idx::INTEGER AS tok_idx, word, tag, lemma FROM tok",

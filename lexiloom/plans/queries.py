@@ -15,6 +15,7 @@ from lexiloom.functions import measures
 from lexiloom.functions.text import SENTENCE_END, in_context, meets_span, ngrams_of, subsequences_of
 from lexiloom.operators import annotate, candidates, evaluation, intervals, ngrams, ranking, statistics, termhood
 from lexiloom.plans import extraction
+from lexiloom.plans.readers import READERS
 from lexiloom.sources.tables import spread, table, written
 
 FILTER, MIN_FREQ, THRESHOLD = "simple", 2, 2.0
@@ -494,4 +495,5 @@ QUERIES = {
     "filter_any": _filtered("any"),
     "filter_majority": _filtered("majority"),
     "filter_at_least": _filtered("at_least", 3),
+    **READERS,
 }
