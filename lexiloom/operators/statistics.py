@@ -1,11 +1,14 @@
-"""Group statistics: shares, quantiles, outliers, and test statistics without p-values."""
+"""Group statistics: shares, quantiles, outliers, test statistics and their p-values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tails import f_tail, range_tail, t_tail, u_tail
 from lexiloom.operators.ranking import sums_before
+from lexiloom.sources.tables import written
 
 QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
@@ -17,9 +20,39 @@ def shares(df: DataFrame, keys: list[str], example: str) -> DataFrame:
     return grouped.crossJoin(F.broadcast(total)).withColumn("percent", F.round(100 * F.col("n") / F.col("__all"), 2)).drop("__all")
 
 
+def order_statistics(df: DataFrame, value: str, keys: list[str], fractions: list[float]) -> DataFrame:
+    """(keys, q): for each group the array of its quantiles with linear interpolation, as doubles; nulls are left out.
+
+    Exact, and no task holds a group. Equal values are added up, then dealt by ranges of group and value; the ranges' counts
+    alone tell which ranges hold the wanted ranks, and only those are put in order.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    parts = written(counted.repartitionByRange(*names, "__v").withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*names, "__part").agg(F.sum("__c").alias("__s"))  # one row for each range and group in it
+    group = W.partitionBy(*names) if names else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__s").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.select("*", before.alias("__before"), F.sum("__s").over(group).alias("__n"))
+    place = [F.lit(f) * (F.col("__n") - 1) for f in fractions]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), to(p).cast("long").alias("rank")) for i, p in enumerate(place) for side, to in (("low", F.floor), ("high", F.ceil))])
+    asked = placed.withColumn("__asked", F.filter(wanted, lambda w: (w["rank"] >= F.col("__before")) & (w["rank"] < F.col("__before") + F.col("__s")))).where(F.size("__asked") > 0)
+    other = asked.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("__part").alias("__there"), "__before", "__n", "__asked")
+    same = F.col("__part") == F.col("__there")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    upto = W.partitionBy(*names, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = parts.join(other, same).withColumn("__first", F.col("__before") + F.coalesce(F.sum("__c").over(upto), F.lit(0)))
+    hits = ranked.select(*names, "__v", "__n", F.explode(F.filter("__asked", lambda w: (w["rank"] >= F.col("__first")) & (w["rank"] < F.col("__first") + F.col("__c")))).alias("w"))
+    at = lambda i, side: F.max(F.when((F.col("w.i") == i) & (F.col("w.side") == side), F.col("__v")))
+    ends = hits.groupBy(*names).agg(F.max("__n").alias("__n"), *[at(i, side).alias(f"{side}{i}") for i in range(len(fractions)) for side in ("low", "high")])
+    share = [p - F.floor(p) for p in place]
+    found = F.array(*[F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * s for i, s in enumerate(share)])
+    return ends.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], found.alias("q"))
+
+
 def quantiles(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """(keys, q0, q25, q50, q75, q100) with linear interpolation."""
-    found = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in QUARTERS])).alias("q"))
+    found = order_statistics(df, value, list(keys), QUARTERS)
     return found.select(*keys, *[F.get("q", F.lit(i)).alias(f"q{int(100 * q)}") for i, q in enumerate(QUARTERS)])
 
 
@@ -73,7 +106,7 @@ def welch_anova(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row (w): equality of variances by distances from the groups' medians."""
-    medians = df.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
+    medians = order_statistics(df, value, [group], [0.5]).select(group, F.get("q", F.lit(0)).alias("__m"))
     far = df.join(medians, group).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
     m = moments(far, "__d", group)
     total = m.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
@@ -93,6 +126,21 @@ def tukey_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
     return pairs.select(F.col("a_g").alias("a"), F.col("b_g").alias("b"), diff.alias("diff"), se.alias("se"), (F.abs(diff) / se).alias("q"))
 
 
+def p_values(df: DataFrame, value: str, flag: str, group: str) -> DataFrame:
+    """(test, p): two-sided p-values of welch_t and mann_whitney_u between the rows with flag and those without, and of welch_anova over groups."""
+    t = welch_t(df, value, flag).select(F.lit("welch_t").alias("test"), t_tail(F.col("t"), F.col("df")).alias("p"))
+    u = mann_whitney_u(df, value, flag).select(F.lit("mwu_u").alias("test"), u_tail(F.col("u"), F.col("n1"), F.col("n2")).alias("p"))
+    f = welch_anova(df, value, group).select(F.lit("welch_anova").alias("test"), f_tail(F.col("f"), F.col("df1"), F.col("df2")).alias("p"))
+    return t.unionByName(u).unionByName(f)
+
+
+def tukey_p(df: DataFrame, value: str, group: str) -> DataFrame:
+    """tukey_pairs with p, the chance that the widest of as many groups lie as far apart."""
+    size = moments(df, value, group).agg(F.count(F.lit(1)).alias("__k"), F.sum(F.col("n") - 1).alias("__df"))
+    pairs = tukey_pairs(df, value, group).crossJoin(F.broadcast(size))
+    return pairs.withColumn("p", range_tail(F.col("q"), F.col("__k"), F.col("__df"))).drop("__k", "__df")
+
+
 def long_form(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     """(ids, measure, value): a row for each value column."""
     return df.unpivot([F.col(c) for c in ids], [F.col(c) for c in values], "measure", "value")

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tag_letter
 from lexiloom.operators.intervals import nearest_enclosing
+from lexiloom.operators.statistics import shares
 
 #: Fixed value: brackets around a single token, which go.
 SINGLE = r"\(+(#?.)\)+"
 #: Patterns of coordinated tag sequences, tried in this order.
 COLLAPSERS = (".c..", "..c.", "[^,c]+.c.", ".c.[^,c]+", "[^,c]+.c.[^,c]+", "([^,c]+,)+.+,?c.[^,c]*", "[^,c]*.c.(,[^,c]+)+", "[^c]+c[^c]+c[^c]+")
 
+#: Fixed value: the pattern of a concept's own tag sequence.
+CONCEPT_COLLAPSERS = ("(a|n)+n",)
+
 
 def collapsed(tags: Column, patterns: tuple[str, ...] = COLLAPSERS) -> Column:
     """The first pattern that matches a tag sequence in full, or the sequence."""
@@ -26,6 +30,21 @@ def collapsed(tags: Column, patterns: tuple[str, ...] = COLLAPSERS) -> Column:
     return out.otherwise(tags)
 
 
+def cross_counts(disc: DataFrame, annotated: DataFrame, fewer_than: int = 10) -> DataFrame:
+    """(concept, super, skip, n, percent, example): how often each triple of patterns occurs among discontinuous concepts of fewer tokens that span a coordination.
+
+    concept is the pattern of a concept's tags, super that of all it spans, and skip is what it spans with # for what it
+    leaves out. disc: (doc_id, sent_id, positions, tags, term). The example is the least text spanned.
+    """
+    sentences = annotated.select("doc_id", "sent_id", F.col("tags").alias("__tags"), "words")
+    some = disc.where(F.size("term") < fewer_than).join(sentences, ["doc_id", "sent_id"])
+    first = F.get("positions", F.lit(0))
+    own = lambda c: F.slice(c, first + 1, F.element_at("positions", -1) - first + 1)
+    skip = F.array_join(F.transform(own("__tags"), lambda t, i: F.when(F.array_contains("positions", i + first), t).otherwise("#")), "")
+    placed = some.select(F.col("tags").alias("own"), F.array_join(own("__tags"), "").alias("spanned"), skip.alias("skip"), F.array_join(own("words"), " ").alias("text")).where(F.contains("spanned", F.lit("c")))
+    return shares(placed.select(collapsed(F.col("own"), CONCEPT_COLLAPSERS).alias("concept"), collapsed(F.col("spanned")).alias("super"), "skip", "text"), ["concept", "super", "skip"], "text")
+
+
 def enclosing(spans: DataFrame, constituents: DataFrame) -> DataFrame:
     """spans (doc_id, start, end) with the label and node_id of the nearest constituent that encloses them; see intervals.nearest_enclosing."""
     return nearest_enclosing(spans, constituents)

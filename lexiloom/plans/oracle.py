@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiloom.functions.text import SENTENCE_END, TAG_RULES, TOKEN
 from lexiloom.operators.candidates import COORDINATED, FILTERS, GROUP, coordination_pattern
 from lexiloom.operators.ranking import BLACKLIST, LEAST_GLOSSEX
+from lexiloom.operators.structure import COLLAPSERS, CONCEPT_COLLAPSERS
 from lexiloom.plans.readers import BROKEN
 from lexiloom.plans.queries import CONFIGURATIONS, KEYWORD, MIN_FREQ, RANKERS, SPAN, THRESHOLD
 
@@ -252,7 +253,24 @@ _SENTENCES = _row("sentence", "min(a)", "max(b)", rest="GROUP BY id, sent_id")
 _WHOLE = f"id::BIGINT % {BROKEN} <> 0"
 _LEMMAS = " || ' ' || ".join(f"(SELECT {_LEMMA} FROM (SELECT lower(w[{i}]) AS word))" for i in (1, 2))
 
+_SUPER = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{p}'" for p in COLLAPSERS) + " ELSE s END"
+
+
+def _simpson(low: str, high: str, f: str, n: int = 20_000) -> str:
+    """The integral of f(x) by Simpson's rule."""
+    return f"(SELECT sum(({f}) * CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value(h) / 3 FROM (SELECT i, h, lo + i * h AS x FROM (SELECT {low} AS lo, (({high}) - ({low})) / {n} AS h), range(0, {n} + 1) r(i)))"
+
+
+def _beta(a: str, b: str, x: str) -> str:
+    """The incomplete beta function as an integral of powers of sine and cosine."""
+    return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * 2 * {_simpson('0.0', f'asin(sqrt({x}))', f'pow(sin(x), 2 * ({a}) - 1) * pow(cos(x), 2 * ({b}) - 1)')}"
+
+
 ORACLE = {
+    "structure_counts": f"""WITH RECURSIVE {TARGET}, {_model(2)}, {COORD}, f AS (SELECT c.tags AS own, t[pos[1] + 1 : pos[-1] + 1] AS s, array_to_string(list_transform(range(pos[1], pos[-1] + 1), lambda i: CASE WHEN list_contains(pos, i) THEN t[i + 1] ELSE '#' END), '') AS skip,
+  array_to_string(w[pos[1] + 1 : pos[-1] + 1], ' ') AS text FROM coord c JOIN sent USING (doc_id, sent_id) WHERE len(pos) < 10),
+g AS (SELECT CASE WHEN regexp_full_match(own, '{CONCEPT_COLLAPSERS[0]}') THEN '{CONCEPT_COLLAPSERS[0]}' ELSE own END AS concept, {_SUPER} AS super, skip, text FROM f WHERE contains(s, 'c'))
+SELECT concept, super, skip, count(*) AS n, min(text) AS example, round(100 * count(*) / (SELECT count(*) FROM g)::DOUBLE, 2) AS percent FROM g GROUP BY concept, super, skip""",
     "reader_slashed": f"WITH {TARGET}, {_put(False)} {_rows(_SENTENCES, _row('token', pos='upper(tag)'))}",
     "reader_inline": f"WITH {TARGET}, {_put(False)} {_rows(_row('sentence', 'min(a)', 'max(b)', rest=f'WHERE {_WHOLE} GROUP BY id, sent_id'), _row('token', pos='tag', rest=f'WHERE {_WHOLE}'), _row('concept', rest=f'WHERE tag = {chr(39)}n{chr(39)} AND {_WHOLE}'))} UNION ALL SELECT DISTINCT id, 'bad', NULL::INTEGER, NULL::INTEGER, 'ParseError' FROM put WHERE NOT ({_WHOLE})",
     "reader_vertical": f"WITH {TARGET}, {_put(True)} {_rows(_row('sentence', 'min(a + g)', 'max(b)', rest='GROUP BY id, sent_id'), _row('token', pos='tag'), _row('concept', rest=f'WHERE tag = {chr(39)}n{chr(39)}'))}",
@@ -358,3 +376,12 @@ SELECT DISTINCT term FROM t WHERE term IN (SELECT term FROM types) AND NOT conta
     "tukey_pairs": f"WITH {_LABELLED}, m AS (SELECT lang, count(*) AS n, avg(v) AS mu, var_samp(v) AS s FROM lab GROUP BY lang), t AS (SELECT sum((n - 1) * s) / sum(n - 1) AS mse FROM m) SELECT a.lang AS a, b.lang AS b, round(a.mu - b.mu, 6) AS diff, round(sqrt(mse / 2 * (1 / a.n + 1 / b.n)), 6) AS se, round(abs(a.mu - b.mu) / sqrt(mse / 2 * (1 / a.n + 1 / b.n)), 6) AS q FROM m a JOIN m b ON a.lang < b.lang, t",
     "melted": f"SELECT lang, measure, value FROM (SELECT lang, {', '.join(f'round(quantile_cont(n_chars::DOUBLE, {q}), 6) AS {n}' for n, q in _Q[1:4])} FROM documents GROUP BY lang) UNPIVOT (value FOR measure IN (q25, q50, q75))",
 }
+
+def _one(name: str) -> str:
+    """The one row of a statistic, before it is rounded."""
+    return f"(SELECT * FROM ({ORACLE[name].replace('round(', '(').replace(', 6)', ')')}))"
+
+
+ORACLE["p_values"] = f"""SELECT 'welch_t' AS test, round({_beta("df / 2", "0.5", "df / (df + t * t)")}, 6) AS p FROM {_one("welch_t")}
+UNION ALL SELECT 'welch_anova', round({_beta("df2 / 2", "df1 / 2.0", "df2 / (df2 + df1 * f)")}, 6) FROM {_one("welch_anova")}
+UNION ALL SELECT 'mwu_u', round(least(1, 2 * {_simpson("z", "z + 12", "exp(-x * x / 2) / sqrt(2 * pi())")}), 6) FROM (SELECT (abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM {_one("mwu_u")})"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import measures
 from lexiloom.functions.text import SENTENCE_END, in_context, meets_span, ngrams_of, subsequences_of
-from lexiloom.operators import annotate, candidates, evaluation, intervals, ngrams, ranking, statistics, termhood
+from lexiloom.operators import annotate, candidates, evaluation, intervals, ngrams, ranking, statistics, structure, termhood
 from lexiloom.plans import extraction
 from lexiloom.plans.readers import READERS
 from lexiloom.sources.tables import spread, table, written
@@ -439,6 +439,12 @@ def results_table(spark, d):
     return joined(evaluation.results_table(instances, gold, _metrics(spark, d, sents), term_list(spark, d), rows))
 
 
+def structure_counts(spark, d):
+    """Patterns of coordinated candidates: of their own tags, of what they span, and with what they leave out."""
+    sents = annotated(spark, d)
+    return structure.cross_counts(written(_coordinated(spark, d, sents)), sents)
+
+
 def docs_by_candidates(spark, d):
     return candidates.contiguous(target(spark, d), FILTER, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -468,6 +474,14 @@ def tukey_pairs(spark, d):
     return joined(statistics.tukey_pairs(_labelled(spark, d), "value", "lang"))
 
 
+def p_values(spark, d):
+    return joined(statistics.p_values(_labelled(spark, d), "value", "flag", "lang"))
+
+
+def tukey_p(spark, d):
+    return joined(statistics.tukey_p(_labelled(spark, d), "value", "lang").select("a", "b", "p"))
+
+
 def melted(spark, d):
     return joined(statistics.long_form(statistics.quantiles(table(spark, d, "documents"), "n_chars", ["lang"]), ["lang"], ["q25", "q50", "q75"]))
 
@@ -475,7 +489,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_value_skips, results_table, overlaps, nearest_enclosing, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        c_value_skips, results_table, structure_counts, p_values, tukey_p, overlaps, nearest_enclosing, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )
