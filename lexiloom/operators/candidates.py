@@ -24,13 +24,15 @@ MOST_TOKENS, MOST_MATCH = 100, 14
 def contiguous(annotated: DataFrame, tag_filter: str, min_n: int = 1, max_n: int = 5) -> DataFrame:
     """Candidates that are runs of min_n to max_n tokens whose tags match the filter in full."""
     pattern = f"^(?:{FILTERS[tag_filter]})$"
-    start = F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")
-    starts = annotated.select("doc_id", "sent_id", "lemmas", F.array_join("tags", "").alias("all_tags"), start)
-    length = F.explode(F.sequence(F.lit(min_n), F.lit(max_n))).alias("n")
-    runs = starts.select("*", length).where(F.col("at") + F.col("n") <= F.size("lemmas"))
-    found = runs.withColumn("tags", F.substring("all_tags", F.col("at") + 1, F.col("n"))).where(F.col("tags").rlike(pattern))
-    positions = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
-    return found.select("doc_id", "sent_id", positions.alias("positions"), F.slice("lemmas", F.col("at") + 1, F.col("n")).alias("term"), "tags")
+
+    def runs(tags: Column) -> Column:
+        """The places and lengths of a sentence's runs that match; only these become rows."""
+        every = F.flatten(F.transform(counted(F.lit(0), F.char_length(tags) - min_n), lambda at: F.transform(F.sequence(F.lit(min_n), F.lit(max_n)), lambda n: F.struct(at.alias("at"), n.alias("n")))))
+        return F.filter(every, lambda r: (r["at"] + r["n"] <= F.char_length(tags)) & F.substring(tags, r["at"] + 1, r["n"]).rlike(pattern))
+
+    found = annotated.select("doc_id", "sent_id", "lemmas", F.array_join("tags", "").alias("all_tags"), F.explode(named(F.array_join("tags", ""), runs)).alias("r"))
+    at, n = F.col("r.at"), F.col("r.n")
+    return found.select("doc_id", "sent_id", F.sequence(at, at + n - 1).alias("positions"), F.slice("lemmas", at + 1, n).alias("term"), F.substring("all_tags", at + 1, n).alias("tags"))
 
 
 def type_counts(candidates: DataFrame) -> DataFrame:

@@ -385,3 +385,6 @@ def _one(name: str) -> str:
 ORACLE["p_values"] = f"""SELECT 'welch_t' AS test, round({_beta("df / 2", "0.5", "df / (df + t * t)")}, 6) AS p FROM {_one("welch_t")}
 UNION ALL SELECT 'welch_anova', round({_beta("df2 / 2", "df1 / 2.0", "df2 / (df2 + df1 * f)")}, 6) FROM {_one("welch_anova")}
 UNION ALL SELECT 'mwu_u', round(least(1, 2 * {_simpson("z", "z + 12", "exp(-x * x / 2) / sqrt(2 * pi())")}), 6) FROM (SELECT (abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM {_one("mwu_u")})"""
+ORACLE["effect_from_t"] = f"""WITH {_LABELLED}, c AS (SELECT count(*) FILTER (flag) AS n1, count(*) FILTER (NOT flag) AS n2 FROM lab), z AS (SELECT t * sqrt(1 / n1 + 1 / n2) / sqrt(2) AS z FROM c, {_one("welch_t")}),
+k AS (SELECT z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS k FROM z)
+SELECT round((1 + sign(z) * (1 - k * (0.254829592::DOUBLE + k * (-0.284496736::DOUBLE + k * (1.421413741::DOUBLE + k * (-1.453152027::DOUBLE + k * 1.061405429::DOUBLE)))) * exp(-x * x))) / 2, 6) AS cles FROM k"""
