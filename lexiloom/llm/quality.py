@@ -8,9 +8,11 @@ logistic curve fitted to the scores of unseen rows (Platt's method) makes probab
 means the same however many labels there are. The model depends on the rows and not on how they lie in partitions. It has
 a fixed size and travels to the executors, where each text is scored as a sparse dot product.
 
-Training takes TRAIN_ROWS labelled rows at most, chosen by a hash of the id, so that what a task holds is bounded.
+Training takes TRAIN_ROWS labelled rows at most, chosen by a hash of the id. Texts become vectors where they are read, and
+only vectors, of at most DIMENSIONS entries each, meet in the task that trains a fold.
 
-Defined results: null and empty texts have no features and score by the intercept; a document labelled more than once
+Defined results: null and empty texts have no features and score by the intercept; a null doc_id is not held out, and held_out is
+false; a document labelled more than once
 counts as good if any label says so; without labelled rows every score is 0.5; repeated rows score alike; an empty table
 gives an empty result; extra columns are left aside.
 """
@@ -68,23 +70,28 @@ def leader_weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def vector(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of a text, with the intercept's last."""
+    own, weights = features(text, hashes)
+    return np.append(own, DIMENSIONS).astype(np.int32), np.append(weights, 1.0).astype(np.float16)
+
+
 def vectors(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Indices and values of each text, with the intercept's last.
+    hashes = Hashes()
+    return [vector(text, hashes) for text in texts]
 
-    They are parts of two long arrays, so that memory goes back to the system as a whole and a worker keeps none of it.
-    """
-    hashes, ends = Hashes(), [0]
-    index, values = np.empty(1 << 23, np.int32), np.empty(1 << 24, np.float16)
-    for text in texts:
-        own, weights = features(text, hashes)
-        start, end = ends[-1], ends[-1] + len(own) + 1
-        for held in (index, values):
-            if end > len(held):
-                held.resize(max(end, 2 * len(held)), refcheck=False)
-        index[start : end - 1], index[end - 1] = own, DIMENSIONS
-        values[start : end - 1], values[end - 1] = weights, 1.0
-        ends.append(end)
-    return [(index[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """(turn, doc_id, label, index, values) of labelled rows (turn, doc_id, label, text): vectors instead of texts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in slices(batches, "text"):
+            made = [vector(text, hashes) for text in batch.column("text").to_pylist()]
+            columns = [*(batch.column(c) for c in ("turn", "doc_id", "label")), *(pa.array([v[k].tobytes() for v in made], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["turn", "doc_id", "label", "index", "values"])
+
+    return rows.select(F.col("turn"), F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(run, "turn long, doc_id long, label int, index binary, values binary")
 
 
 def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
@@ -104,10 +111,13 @@ def leader(rows: list[tuple[np.ndarray, np.ndarray]], labels) -> np.ndarray:
 
 
 def train_fold(rows: pa.Table) -> pa.Table:
-    """Of labelled texts (turn, doc_id, text, label, own): the weights of those that are not the fold's own, and the margins and labels of those that are."""
+    """Of labelled vectors (turn, doc_id, label, index, values, own): the weights of those that are not the fold's own, and the margins and labels of those that are.
+
+    Vectors are read where they lie in the table; nothing of them is copied.
+    """
     order = pc.sort_indices(rows.select(["turn", "doc_id"]), [("turn", "ascending"), ("doc_id", "ascending")]).to_pylist()
-    texts = rows.column("text")
-    held = vectors(texts[i].as_py() for i in order)
+    index, values = rows.column("index"), rows.column("values")
+    held = [(np.frombuffer(index[i].as_buffer(), np.int32), np.frombuffer(values[i].as_buffer(), np.float16)) for i in order]
     labels, own = rows.column("label").to_numpy().astype(float)[order], rows.column("own").to_numpy()[order]
     weights = leader([r for r, o in zip(held, own, strict=True) if not o], labels[~own])
     margins = [float(weights[i] @ v) for (i, v), o in zip(held, own, strict=True) if o]
@@ -140,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.
     turn = F.xxhash64(F.lit("turn"), "doc_id")
     share = min(1.0, max_rows / max(1, labelled.count()))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit("chosen"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("turn", turn)
+    # chosen has about max_rows rows at most, whatever the corpus, so it goes to the texts and not they to it
+    rows = encoded(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("turn", turn))
     every = rows.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).withColumn("own", F.pmod("turn", F.lit(FOLDS)) == F.col("fold"))
     found = every.groupBy("fold").applyInArrow(train_fold, "weights binary, margins array<double>, labels array<double>").collect()
     if not found:
@@ -170,8 +181,8 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether a row is kept from training: crc32 of the id's text leaves no remainder by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from training: crc32 of the id's text leaves no remainder by 5; a null id is not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
