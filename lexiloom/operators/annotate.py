@@ -64,6 +64,18 @@ def tokens_between(one: Column, other: Column, tags: Column, ignored: str = "")
     return F.size(F.filter(inner, lambda t: ~F.array_contains(F.array(*[F.lit(c) for c in ignored]), t)) if ignored else inner)
 
 
+#: Kinds of annotations, each with the one that it is a case of.
+KINDS = {"Sentence": "Annotation", "Token": "Annotation", "Constituent": "Annotation", "Concept": "Annotation", "DiscontinuousConcept": "Concept"}
+
+
+def of_kind(annotations: DataFrame, kind: str) -> DataFrame:
+    """Annotations (kind, ...) of a kind and of all that are cases of it; an unknown kind has none."""
+    held = {kind}
+    while more := {k for k, above in KINDS.items() if above in held} - held:
+        held |= more
+    return annotations.where(F.col("kind").isin(sorted(held)))
+
+
 def add(annotations: DataFrame, more: DataFrame) -> DataFrame:
     """Annotations as a set; equal rows are one."""
     return annotations.unionByName(more).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.measures import bridge_strength, pair_pmi
 from lexiloom.functions.text import counted, found_in, named, parts_of
+from lexiloom.operators.ranking import matched_by
 
 #: The three filters on tag sequences, for contiguous candidates and for coordinated ones.
 FILTERS = {"unsilo": "([na]|(ns)|(vn))+n", "simple": "[an]+n", "liberal": "[navrds]*n"}
@@ -61,6 +62,13 @@ def skips_that_are_concepts(concepts: DataFrame) -> DataFrame:
     return chosen.distinct().join(concepts.select("term").distinct(), "term", "left_semi")
 
 
+def by_side(terms: DataFrame, continuous: DataFrame, disc: DataFrame) -> DataFrame:
+    """terms (term, ...) with kind: whether continuous or disc (term) holds them, as only_CC, only_DC, both or neither."""
+    flagged = matched_by(terms, {"__cc": continuous, "__dc": disc})
+    kind = F.when(F.col("__cc") & F.col("__dc"), "both").when(F.col("__cc"), "only_CC").when(F.col("__dc"), "only_DC").otherwise("neither")
+    return flagged.withColumn("kind", kind).drop("__cc", "__dc")
+
+
 def bridges(pairs: DataFrame, model: DataFrame, total: DataFrame, least_strength: float = 1, least_freq: int = 1, factor: float = 1) -> DataFrame:
     """(a, b, freq, strength) of the lemma pairs (a, b) that the model knows as bigrams and that are strong enough.
 

@@ -7,6 +7,8 @@ written first, since sizes and rows must come from the same ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,6 +106,16 @@ def matched(terms: DataFrame, verifier: DataFrame) -> DataFrame:
     return terms.join(held, "term", "left").withColumn("verified", F.coalesce("__held", F.lit(False))).drop("__held")
 
 
+def matched_by(terms: DataFrame, verifiers: dict[str, DataFrame]) -> DataFrame:
+    """terms with a column for each of verifiers (term): whether it holds them. A term list, gold types and extracted types are verifiers alike.
+
+    Verifiers are added up by term first, so that terms are joined once however many there are.
+    """
+    named_ = [df.select("term", F.lit(name).alias("__by")) for name, df in verifiers.items()]
+    flags = reduce(DataFrame.unionByName, named_).groupBy("term").agg(*[F.max(F.col("__by") == name).alias(name) for name in verifiers])
+    return terms.join(flags, "term", "left").na.fill(False, list(verifiers))
+
+
 def accept(final: DataFrame, verified: DataFrame) -> DataFrame:
     """(term): what the filters leave and what a term list verifies."""
     return final.select("term").union(verified.select("term")).distinct()

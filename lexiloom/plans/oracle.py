@@ -266,7 +266,18 @@ def _beta(a: str, b: str, x: str) -> str:
     return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * 2 * {_simpson('0.0', f'asin(sqrt({x}))', f'pow(sin(x), 2 * ({a}) - 1) * pow(cos(x), 2 * ({b}) - 1)')}"
 
 
+def _kind(one: str, other: str, term: str = "term") -> str:
+    c, d = (f"{term} IN (SELECT term FROM {x})" for x in (one, other))
+    return f"CASE WHEN {c} AND {d} THEN 'both' WHEN {c} THEN 'only_CC' WHEN {d} THEN 'only_DC' ELSE 'neither' END AS kind"
+
+
 ORACLE = {
+    "matchers": f"WITH {TARGET}, {LIST}, {CANDIDATES}, {GOLD} SELECT term, freq, term IN (SELECT term FROM lst) AS in_list, term IN (SELECT term FROM gold) AS in_gold, term IN (SELECT term FROM found WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS in_bad FROM types",
+    "bigram_sides": f"""WITH RECURSIVE {TARGET}, {_model(2)}, {CANDIDATES}, {COORD}, c AS (SELECT DISTINCT list_extract(l, i) || ' ' || list_extract(l, i + 1) AS term FROM (SELECT string_split(term, ' ') AS l FROM types), range(1, 5) x(i) WHERE i < len(l)),
+dd AS (SELECT DISTINCT l[i] || ' ' || l[i + 1] AS term FROM (SELECT string_split(term, ' ') AS l FROM coord), range(1, 14) x(i) WHERE i < len(l))
+SELECT term, round(log10(freq), 6) AS log_freq, {_kind("c", "dd")} FROM model WHERE n = 2""",
+    "concept_sides": f"""WITH RECURSIVE {TARGET}, {_model(5)}, {CANDIDATES}, {COORD}, both_ AS (SELECT term FROM types UNION SELECT term FROM coord), {_sums("both_", False)}
+SELECT b.term, coalesce(m.freq, 0) AS freq, {_kind("types", "coord", "b.term")}, round((ln((coalesce(m.freq, 0) + 1.0) / ({N} + 1)) - s.word_logs) / (len(string_split(b.term, ' ')) - 1), 6) AS pmi_nl FROM both_ b JOIN sums s ON s.term = b.term LEFT JOIN model m ON m.term = b.term""",
     "structure_counts": f"""WITH RECURSIVE {TARGET}, {_model(2)}, {COORD}, f AS (SELECT c.tags AS own, t[pos[1] + 1 : pos[-1] + 1] AS s, array_to_string(list_transform(range(pos[1], pos[-1] + 1), lambda i: CASE WHEN list_contains(pos, i) THEN t[i + 1] ELSE '#' END), '') AS skip,
   array_to_string(w[pos[1] + 1 : pos[-1] + 1], ' ') AS text FROM coord c JOIN sent USING (doc_id, sent_id) WHERE len(pos) < 10),
 g AS (SELECT CASE WHEN regexp_full_match(own, '{CONCEPT_COLLAPSERS[0]}') THEN '{CONCEPT_COLLAPSERS[0]}' ELSE own END AS concept, {_SUPER} AS super, skip, text FROM f WHERE contains(s, 'c'))

@@ -226,6 +226,38 @@ def matcher(spark, d):
     return joined(ranking.matched(types(spark, d).select("term"), term_list(spark, d)))
 
 
+def matchers(spark, d):
+    """Types by three matchers: the term list, gold types, and what is extracted in documents labelled as bad."""
+    sents = annotated(spark, d)
+    bad = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct()
+    extracted = candidates.contiguous(sents.join(bad, "doc_id", "left_semi"), FILTER, 2)
+    return joined(ranking.matched_by(types(spark, d, sents=sents).select("term", "freq"), {"in_list": term_list(spark, d), "in_gold": gold_candidates(spark, d, sents), "in_bad": extracted}))
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The target's sentences, and types of contiguous and of coordinated candidates."""
+    sents = annotated(spark, d)
+    return sents, types(spark, d, sents=sents).select("term"), written(_coordinated(spark, d, sents).select("term").distinct())
+
+
+def bigram_sides(spark, d):
+    """Bigrams of the model by whether they are neighbours in contiguous or in discontinuous candidates."""
+    sents, cont, disc = _sides(spark, d)
+    two = lambda df: df.select(F.explode(ngrams_of(F.col("term"), 2, 2)).alias("term"))
+    found = candidates.by_side(model(spark, d, 2, sents).where("n = 2").select("term", "freq"), two(cont), two(disc))
+    return joined(found.select("term", F.log10("freq").alias("log_freq"), "kind"))
+
+
+def concept_sides(spark, d):
+    """Candidates by whether they are contiguous, discontinuous or both, with the model's count and normalized PMI."""
+    sents, cont, disc = _sides(spark, d)
+    m = model(spark, d, sents=sents)
+    total = ngrams.unigram_total(m)
+    both = candidates.by_side(cont.union(disc).distinct(), cont, disc).join(m.select("term", "freq"), "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    summed = termhood.word_sums(both, m, total).crossJoin(F.broadcast(total))
+    return joined(summed.select("term", "freq", "kind", measures.normalized_pmi(F.col("freq"), F.col("word_logs"), F.size("term"), F.col("total")).alias("pmi_nl")))
+
+
 def accept(spark, d):
     sents = annotated(spark, d)
     scored = _metrics(spark, d, sents)
@@ -489,7 +521,7 @@ def melted(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_value_skips, results_table, structure_counts, p_values, tukey_p, overlaps, nearest_enclosing, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
+        c_value_skips, results_table, matchers, bigram_sides, concept_sides, structure_counts, p_values, tukey_p, overlaps, nearest_enclosing, sentences, tokens, pos_dist, corpus_stats, ngram_counts, doc_ngrams, ngram_totals, aggregate_model, metrics, pmi_nl, dice, term_coherence, glossex, tf_idf, weirdness, term_freq, doc_freq,
         rank_vote, topk, keep_proportion, most_common, rarest_above, matcher, accept, eval_types, eval_corpus, precision_at_k, error_analysis, bridges, coord_dcs, hypernym_dcs, extraction_run,
         skipgram_counts, skipgram_freq, subsequences, annotations_at, kwic, quantiles, iqr_filter, bigram_type, curate_docs, concept_counts, concept_skips, dice_over_log, effect_from_t, dc_ranking, docs_by_candidates, welch_t, mwu_u, welch_anova, levene, tukey_pairs, melted,
     )

@@ -59,3 +59,10 @@ def test_pieces(spark):
     docs = spark.createDataFrame([(1, "é😀.\n\nb!c"), (2, None), (3, ""), (4, "..")], "doc_id long, text string")
     got = [(r.doc_id, r.piece, r.start, r.end) for r in annotate.pieces(docs, r"[.!?\n]+").collect()]
     assert got == [(1, 0, 0, 2), (1, 1, 5, 6), (1, 2, 7, 8)]
+
+
+def test_kinds_hold_their_cases(spark):
+    rows = spark.createDataFrame([("Token",), ("Concept",), ("DiscontinuousConcept",), ("Annotation",), (None,)], "kind string")
+    held = lambda kind: sorted(r.kind for r in annotate.of_kind(rows, kind).collect())
+    assert held("Concept") == ["Concept", "DiscontinuousConcept"] and held("DiscontinuousConcept") == ["DiscontinuousConcept"]
+    assert held("Annotation") == ["Annotation", "Concept", "DiscontinuousConcept", "Token"] and held("Other") == []
