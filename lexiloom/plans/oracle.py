@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexiloom.functions.tails import HART, HART_BELOW
 from lexiloom.functions.text import SENTENCE_END, TAG_RULES, TOKEN
 from lexiloom.operators.candidates import COORDINATED, FILTERS, GROUP, coordination_pattern
 from lexiloom.operators.ranking import BLACKLIST, LEAST_GLOSSEX
@@ -399,3 +400,26 @@ UNION ALL SELECT 'mwu_u', round(least(1, 2 * {_simpson("z", "z + 12", "exp(-x *
 ORACLE["effect_from_t"] = f"""WITH {_LABELLED}, c AS (SELECT count(*) FILTER (flag) AS n1, count(*) FILTER (NOT flag) AS n2 FROM lab), z AS (SELECT t * sqrt(1 / n1 + 1 / n2) / sqrt(2) AS z FROM c, {_one("welch_t")}),
 k AS (SELECT z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS k FROM z)
 SELECT round((1 + sign(z) * (1 - k * (0.254829592::DOUBLE + k * (-0.284496736::DOUBLE + k * (1.421413741::DOUBLE + k * (-1.453152027::DOUBLE + k * 1.061405429::DOUBLE)))) * exp(-x * x))) / 2, 6) AS cles FROM k"""
+
+
+def _horner(coefficients: tuple[float, ...], z: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {z} + {c!r}::DOUBLE)"
+    return out
+
+
+def _above(x: str) -> str:
+    """The chance of a standard normal value above x, from the rational approximation that is good to 1e-15."""
+    z = f"abs({x})"
+    far = f"1 / (({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65))))) * sqrt(2 * pi()))"
+    upper = f"exp(-({z}) * {z} / 2) * CASE WHEN {z} < 7.07106781186547 THEN {_horner(HART, z)} / {_horner(HART_BELOW, z)} ELSE {far} END"
+    return f"CASE WHEN {x} > 0 THEN {upper} ELSE 1 - {upper} END"
+
+
+ORACLE["tukey_p"] = f"""WITH {_LABELLED}, m AS (SELECT lang, count(*) AS n FROM lab GROUP BY lang), g AS (SELECT count(*) AS k, sum(n - 1)::DOUBLE AS df FROM m),
+u AS (SELECT a, b, q, k, df, r * i / 300 AS u, r / 300 AS du FROM (SELECT *, least(9, 9 / sqrt(2 * df)) AS r FROM {_one("tukey_pairs")}, g), range(-300, 301) t(i)),
+z AS (SELECT z, {_above("z")} AS above FROM (SELECT i * 8.0::DOUBLE / 300 AS z FROM range(-300, 301) t(i))),
+v AS (SELECT a, b, df, u, du, k, z, above, z - q * exp(u) AS y FROM u, z),
+w AS (SELECT a, b, df, u, du, sum(k * exp(-z * z / 2) / sqrt(2 * pi()) * pow({_above("y")} - above, k - 1) * 8 / 300) AS below FROM v GROUP BY a, b, df, u, du)
+SELECT a, b, round(greatest(0, 1 - sum(exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + df * u - df * exp(2 * u) / 2) * below * du)), 6) AS p FROM w GROUP BY a, b"""
