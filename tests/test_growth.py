@@ -45,3 +45,24 @@ def test_counts_by_document_shuffle_documents_once(spark):
     docs = dealt(spark.createDataFrame([(1, ["a", "b"], ["n", "n"])], "doc_id long, lemmas array<string>, tags array<string>"), "doc_id")
     for counted in (candidates.contiguous_counts(docs, "simple", 2), ngrams.ngram_model(docs, 2)):
         assert plan(counted).count("Exchange hashpartitioning") == 2  # documents, and one row a type and task
+
+
+def test_word_sums_hash_and_write_words_only(spark, monkeypatch):
+    model = spark.createDataFrame([(["a"], 1, 3), (["b"], 1, 2), (["a", "b"], 2, 2)], "term array<string>, n int, freq long")
+    sizes = []
+    write = termhood.written
+    monkeypatch.setattr(termhood, "written", lambda df, *a, **k: sizes.append(df.count()) or write(df, *a, **k))
+    summed = termhood.word_sums(model.where("n = 2"), model, ngrams.unigram_total(model))
+    assert "SortAggregate" not in plan(summed)
+    assert [(r.term, r.words_freq) for r in summed.collect()] == [(["a", "b"], 5)]
+    assert sizes == [2]
+
+
+def test_nesting_keeps_no_pairs(spark, monkeypatch):
+    terms = [[f"w{i}", f"w{i + 1}", f"w{i + 2}", "x", "y"][:n] for i in range(40) for n in (2, 3, 4, 5)]
+    types = spark.createDataFrame([(t, len(t), 2) for t in terms], "term array<string>, n int, freq long")
+    rows = []
+    write = termhood.written
+    monkeypatch.setattr(termhood, "written", lambda df, *a, **k: rows.append(df.count()) or write(df, *a, **k))
+    assert termhood.nested_frequencies(types, 2, 2).count() == len(terms)
+    assert sum(rows) <= 2 * len(terms)  # types once, and each level but the last
