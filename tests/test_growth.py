@@ -66,3 +66,12 @@ def test_nesting_keeps_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(termhood, "written", lambda df, *a, **k: rows.append(df.count()) or write(df, *a, **k))
     assert termhood.nested_frequencies(types, 2, 2).count() == len(terms)
     assert sum(rows) <= 2 * len(terms)  # types once, and each level but the last
+
+
+def test_ranks_write_no_arrays(spark, monkeypatch):
+    values = spark.createDataFrame([(["a", "b"], 1.0), (["a"], 2.0), (["c\x1f"], None), (["b"], 2.0)], "term array<string>, v double")
+    kinds = []
+    write = ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, *a, **k: kinds.extend(t for _, t in df.dtypes) or write(df, *a, **k))
+    assert {" ".join(r.term): r["rank"] for r in ranking.ranked(values, "v").collect()} == {"a": 1, "b": 2, "a b": 3, "c\x1f": 4}
+    assert not any(t.startswith("array") for t in kinds)
