@@ -75,3 +75,21 @@ def test_ranks_write_no_arrays(spark, monkeypatch):
     monkeypatch.setattr(ranking, "written", lambda df, *a, **k: kinds.extend(t for _, t in df.dtypes) or write(df, *a, **k))
     assert {" ".join(r.term): r["rank"] for r in ranking.ranked(values, "v").collect()} == {"a": 1, "b": 2, "a b": 3, "c\x1f": 4}
     assert not any(t.startswith("array") for t in kinds)
+
+
+def test_grams_by_document_need_no_shuffle_of_their_own(spark):
+    docs = dealt(spark.createDataFrame([(1, ["a", None, "c"], ["a", "n", "n"]), (1, ["a\x1f"], ["n"])], "doc_id long, lemmas array<string>, tags array<string>"), "doc_id")
+    counted = ngrams.doc_ngrams(docs, 2, "[an]*n")
+    assert plan(counted).count("Exchange hashpartitioning") == 1
+    assert {(tuple(r.term), r.n, r.freq) for r in counted.collect()} == {((None,), 1, 1), (("c",), 1, 1), (("a", None), 2, 1), ((None, "c"), 2, 1), (("a\x1f",), 1, 1)}
+
+
+def test_patterns_and_added_models_are_dealt_as_strings(spark):
+    docs = spark.createDataFrame([(1, ["a", "b\x1f", "c"]), (2, ["a", "d", "c"])], "doc_id long, lemmas array<string>")
+    patterns = ngrams.skipgram_model(docs, 3)
+    assert [(r.pattern, r.words, r.freq) for r in patterns.collect()] == [(["a", "{*}", "c"], ["a", "c"], 2)]
+    model = ngrams.ngram_counts(docs, 1)
+    added = ngrams.aggregate_model(model, model)
+    assert {tuple(r.term): r.freq for r in added.collect()} == {("a",): 4, ("b\x1f",): 2, ("c",): 4, ("d",): 2}
+    for df in (patterns, added):
+        assert "hashpartitioning(key" in plan(df)
