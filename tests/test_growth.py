@@ -93,3 +93,10 @@ def test_patterns_and_added_models_are_dealt_as_strings(spark):
     assert {tuple(r.term): r.freq for r in added.collect()} == {("a",): 4, ("b\x1f",): 2, ("c",): 4, ("d",): 2}
     for df in (patterns, added):
         assert "hashpartitioning(key" in plan(df)
+
+
+def test_accept_counts_no_instances_again(spark, data, monkeypatch):
+    from lexiloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(candidates, "type_counts", lambda found: 1 / 0)
+    assert QUERIES["accept"](spark, data).columns == ["term", "n", "freq", "docs"]
