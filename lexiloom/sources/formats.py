@@ -5,11 +5,14 @@ are listed once and dealt into partitions by size; each is read by the task that
 Arrow can open. A schema given to the reader prunes columns: annotations are not made if rows are not asked for.
 
 Options: path, a folder; suffix, of the files' names (.txt or .xml by default); id, "name" for documents that are called as
-their files are, or "folder" where they lie in folders column=value, as a writer that parts by a column leaves them.
+their files are, "folder" where they lie in folders column=value, as a writer that parts by a column leaves them, or "record"
+where a file holds many, each a line of JSON with doc_id and text; such files are cut into ranges of bytes, too.
 """
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -21,7 +24,7 @@ from lexiloom.sources.corpora import ROWS, inline_article
 
 SCHEMA = f"doc_id string, text string, rows {ROWS}, reason string"
 #: Bytes of files in a partition, about.
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 4 << 20
 
 
 def slashed_document(text: str, with_rows: bool = True) -> tuple[str | None, list[dict] | None, str | None]:
@@ -44,13 +47,15 @@ def slashed_document(text: str, with_rows: bool = True) -> tuple[str | None, lis
 
 
 class Files(InputPartition):
-    def __init__(self, names: list[str]):
+    """Files by name with the first byte and the one after the last."""
+
+    def __init__(self, names: list[tuple[str, int, int]]):
         super().__init__(names)
 
 
 class CorpusReader(DataSourceReader):
-    def __init__(self, read, names: list[str], path: str, suffix: str, by_folder: bool):
-        self.read_document, self.names, self.path, self.suffix, self.by_folder = read, names, path, suffix, by_folder
+    def __init__(self, read, names: list[str], path: str, suffix: str, by_folder: bool, by_record: bool = False):
+        self.read_document, self.names, self.path, self.suffix, self.by_folder, self.by_record = read, names, path, suffix, by_folder, by_record
 
     def doc_id(self, path: str) -> str:
         *_, folder, name = path.split("/")
@@ -59,29 +64,53 @@ class CorpusReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         system, root = pyarrow.fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
         found = system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
-        parts: list[list[str]] = []
+        parts: list[list[tuple[str, int, int]]] = []
         held = PARTITION_BYTES
         for info in sorted((f for f in found if f.is_file and f.path.endswith(self.suffix)), key=lambda f: f.path):
-            if held >= PARTITION_BYTES:
-                parts.append([])
-                held = 0
-            parts[-1].append(info.path)
-            held += info.size
+            step = PARTITION_BYTES if self.by_record else max(1, info.size)
+            for start in range(0, max(1, info.size), step):
+                if held >= PARTITION_BYTES:
+                    parts.append([])
+                    held = 0
+                end = min(info.size, start + step)
+                parts[-1].append((info.path, start, end))
+                held += end - start
         return [Files(p) for p in parts]
 
+    def documents(self, system: pyarrow.fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[str | None, str | None, str | None]]:
+        """(doc_id, text, reason) of a file, or of the records that begin in a range of its bytes."""
+        if not self.by_record:
+            with system.open_input_stream(path) as file:
+                yield self.doc_id(path), file.read().decode("utf-8"), None
+            return
+        with system.open_input_file(path) as opened, io.BufferedReader(opened, 1 << 20) as file:
+            if start:  # a record that begins before belongs to the range before
+                file.seek(start - 1)
+                start += len(file.readline()) - 1
+            while start < end and (line := file.readline()):
+                start += len(line)
+                try:
+                    record = json.loads(line)
+                    yield record["doc_id"], record["text"], None
+                except (ValueError, KeyError, TypeError) as bad:
+                    yield None, None, f"{type(bad).__name__}: {bad}"
+
+    def row(self, doc_id: str | None, text: str | None, reason: str | None) -> tuple:
+        row = {"doc_id": doc_id, "text": None, "rows": None, "reason": reason}
+        if reason is None:
+            row["text"], row["rows"], row["reason"] = self.read_document(text or "", "rows" in self.names)
+        if row["rows"] is not None:  # structs are tuples in the order of their fields
+            row["rows"] = [(r["kind"], r["start"], r["end"], r["pos"], [(s["start"], s["end"]) for s in r["spans"]] if r["spans"] else None, r["label"]) for r in row["rows"]]
+        return tuple(row[n] for n in self.names)
+
     def read(self, partition: Files) -> Iterator[tuple]:
         system, _ = pyarrow.fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        for path in partition.value:
-            row = {"doc_id": self.doc_id(path)}
+        for path, start, end in partition.value:
             try:
-                with system.open_input_stream(path) as file:
-                    text = file.read().decode("utf-8")
-                row["text"], row["rows"], row["reason"] = self.read_document(text, "rows" in self.names)
+                for found in self.documents(system, path, start, end):
+                    yield self.row(*found)
             except (OSError, UnicodeDecodeError) as bad:
-                row |= {"text": None, "rows": None, "reason": f"{type(bad).__name__}: {bad}"}
-            if row.get("rows") is not None:  # structs are tuples in the order of their fields
-                row["rows"] = [(r["kind"], r["start"], r["end"], r["pos"], [(s["start"], s["end"]) for s in r["spans"]] if r["spans"] else None, r["label"]) for r in row["rows"]]
-            yield tuple(row[n] for n in self.names)
+                yield self.row(None if self.by_record else self.doc_id(path), None, f"{type(bad).__name__}: {bad}")
 
 
 class SlashedSource(DataSource):
@@ -104,7 +133,8 @@ class SlashedSource(DataSource):
         unknown = set(schema.names) - {"doc_id", "text", "rows", "reason"}
         if unknown:
             raise ValueError(f"a corpus has no columns {sorted(unknown)}")
-        return CorpusReader(self.document, list(schema.names), self.options["path"], self.options.get("suffix", self.suffix), self.options.get("id", "name") == "folder")
+        by = self.options.get("id", "name")
+        return CorpusReader(self.document, list(schema.names), self.options["path"], self.options.get("suffix", self.suffix), by == "folder", by == "record")
 
 
 class InlineSource(SlashedSource):
