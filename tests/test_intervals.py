@@ -66,3 +66,12 @@ def test_kinds_hold_their_cases(spark):
     held = lambda kind: sorted(r.kind for r in annotate.of_kind(rows, kind).collect())
     assert held("Concept") == ["Concept", "DiscontinuousConcept"] and held("DiscontinuousConcept") == ["DiscontinuousConcept"]
     assert held("Annotation") == ["Annotation", "Concept", "DiscontinuousConcept", "Token"] and held("Other") == []
+
+
+def test_overlaps_cut_only_documents_with_a_window(spark, tmp_path):
+    from lexiloom.plans import queries
+
+    spark.createDataFrame([(1, "run with it, and on", "en"), (2, "nothing here", "en"), (3, None, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.overlaps(spark, str(tmp_path))
+    assert {(r.doc_id, r.word) for r in found.collect()} == {(1, w) for w in ("run", "with", "it", ",", "and", "on")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(text") == 2
