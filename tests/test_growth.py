@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text
-from lexiloom.operators import candidates, ngrams, ranking, termhood
+from lexiloom.operators import annotate, candidates, ngrams, ranking, termhood
 from lexiloom.sources.tables import dealt
 
 ODD = [["a", "b"], ["a b"], ["a\x1fb"], ["\x1e", "\x1e0"], ["", ""], [None, "x"], ["\x1e2"]]
@@ -100,3 +101,38 @@ def test_accept_counts_no_instances_again(spark, data, monkeypatch):
 
     monkeypatch.setattr(candidates, "type_counts", lambda found: 1 / 0)
     assert QUERIES["accept"](spark, data).columns == ["term", "n", "freq", "docs"]
+
+
+def test_ways_from_lists_what_each_end_lists(spark):
+    draw = random.Random(5)
+    rows = []
+    for k in range(200):
+        n = draw.randint(2, 8)
+        tags = "".join(draw.choice("aannnc,") for _ in range(n))
+        bridged = [(i, j) for i in range(n) for j in range(i + 2, n) if draw.random() < 0.2]
+        rows.append((k, tags, bridged, [sorted(draw.sample(range(s + 1, n + 1), draw.randint(0, n - s))) if tags[s] in "an" else [] for s in range(n)]))
+    df = spark.createDataFrame(rows, "k int, tags string, bridged array<struct<i:int,j:int>>, ends array<array<int>>")
+    got = {r.k: [tuple(w) for w in r.w] for r in df.select("k", candidates.ways_from(F.col("tags"), F.col("bridged"), F.col("ends"), "an").alias("w")).collect()}
+    each = df.select("*", F.posexplode("ends").alias("s", "own")).select("*", F.explode("own").alias("e"))
+    want = {k: set() for k in got}
+    for r in each.select("k", "tags", candidates.ways_in(F.col("tags"), F.col("bridged"), F.col("s"), F.col("e")).alias("w")).collect():
+        want[r.k].update(tuple(w) for w in r.w if all(r.tags[i] in "an" for i in w) and w[-1] - w[0] >= len(w))
+    assert {k: set(w) for k, w in got.items()} == want and any(got.values())
+    assert all(len(set(w)) == len(w) for w in got.values())
+
+
+def test_coordinations_list_each_way_once(spark, monkeypatch):
+    """Coordinations within one another share their ways, which are neither listed for each nor listed without a gap."""
+    annotated = annotate.sentences(spark.createDataFrame([(1, "x y z and u and v w q")], "doc_id long, text string"))
+    found = candidates.coordinations(annotated, "simple")
+    pairs = found.select("lemmas", F.explode("pairs").alias("p")).select(F.get("lemmas", F.col("p.i")).alias("a"), F.get("lemmas", F.col("p.j")).alias("b")).distinct()
+    listed, inner = [], candidates.discontinuous
+    monkeypatch.setattr(candidates, "discontinuous", lambda df, pattern: listed.append(df) or inner(df, pattern))
+    kept = candidates.coordinated(found, pairs, "simple").count()
+    assert listed[0].count() == listed[0].select("at").distinct().count() >= kept > 0
+
+
+def test_only_rows_with_a_bridge_reach_its_join(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("a"), "id").alias("a"), F.lit("b").alias("b"))
+    passed = candidates.sieved(rows, rows.where("a in ('a7', 'a1999')"), "a", "b")
+    assert {r.a for r in passed.collect()} >= {"a7", "a1999"} and passed.count() < 20
