@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_only_rows_with_a_bridge_reach_its_join(spark):
     rows = spark.range(2000).select(F.concat(F.lit("a"), "id").alias("a"), F.lit("b").alias("b"))
     passed = candidates.sieved(rows, rows.where("a in ('a7', 'a1999')"), "a", "b")
     assert {r.a for r in passed.collect()} >= {"a7", "a1999"} and passed.count() < 20
+
+
+def test_gapped_choices_meet_concepts_in_one_grouping(spark):
+    """Repeated words, odd signs and nulls, concepts of up to seven words, and their last words as concepts."""
+    draw = random.Random(6)
+    longest = [[draw.choice(["a", "b", "c", "\x1f", "\x1e", None, "x y"]) for _ in range(draw.randint(2, 7))] for _ in range(60)]
+    concepts = {tuple(t[i:]) for t in longest for i in range(len(t) - 1)}
+    df = spark.createDataFrame([(list(t),) for t in sorted(concepts, key=repr)] * 2, "term array<string>")
+
+    def gapped(t):
+        runs = {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        return {tuple(t[i] for i in c) for k in range(2, len(t)) for c in combinations(range(len(t)), k)} - runs
+
+    want = {c for t in concepts for c in gapped(t)} & concepts
+    for last_words in (False, True):
+        found = candidates.skips_that_are_concepts(df, last_words)
+        assert "MergeJoin" not in plan(found) and "HashJoin" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+        got = [tuple(r.term) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 10
