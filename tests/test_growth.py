@@ -156,3 +156,45 @@ def test_gapped_choices_meet_concepts_in_one_grouping(spark):
         assert "MergeJoin" not in plan(found) and "HashJoin" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
         got = [tuple(r.term) for r in found.collect()]
         assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_model_and_types_are_counted_in_one_grouping(spark):
+    draw = random.Random(8)
+    rows = [(1, i, [draw.choice(["a", "b", "\x1f", None]) for _ in range(n)], [draw.choice("annv") for _ in range(n)]) for i, n in enumerate(draw.randint(1, 7) for _ in range(80))]
+    annotated = spark.createDataFrame(rows, "doc_id long, sent_id int, lemmas array<string>, tags array<string>")
+    runs = candidates.counted_runs(annotated, "simple", 2, 5, 2)
+    assert plan(runs).count("Exchange hashpartitioning") == 1
+    all_, kept = Counter(), set()
+    for _, _, words, tags in rows:
+        for i, j in ((i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + 5) + 1)):
+            all_[tuple(words[i:j])] += 1
+            if j - i > 1 and tags[j - 1] == "n" and set(tags[i:j]) <= set("an"):
+                kept.add(tuple(words[i:j]))
+    got = {tuple(r.term): r for r in runs.withColumn("term", text.tokens_of(F.col("key"))).collect()}
+    assert {t: (r.n, r.freq, r.is_type) for t, r in got.items()} == {t: (len(t), f, t in kept) for t, f in all_.items() if f > 1 or t in kept}
+    disc = [("a", "b"), ("v", "v"), (None, "a", "b"), ("a", "v", "b", "a", "b", "a")]
+    keys = spark.createDataFrame([(list(t),) for t in disc], "term array<string>").select(text.key_of(text.keyed(F.col("term"))).alias("key"))
+    sides = {tuple(r.term): (r.freq, r.kind) for r in candidates.counted_by_side(runs, keys, 2).collect()}
+    kind = lambda t: "both" if t in kept and t in disc else "only_CC" if t in kept else "only_DC"
+    assert sides == {t: (all_[t] if len(t) < 6 and all_[t] > 1 else 0, kind(t)) for t in kept | set(disc)}
+
+
+def test_concept_sides_count_no_types_or_model_of_their_own(spark, data, monkeypatch):
+    from lexiloom.plans import queries
+
+    def barred(*args, **kwargs):
+        raise AssertionError("counted again")
+
+    monkeypatch.setattr(queries, "types", barred)
+    monkeypatch.setattr(queries, "model", barred)
+    assert queries.QUERIES["concept_sides"](spark, data).columns == ["term", "freq", "kind", "pmi_nl"]
+
+
+def test_candidate_keys_from_token_rows(spark):
+    draw = random.Random(9)
+    rows = [(i % 3, i, [draw.choice(["a", "b", "\x1e", None]) for _ in range(n)], [draw.choice(["a", "n", "v", "s", None]) for _ in range(n)]) for i, n in enumerate(draw.randint(1, 9) for _ in range(80))]
+    annotated = spark.createDataFrame(rows, "doc_id long, sent_id int, lemmas array<string>, tags array<string>")
+    for tag_filter, most in (("simple", 5), ("unsilo", 7), ("liberal", 3)):
+        want = Counter((r.doc_id, tuple(r.term)) for r in candidates.contiguous(annotated, tag_filter, 2, most).select("doc_id", "term").collect())
+        keys = candidates.contiguous_keys(annotated, tag_filter, 2, most, "doc_id")
+        assert Counter((r.doc_id, tuple(r.term)) for r in keys.select("doc_id", text.tokens_of(F.col("key")).alias("term")).collect()) == want
