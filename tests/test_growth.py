@@ -198,3 +198,13 @@ def test_candidate_keys_from_token_rows(spark):
         want = Counter((r.doc_id, tuple(r.term)) for r in candidates.contiguous(annotated, tag_filter, 2, most).select("doc_id", "term").collect())
         keys = candidates.contiguous_keys(annotated, tag_filter, 2, most, "doc_id")
         assert Counter((r.doc_id, tuple(r.term)) for r in keys.select("doc_id", text.tokens_of(F.col("key")).alias("term")).collect()) == want
+
+
+def test_bigrams_that_no_bridge_asks_for_are_not_counted(spark):
+    words = [["a", "b", f"w{i}", f"v{i}", "\x1f", "c"] for i in range(100)] * 2
+    annotated = spark.createDataFrame([(w, ["n"] * len(w)) for w in words], "lemmas array<string>, tags array<string>")
+    pairs = spark.createDataFrame([("a", "b"), ("w5", "v5"), ("\x1f", "c"), ("b", "a")], "a string, b string")
+    found = {tuple(r.term): (r.n, r.freq) for r in candidates.asked_model(annotated, pairs, 2).collect()}
+    whole = {tuple(r.term): (r.n, r.freq) for r in ngrams.ngram_counts(annotated, 2, 2).collect()}
+    assert found.items() <= whole.items() and {t for t in whole if len(t) == 1} | {("a", "b"), ("w5", "v5"), ("\x1f", "c")} <= set(found)
+    assert len(found) < len([t for t in whole if len(t) == 1]) + 20
