@@ -67,7 +67,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["coord_dcs", "bigram_sides", "concept_sides", "results_table"])
+@pytest.mark.parametrize("name", ["coord_dcs", "bigram_sides", "concept_sides", "results_table", "hypernym_dcs"])
 def test_query_bounds_no_coordination(spark, data, monkeypatch, name):
     def searched(annotated, tag_filter, *bounds):
         raise Asked(bounds)
